@@ -1,9 +1,14 @@
 """All queries over the driver's tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from weft.plans import corpus, evaluation, frames, layouts, scores  # noqa: F401  each module registers its queries
+from weft.plans.registry import QUERIES, SQL, Query
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
