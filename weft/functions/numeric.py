@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -38,13 +40,27 @@ def pad_to(values: Column, size: Column | int, fill: Column) -> Column:
     return F.concat(values, F.array_repeat(fill, F.greatest(F.lit(0), (F.lit(size) if isinstance(size, int) else size) - F.size(values))))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def log_sum_exp(x: Column) -> Column:
+    """log of the sum of exponentials of an array of doubles; nulls are left out."""
+    kept = F.filter(x, lambda v: v.isNotNull())
+    return bind(F.array_max(kept), lambda top: top + F.log(F.aggregate(kept, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
+
+
+def masked(logits: Column, allowed: Column | None = None) -> Column:
+    """Logits as doubles; entries that are not allowed are null (probability 0)."""
+    if allowed is None:
+        return F.transform(logits, lambda x: x.cast("double"))
+    return F.zip_with(logits, allowed, lambda x, ok: F.when(ok, x.cast("double")))
+
+
 def log_softmax(logits: Column, allowed: Column | None = None) -> Column:
-    """Log probabilities of an array; entries that are not allowed get null (probability 0)."""
-    pairs = F.arrays_zip(logits.alias("x"), allowed.alias("ok")) if allowed is not None else F.transform(logits, lambda x: F.struct(x.alias("x"), F.lit(True).alias("ok")))
-    kept = F.transform(F.filter(pairs, lambda p: p["ok"]), lambda p: p["x"].cast("double"))
-    top = F.array_max(kept)
-    total = top + F.log(F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-    return F.transform(pairs, lambda p: F.when(p["ok"], p["x"].cast("double") - total))
+    """Log probabilities of an array; entries that are not allowed get null."""
+    return bind(masked(logits, allowed), lambda x: bind(log_sum_exp(x), lambda total: F.transform(x, lambda v: v - total)))
 
 
 def schedule(step: Column, peak: float, floor: float, warmup: int, total: int, warmdown: int) -> Column:

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.functions.numeric import spread
+from weft.functions.numeric import bind, spread
 
 TOLERANCE = 1e-3
 _SPANS = "array<struct<low:int,high:int,ids:array<int>>>"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def word_spans(words: Column, steps: Column, seconds: Column, frame_to_code: Column | None = None) -> Column:
     """struct(previous_end, spans, error): a fold over words (text, start, end, ids with the end of word).
 
@@ -63,7 +56,7 @@ def runs_from_spans(spans: Column, steps: Column, pad: int) -> Column:
     entry = lambda token, n: F.struct(token.cast("int").alias("token"), n.cast("int").alias("duration"))
 
     def push(runs: Column, token: Column, n: Column) -> Column:
-        last = F.element_at(runs, -1)
+        last = F.try_element_at(runs, F.lit(-1))
         joined = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(entry(token, last["duration"] + n)))
         return F.when(n <= 0, runs).when(F.size(runs) == 0, F.array(entry(token, n))).when(last["token"] == token, joined).otherwise(F.concat(runs, F.array(entry(token, n))))
 
@@ -87,7 +80,7 @@ def frame_alignment_error(spans: Column) -> Column:
 def frame_tokens(spans: Column, frames: Column, pad: int, end_of_word: int) -> Column:
     """One token a frame: ids at the start, the end of word in the last frame before the next word, else padding."""
     parts = F.transform(spans, lambda p: F.concat(p["ids"], F.array_repeat(F.lit(pad), p["high"] - p["low"] - F.size(p["ids"]) - 1), F.array(F.lit(end_of_word))))
-    lead = F.array_repeat(F.lit(pad), F.element_at(spans, 1)["low"])
+    lead = F.array_repeat(F.lit(pad), F.try_element_at(spans, F.lit(1))["low"])
     return F.concat(lead, F.flatten(parts), F.array(F.lit(pad)))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.functions.hashing import uniform
-from weft.functions.numeric import log_softmax
+from weft.functions.numeric import bind, log_sum_exp, masked
 
 
 def cross_entropy(logits: Column, target: Column, allowed: Column | None = None) -> Column:
     """-log p(target); infinite where the target is not allowed."""
-    return F.coalesce(-F.get(log_softmax(logits, allowed), target), F.lit(float("inf")))
+    return bind(masked(logits, allowed), lambda x: F.coalesce(log_sum_exp(x) - F.get(x, target), F.lit(float("inf"))))
 
 
 def text_loss(rows: DataFrame, pad: int, pad_weight: float | None) -> DataFrame:
@@ -24,8 +24,8 @@ def codebook_loss(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """AGG11: rows (sample, pos, k, ce, mask, weight): per position a weighted mean over codebooks, then the mean over positions."""
     keys = keys or []
     wm = F.col("weight") * F.col("mask").cast("double")
-    by_pos = rows.groupBy(*keys, *(k for k in ("sample", "pos") if k not in keys)).agg((F.sum(wm * F.col("ce")) / F.greatest(F.sum(wm), F.lit(1e-8))).alias("loss"), F.max(F.col("mask").cast("int")).alias("any"))
-    return by_pos.groupBy(*keys).agg((F.sum(F.col("loss") * F.col("any")) / F.greatest(F.sum("any"), F.lit(1))).alias("loss"), F.sum("any").cast("long").alias("positions"))
+    by_pos = rows.groupBy(*keys, *(k for k in ("sample", "pos") if k not in keys)).agg((F.sum(wm * F.col("ce")) / F.greatest(F.sum(wm), F.lit(1e-8))).alias("loss"), F.max(F.col("mask").cast("int")).alias("held"))
+    return by_pos.groupBy(*keys).agg((F.sum(F.col("loss") * F.col("held")) / F.greatest(F.sum("held"), F.lit(1))).alias("loss"), F.sum("held").cast("long").alias("positions"))
 
 
 def per_codebook_loss(rows: DataFrame) -> DataFrame:
@@ -59,9 +59,8 @@ def entropy(p: Column) -> Column:
 
 def top_k_mask(logits: Column, k: int) -> Column:
     """Logits strictly below the k-th become null; ties with it stay."""
-    ranked = F.sort_array(logits, asc=False)
-    limit = F.get(ranked, F.least(F.lit(k), F.size(logits)) - 1)
-    return F.transform(logits, lambda x: F.when(x >= limit, x))
+    limit = F.get(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)) - 1)
+    return bind(limit, lambda low: F.transform(logits, lambda x: F.when(x >= low, x)))
 
 
 def greedy(logits: Column) -> Column:
@@ -76,13 +75,18 @@ def sample(logits: Column, temperature: float, k: int | None, *key: Column | str
     if temperature == 0:
         return greedy(logits)
     scaled = F.transform(logits, lambda x: x.cast("double") / temperature)
-    kept = top_k_mask(scaled, k) if k else scaled
-    top = F.array_max(kept)
-    p = F.transform(kept, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    u = uniform(*key) * F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"), F.lit(0).alias("i"))
-    walk = F.aggregate(p, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.when((s["at"] < 0) & (s["sum"] + x > u), s["i"]).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i")))
-    return F.when(walk["at"] >= 0, walk["at"]).otherwise(greedy(kept)).cast("int")
+
+    def draw(kept: Column) -> Column:
+        return bind(F.array_max(kept), lambda top: bind(F.transform(kept, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0))), lambda p: walk(kept, p)))
+
+    def walk(kept: Column, p: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"), F.lit(0).alias("i"))
+        total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+        step = lambda u: lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.when((s["at"] < 0) & (s["sum"] + x > u), s["i"]).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i"))
+        at = bind(uniform(*key) * total, lambda u: F.aggregate(p, start, step(u), lambda s: s["at"]))
+        return F.when(at >= 0, at).otherwise(greedy(kept)).cast("int")
+
+    return bind(top_k_mask(scaled, k) if k else scaled, draw)
 
 
 def ranks(long: DataFrame, keys: list[str], logit: str) -> DataFrame:

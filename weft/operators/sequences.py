@@ -12,7 +12,7 @@ def collapse(codes: Column, end: Column) -> Column:
     whole = F.concat(codes, F.array(end))
     change = F.transform(whole, lambda x, i: F.when((i == 0) | (x != F.get(whole, i - 1)), 1).otherwise(0))
     kept = F.filter(F.arrays_zip(whole.alias("x"), change.alias("new")), lambda p: p["new"] == 1)
-    runs = F.aggregate(change, F.array().cast("array<int>"), lambda a, c: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(-1)) + c)))
+    runs = F.aggregate(change, F.array().cast("array<int>"), lambda a, c: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + c)))
     return F.struct(F.transform(kept, lambda p: p["x"]).alias("codes"), runs.alias("frame_to_code"))
 
 
@@ -36,7 +36,7 @@ def run_lengths(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def collapse_boundary(prompt: Column, continuation: Column) -> Column:
     """The continuation without its first entry where that repeats the prompt's last."""
-    same = F.element_at(prompt, -1) == F.element_at(continuation, 1)
+    same = F.try_element_at(prompt, F.lit(-1)) == F.try_element_at(continuation, F.lit(1))
     both = (F.size(prompt) > 0) & (F.size(continuation) > 0)
     return F.when(both & F.coalesce(same, F.lit(False)), F.slice(continuation, 2, F.greatest(F.size(continuation) - 1, F.lit(1)))).otherwise(continuation)
 
