@@ -57,7 +57,7 @@ def unique(df: DataFrame, key: str, message: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of a text file in file order, read as one record so that the order is the file's."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     body = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
     return whole.select(F.posexplode(body).alias("line", "value")).select(F.col("line").cast("long"), "value")
 
