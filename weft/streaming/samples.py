@@ -1,76 +1,70 @@
-"""Endless, resumable sample streams (STM1-STM4, UDF3) as a streaming source whose offset is the sample index.
+"""Endless, resumable sample streams (STM1-STM4, UDF3): a streaming source whose offset is the sample index.
 
-A sample is a pure function of (seed, rank, index), so the source only numbers samples; layouts are built
-from the numbers in each micro-batch by the same plans as in batch jobs. A checkpointed query resumes at the
-next index, and neither triggers nor partitions change what a sample holds.
+A sample is a pure function of (seed, rank, index), so the source only hands out ranges of sample numbers;
+layouts are built from the numbers in each micro-batch by the same plans as in batch jobs. A checkpointed
+query resumes at the next index, and neither triggers nor partitions change what a sample holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+class SampleReader(SimpleDataSourceStreamReader):
+    """Ranges [low, high) of the next samplesPerTrigger numbers, in as many rows as `pieces`."""
 
-
-class SampleReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.start = int(options.get("start", "0"))
         self.stop = int(options["stop"]) if "stop" in options else None
         self.per_batch = int(options.get("samplesPerTrigger", "1024"))
-        self.pieces = int(options.get("partitions", "8"))
-        self.at = self.start
+        self.pieces = int(options.get("pieces", "8"))
 
     def initialOffset(self) -> dict:
         return {"index": self.start}
 
-    def latestOffset(self) -> dict:
-        ahead = self.at + self.per_batch
-        self.at = min(ahead, self.stop) if self.stop is not None else ahead
-        return {"index": self.at}
-
-    def partitions(self, start: dict, end: dict) -> list[_Range]:
-        low, high = start["index"], end["index"]
+    def _ranges(self, low: int, high: int) -> Iterator[tuple[int, int]]:
         n = max(1, min(self.pieces, high - low))
         cuts = [low + (high - low) * k // n for k in range(n + 1)]
-        return [_Range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return iter([(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a])
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[int, int]], dict]:
+        low = start["index"]
+        high = low + self.per_batch if self.stop is None else max(low, min(low + self.per_batch, self.stop))
+        return self._ranges(low, high), {"index": high}
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        for index in range(partition.low, partition.high):
-            yield (index,)
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, int]]:
+        return self._ranges(start["index"], end["index"])
 
     def commit(self, end: dict) -> None:
-        self.at = max(self.at, end["index"])
+        """Nothing is kept: numbers can be handed out again at any time."""
 
 
-class SampleIndexSource(DataSource):
-    """Format `sample_index`: options start, stop, samplesPerTrigger, partitions."""
+class SampleRangeSource(DataSource):
+    """Format `sample_ranges`: options start, stop, samplesPerTrigger, pieces."""
 
     @classmethod
     def name(cls) -> str:
-        return "sample_index"
+        return "sample_ranges"
 
     def schema(self) -> str:
-        return "sample_index long"
+        return "low long, high long"
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
         return SampleReader(self.options)
 
 
 def sample_stream(spark: SparkSession, **options: int) -> DataFrame:
     """Streaming sample numbers."""
-    spark.dataSource.register(SampleIndexSource)
-    reader = spark.readStream.format("sample_index")
+    spark.dataSource.register(SampleRangeSource)
+    reader = spark.readStream.format("sample_ranges")
     for key, value in options.items():
         reader = reader.option(key, str(value))
-    return reader.load()
+    return reader.load().select(F.explode(F.sequence("low", F.col("high") - 1)).alias("sample_index"))
 
 
 def write_samples(indices: DataFrame, layout: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger: bool | str) -> StreamingQuery:
@@ -79,4 +73,4 @@ def write_samples(indices: DataFrame, layout: Callable[[DataFrame], DataFrame],
     def sink(batch: DataFrame, number: int) -> None:
         layout(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return indices.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return indices.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
