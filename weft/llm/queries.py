@@ -74,10 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_quality_rules, op4_best_fit_packing, op5_mixing, op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_quality_classifier, op10_simhash_near_dedup)}
 
 
-#: The production rules as plain conditions, without the index.
-_PATTERNS = {r.text: r.regex for r in url_filters.RULES if not r.host_rule}
-
-
 def _op1_sql() -> str:
     hosts = ", ".join(f"({len(r.text)}, '{r.text}', '{r.action}', '{r.text.partition('/')[0]}', '/{r.text.partition('/')[2]}')" for r in url_filters.RULES if r.host_rule)
     any_of = lambda action: " or ".join(f"regexp_matches(lower(coalesce(url, '')), '{r.regex}')" for r in url_filters.RULES if not r.host_rule and r.action == action)
@@ -96,14 +92,5 @@ from urls u left join lateral (
 """
 
 
-_OP8_SQL = """
-with sized as (select doc_id, coalesce(octet_length(encode(text)), 0) + 16 as size from documents),
-placed as (select doc_id, size, sum(size) over (order by doc_id, size rows unbounded preceding) - size as begin, sum(size) over () as total,
-                  row_number() over (order by doc_id, size) as row from sized),
-cut as (select *, least(floor(begin::decimal(38, 0) * 40 / total), 39)::int as shard from placed)
-select doc_id, size::bigint as size, shard, (row - min(row) over (partition by shard))::bigint as slot from cut
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op1_url_filters": _op1_sql()}

@@ -7,9 +7,9 @@ have whole; a rule without one is tried on every url). A url's tokens fetch cand
 those run regular expressions. Of the fitting host rules the longest decides; without one, patterns do: block
 if a blocking pattern fits and no allowing one does, else allow.
 
-The index is part of the plan, so rows are judged where they are read, without a shuffle; the rules are a
-parameter and MAX_RULES bounds them (more raise an error). Only the counts of the rules' own tokens reach
-the driver.
+An index of up to INLINE_TOKENS tokens is part of the plan: rows are judged where they are read, without a
+shuffle. A larger one is a table that the distinct urls' tokens are joined with. The rules are a parameter and
+MAX_RULES bounds them (more raise an error). Only the counts of the rules' own tokens reach the driver.
 
 Defined cases: a null url, or one without `://`, has empty host and path, and no rule fits; it is judged by the
 patterns (null: allowed); repeated rows get equal verdicts; an empty table gives an empty result; extra
@@ -24,7 +24,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_RULES = 20_000
+MAX_RULES = 200_000
+INLINE_TOKENS = 200
 _WORD = re.compile("[a-z0-9]+")
 
 
@@ -92,19 +93,27 @@ def index(rules: tuple[Rule, ...], counts: dict[str, int]) -> tuple[dict[str, li
     return by_token, always
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page."""
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, inline: int = INLINE_TOKENS) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page. More than `inline` tokens are fetched by a join."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     by_token, always = index(rules, token_counts(pages, rules))
     as_row = lambda r: F.struct(F.lit(len(r.text) if r.host_rule else 0).alias("length"), F.lit(r.text).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.host_rule).alias("of_host"), F.lit(r.regex).alias("regex"))
-    none = "array<struct<length:int,rule:string,action:string,of_host:boolean,regex:string>>"
+    kind = "struct<length:int,rule:string,action:string,of_host:boolean,regex:string>"
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    candidates = F.array(*map(as_row, always)).cast(none) if always else F.array().cast(none)
-    if by_token:
-        filed = F.create_map(*(x for t, rs in by_token.items() for x in (F.lit(t), F.array(*map(as_row, rs)).cast(none))))
-        fetched = F.transform(F.array_intersect(_tokens(F.coalesce("url", F.lit(""))), F.array(*map(F.lit, by_token))), lambda t: F.element_at(filed, t))
+    candidates = F.array(*map(as_row, always)).cast(f"array<{kind}>") if always else F.array().cast(f"array<{kind}>")
+    tokens = _tokens(F.coalesce("url", F.lit("")))
+    if by_token and len(by_token) <= inline:
+        filed = F.create_map(*(x for t, rs in by_token.items() for x in (F.lit(t), F.array(*map(as_row, rs)).cast(f"array<{kind}>"))))
+        fetched = F.transform(F.array_intersect(tokens, F.array(*map(F.lit, by_token))), lambda t: F.element_at(filed, t))
         candidates = F.concat(candidates, F.flatten(fetched))
+    elif by_token:
+        filed_rows = [(t, (len(r.text) if r.host_rule else 0, r.text, r.action, r.host_rule, r.regex)) for t, rs in by_token.items() for r in rs]
+        filed = pages.sparkSession.createDataFrame(filed_rows, f"token string, candidate {kind}")
+        asked = rows.select("url").where("url is not null").distinct().select("url", F.explode(tokens).alias("token"))
+        fetched = asked.join(filed, "token").groupBy("url").agg(F.collect_list("candidate").alias("fetched"))
+        rows = rows.join(fetched, "url", "left")
+        candidates = F.concat(candidates, F.coalesce("fetched", F.array().cast(f"array<{kind}>")))
     target = F.concat("host", "path")
     fits = rows.withColumn("fitting", F.filter(candidates, lambda c: F.when(c["of_host"], F.rlike(target, c["regex"])).otherwise(F.rlike(F.lower(F.coalesce("url", F.lit(""))), c["regex"]))))
     best = F.array_max(F.filter("fitting", lambda c: c["of_host"]))
