@@ -36,8 +36,9 @@ from weft.llm.kernel import blocks
 STATES = 8
 CLASSES = 1 << 14
 ROUNDS = 2
+PRIOR = 8000.0  # tokens of the classes' own shares added to each state
 INIT_TOKENS, INIT_ROUNDS = 300_000, 15
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
 END_WORD = np.uint64(0x656E64)  # the end token's identity
 FOLDS, HELD_FOLD = 7, 2
 GROUP_TOKENS = 300_000
@@ -98,7 +99,7 @@ class Hmm:
         self.start, self.move, self.emit = start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32)
 
     @staticmethod
-    def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray, weight: float = 50.0) -> Hmm:
+    def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray, weight: float = PRIOR) -> Hmm:
         """Expected counts, smoothed by the classes' own shares."""
         k = len(start)
         return Hmm((start + 1) / (start.sum() + k), (move + 0.5) / (move.sum(1, keepdims=True) + 0.5 * k), (emit + weight * share[:, None]) / (emit.sum(0) + weight))
@@ -248,14 +249,12 @@ def _score(model: Hmm, log_mass: np.ndarray, total: int, kinds: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        keys = right["word"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], right["c"].to_numpy()[order]
+        words = right["word"].to_numpy().view(np.uint64)
+        order = np.argsort(words)  # a block numbers its words in this order
+        words, c = words[order], right["c"].to_numpy()[order]
         for row in range(left.num_rows):
-            words = left["words"][row].values.to_numpy().view(np.uint64)
             n = left["n"][row].values.to_numpy().astype(np.int64)
             local = unpack_numbers(left["tokens"][row].as_py())
-            c = counts[np.searchsorted(keys, words)]
             share, of_class = np.log10(c + 1.0), classes_of(words)
             inside = np.where(of_class == CLASSES, 0.0, share - log_mass[of_class])
             at = np.cumsum(n) - n
@@ -271,10 +270,11 @@ def _score(model: Hmm, log_mass: np.ndarray, total: int, kinds: int):
 
 def train(encoded: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> Hmm:
     uniform = Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 1 / STATES), np.repeat(share[:, None], STATES, 1))
-    first = encoded.select("block", "held", "n", "tokens", "words").orderBy(F.exists("held", lambda h: ~h).desc(), F.xxhash64("block"), "block").limit(1)
-    rows = first.mapInArrow(_start(share), "data binary").collect()
-    if not rows:
+    chosen = encoded.where(F.exists("held", lambda h: ~h)).select("block").orderBy(F.xxhash64("block"), "block").first()
+    if chosen is None:
         return uniform
+    first = encoded.where(F.col("block") == chosen["block"]).select("held", "n", "tokens", "words")
+    rows = first.mapInArrow(_start(share), "data binary").collect()
     x = np.frombuffer(rows[0]["data"], np.float32)
     model = Hmm(x[:STATES], x[STATES : STATES + STATES**2].reshape(STATES, STATES), x[STATES + STATES**2 :].reshape(-1, STATES))
     for _ in range(rounds):
@@ -304,5 +304,5 @@ def language_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     asked = encoded.select(F.col("block").alias("owner"), F.explode("words").alias("word"))
     told = asked.join(counts, "word").select("owner", "word", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    kept = encoded.select("block", "doc_id", "held", "n", "tokens", "words")
+    kept = encoded.select("block", "doc_id", "held", "n", "tokens")  # the words come back with their counts
     return kept.groupBy("block").cogroup(told.groupBy("owner")).applyInArrow(_score(model, np.log10(mass), total, kinds), schema)
