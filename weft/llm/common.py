@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of characters other than space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,9 +16,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one for local runs and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="weft-shared-")
         shared_dir.own = folder
     return folder.rstrip("/")
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there and survives lost executors.
 
-    The table stays until the driver ends, since a lazily evaluated result may still read it."""
+    The table stays until release() or the driver's end, since a lazily evaluated result may still read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -35,17 +38,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 @atexit.register
-def _remove() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Delete the tables written so far; call it once their results are stored."""
+    while _written:
+        spark, path = _written.pop()
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the JVM may be gone; the folder's owner clears the rest
-            return
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+            continue
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
