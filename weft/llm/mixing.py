@@ -124,6 +124,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LI
     targets = source_targets(sizes, weights, limit)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     kinds = sizes.groupBy("name", "class").agg(F.count("*").alias("n")).join(targets, "name").withColumn("whole", F.floor(rate)).withColumn("x", rate - F.floor(rate))
+    kinds = materialize(kinds, "kinds")  # of known size, and free of a partitioning that would keep the join from splitting a large source
     rated = materialize(sizes.join(kinds, ["name", "class"]), "rated")
     open_rows = rated.where((F.col("size") > 0) & (F.col("x") > 0))
     h = F.xxhash64("doc_id", "size", F.lit(SEED))
