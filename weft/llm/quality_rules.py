@@ -97,17 +97,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL, epoc
     keys = [hash_order(r["index"]) for r in rows]
     order = np.argsort(keys, kind="stable")
     rows, y = [rows[i] for i in order], y[order]
-    index = np.concatenate([np.frombuffer(r["index"], np.int32) for r in rows]).astype(np.int64)
-    value = np.concatenate([np.frombuffer(r["value"], np.float32) for r in rows]).astype(float) * 100
-    sizes = np.array([len(r["index"]) // 4 for r in rows])
-    row = np.repeat(np.arange(len(rows)), sizes)
-    held = np.arange(len(rows)) % 5 == 0
+    index = np.concatenate([np.frombuffer(r["index"], np.int32) for r in rows])
+    value = np.concatenate([np.frombuffer(r["value"], np.float32) for r in rows]) * np.float32(100)
+    n = len(rows)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r["index"]) // 4 for r in rows])
+    del rows  # the arrays hold all of it
+    held = np.arange(n) % 5 == 0
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
     use = (~held).astype(float) * np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum()))
     w, bias, m, v = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), np.zeros(BUCKETS)
     mb = vb = 0.0
-    margin = lambda: np.bincount(row, value * w[index], minlength=len(rows)) + bias
+    margin = lambda: np.bincount(row, value * w[index], minlength=n) + bias
     for step in range(1, epochs + 1):  # Adam, all rows each step
         slack = use * (1 / (1 + np.exp(-np.clip(margin(), -40, 40))) - y)
         grad = np.bincount(index, value * slack[row], minlength=BUCKETS) + penalty * w
@@ -145,30 +146,49 @@ def platt(s: np.ndarray, y: np.ndarray, ratio: dict[int, int]) -> tuple[float, f
     return float(max(a, 1e-6) / scale), float(b)
 
 
+def judge(batch: pa.RecordBatch, model: Model | None) -> dict[str, np.ndarray]:
+    """Counts and verdicts of a batch's texts; empty for an empty batch."""
+    out: dict[str, list] = {}
+    for _, _, b in blocks(batch["text"]):
+        facts = text_facts(b)
+        h = facts.pop("hashes")
+        p = np.ones(b.n)
+        if model:
+            s = np.full(b.n, model.bias)
+            for bucket, doc in occurrences(b, h):
+                s += np.bincount(doc, model.weights[bucket], minlength=b.n) / np.maximum(np.bincount(doc, minlength=b.n), 1)
+            p = 1 / (1 + np.exp(-np.clip(model.slope * s + model.offset, -40, 40)))
+        facts["base_failed"] = (facts["n_words"] < MIN_WORDS) | (100 * facts["n_repeat_words"] > MAX_REPEAT_PERCENT * facts["n_words"])
+        facts["kept"] = ~facts["base_failed"] & (p >= KEEP_PROBABILITY)
+        facts["probability"] = p
+        for k, x in facts.items():
+            out.setdefault(k, []).append(x)
+    return {k: np.concatenate(x) for k, x in out.items()}
+
+
 def _apply(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {}
-            for _, _, b in blocks(batch["text"]):
-                facts = text_facts(b)
-                h = facts.pop("hashes")
-                p = np.ones(b.n)
-                if model:
-                    s = np.full(b.n, model.bias)
-                    for bucket, doc in occurrences(b, h):
-                        s += np.bincount(doc, model.weights[bucket], minlength=b.n) / np.maximum(np.bincount(doc, minlength=b.n), 1)
-                    p = 1 / (1 + np.exp(-np.clip(model.slope * s + model.offset, -40, 40)))
-                facts["base_failed"] = (facts["n_words"] < MIN_WORDS) | (100 * facts["n_repeat_words"] > MAX_REPEAT_PERCENT * facts["n_words"])
-                facts["kept"] = ~facts["base_failed"] & (p >= KEEP_PROBABILITY)
-                facts["probability"] = p
-                for k, x in facts.items():
-                    out.setdefault(k, []).append(x)
-            if out:
-                yield pa.record_batch({"doc_id": batch["doc_id"]} | {k: pa.array(np.concatenate(x)) for k, x in out.items()})
+            if found := judge(batch, model):
+                yield pa.record_batch({"doc_id": batch["doc_id"]} | {k: pa.array(x) for k, x in found.items()})
+
+    return run
+
+
+def _passing(model: Model | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if found := judge(batch, model):
+                yield batch.filter(pa.array(found["kept"]))
 
     return run
 
 
+def passing(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """The rows of docs that are kept, all columns; judged where they are read, without a shuffle."""
+    return docs.mapInArrow(_passing(fit(docs, labels, sample)), docs.schema)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) -> DataFrame:
     """One row per document: the counts, base_failed, kept and the calibrated probability of quality 1."""
     model = fit(docs, labels, sample)

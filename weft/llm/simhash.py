@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.llm.common import materialize
 from weft.llm.kernel import blocks
@@ -72,12 +72,17 @@ def fingerprints(texts: pa.Array, words: int = SHINGLE_WORDS, seed: int = SEED)
 def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield pa.record_batch({"doc_id": batch["doc_id"], "print": pa.array(fingerprints(batch["text"]).view(np.int64))})
+            yield pa.record_batch({"doc_id": batch["doc_id"], "key": batch["key"], "print": pa.array(fingerprints(batch["text"]).view(np.int64))})
+
+
+def content_key(docs: DataFrame) -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def document_prints(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_print_rows, "doc_id long, print long")
+    """doc_id, key (of id and text) and print of every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), content_key(docs).alias("key"))
+    return rows.mapInArrow(_print_rows, "doc_id long, key long, print long")
 
 
 @lru_cache(maxsize=4)
@@ -239,12 +244,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, print and component_id (least doc_id reachable over links) of every document."""
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, key, print, class (a fingerprint of the component) and component_id of every document."""
     prints = materialize(document_prints(docs), "prints")
     distinct = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("print")))
-    classed = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    per_class = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(per_class, "root").select(F.col("print").alias("key"), "component_id")
-    return prints.join(named, prints["print"] == named["key"]).select("doc_id", "print", "component_id")
+    classed = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("class"))
+    per_class = classed.groupBy("class").agg(F.min("least").alias("component_id"))
+    named = classed.join(per_class, "class").select(F.col("print").alias("of"), "class", "component_id")
+    return prints.join(named, prints["print"] == named["of"]).drop("of")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, print and component_id (least doc_id reachable over links) of every document."""
+    return classes(docs).select("doc_id", "print", "component_id")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """One row of each component, all columns: the one of least doc_id (nulls last), of equal ones any."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    chosen = classes(docs).groupBy("class").agg(F.min(order).alias("least")).select(F.col("least.key").alias("__key"))
+    joined = docs.withColumn("__key", content_key(docs)).join(chosen, "__key")
+    # a component's row may stand there repeatedly; the join has brought equal keys together
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return joined.withColumn("__number", number).where("__number = 1").select(*docs.columns)
