@@ -70,17 +70,18 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
             break
         jumps.append(state.where("up is not null").select("tree", "node", "up"))
         far = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("gain"))
-        joined = state.join(far, ["tree", "up"], "left")
-        state = joined.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"))
+        joined = state.where("up is not null").join(far, ["tree", "up"])
+        moved = joined.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("gain")).alias("total"))
+        state = state.where("up is null").unionByName(moved)  # nodes that have reached their root don't join again
     else:
         raise ValueError("a reply tree has a cycle")
     parents = linked.where("found").select("tree", F.col("parent").alias("node")).distinct()
     leaves = state.join(parents, ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), "node"))).where(F.col("place") <= best)
-    held = ranked.select("tree", F.col("node").alias("leaf"), "place", "node")
+    held = materialize(ranked.select("tree", F.col("node").alias("leaf"), "place", "node"), "held")
     for jump in jumps:
         above = held.join(jump, ["tree", "node"]).select("tree", "leaf", "place", F.col("up").alias("node"))
-        held = held.unionByName(above)
+        held = materialize(held.unionByName(above), "held")  # each round reads the last one twice
     depths = state.select("tree", "node", "depth")
     return held.join(depths, ["tree", "node"]).join(one.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "leaf", "place", "depth", "role", "text")
 
