@@ -534,3 +534,13 @@ def test_pipeline_stages_take_edge_rows(spark, sf, edge_docs):
     for _, stage in pipeline.STAGES:
         assert stage(spark, edge_docs, sf).count() >= 0
         assert stage(spark, edge_docs.limit(0), sf).count() == 0
+
+
+def test_pipeline_rules_judge_as_op3(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    path = f"{sf}/../sf0.01"
+    docs, known = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    left = docs.join(known.where("quality = 0"), "doc_id", "left_anti").select(docs.columns)  # as after a perfect classifier
+    judged = queries.op3_quality_rules(spark, path).join(left.select("doc_id"), "doc_id").collect()
+    assert any(not r["kept"] and not r["base_failed"] for r in judged)  # the model decides some
+    assert Counter(r["doc_id"] for r in pipeline.apply_rules(spark, left, path).select("doc_id").collect()) == Counter(r["doc_id"] for r in judged if r["kept"])

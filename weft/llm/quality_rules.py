@@ -184,9 +184,9 @@ def _passing(model: Model | None):
     return run
 
 
-def passing(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """The rows of docs that are kept, all columns; judged where they are read, without a shuffle."""
-    return docs.mapInArrow(_passing(fit(docs, labels, sample)), docs.schema)
+def passing(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs that the model and the base rules keep, all columns; judged where they are read, without a shuffle."""
+    return docs.mapInArrow(_passing(model), docs.schema)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) -> DataFrame:
