@@ -384,6 +384,21 @@ def test_language_scores(corpus, edge_docs, edge_rows, empty_docs):
     assert lm.language_scores(empty_docs).count() == 0
 
 
+def test_language_model_starts_alike_from_any_order_and_with_all_states(spark, corpus):
+    def trained(docs):
+        encoded = docs.select("doc_id", F.lit(False).alias("held"), "text").coalesce(1).mapInArrow(lm._encode, lm.ENCODED).cache()
+        share = np.ones(lm.CLASSES + 1)
+        for r in encoded.select("words", "counts").collect():
+            share += np.bincount(lm.classes_of(np.array(r["words"], np.int64).view(np.uint64)), r["counts"], minlength=lm.CLASSES + 1)
+        return lm.train(encoded, share / share.sum(), 1)
+
+    few = corpus.where("doc_id < 60")
+    a, b = (trained(few.orderBy(x)) for x in (F.asc("doc_id"), F.desc("doc_id")))
+    assert np.allclose(a.emit, b.emit, rtol=1e-2, atol=1e-6) and np.allclose(a.move, b.move, atol=1e-3)
+    lone = trained(corpus.where("doc_id < 3")).emit  # fewer texts than states
+    assert all(np.abs(lone[:, i] / lone[:, k] - 1).max() > 0.01 for i in range(lm.STATES) for k in range(i))
+
+
 def test_numbers_survive_packing():
     x = np.array([0, 1, 255, 256, 2**32 - 1, 7], np.uint32)
     assert (lm.unpack_numbers(lm.pack_numbers(x)) == x).all()

@@ -9,9 +9,10 @@ words' probabilities within their classes: exact for this model, whatever the te
 Texts are encoded once into blocks of about BLOCK_BYTES (token positions as local word numbers, the
 block's distinct words and their training counts). Baum-Welch: each task adds up the expected counts of
 its blocks, tasks are summed in two steps, the driver gets one table of fixed size (CLASSES x STATES).
-Starting values come from INIT_TOKENS tokens of one block; after them ROUNDS rounds pass over all
-training texts. Word counts come back to each block by a join on the word, so no table of words is ever
-sent to all executors or to the driver.
+The states start from the class shares of all training texts, each state tilted by random factors of its
+own, alike for any corpus, so that no two begin alike; ROUNDS rounds pass over all training texts. Word
+counts come back to each block by a join on the word, so no table of words is ever sent to all executors
+or to the driver.
 
 Words are identified by 64-bit hashes of their lower-cased bytes.
 
@@ -35,9 +36,9 @@ from weft.llm.kernel import blocks
 
 STATES = 8
 CLASSES = 1 << 14
-ROUNDS = 2
+ROUNDS = 6
 PRIOR = 8000.0  # tokens of the classes' own shares added to each state
-INIT_TOKENS, INIT_ROUNDS = 300_000, 15
+TILT, STICK = 2.0, 40  # shape of the starting factors' gamma law; a state's starting weight on itself
 BLOCK_BYTES = 10 << 20
 END_WORD = np.uint64(0x656E64)  # the end token's identity
 FOLDS, HELD_FOLD = 7, 2
@@ -216,29 +217,11 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"].slice(0, 1).cast(pa.int32()), "slot": table["slot"].slice(0, 1).cast(pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def _start(share: np.ndarray):
-    """Starting model from the first training texts of a block: texts dealt to states at random, then Baum-Welch on them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                obs, n = _training(batch, row)
-                m = max(1, int(np.searchsorted(np.cumsum(n), INIT_TOKENS)))
-                n = n[:m]
-                obs = obs[: n.sum()]
-                state = np.random.default_rng(11).integers(0, STATES, len(n))
-                emit = np.zeros((CLASSES + 1, STATES))
-                for k in range(STATES):
-                    emit[:, k] = np.bincount(obs[np.repeat(state == k, n)], minlength=CLASSES + 1)
-                move = np.full((STATES, STATES), 1.0) + np.eye(STATES) * 40 * STATES
-                model = Hmm.from_counts(np.ones(STATES), move, emit, share)
-                for _ in range(INIT_ROUNDS if len(n) else 0):
-                    sums = zero_sums()
-                    model.expect(obs, n, sums)
-                    model = Hmm.from_counts(sums["start"], sums["move"], sums["emit"], share)
-                yield pa.record_batch({"data": pa.array([np.concatenate([model.start, model.move.ravel(), model.emit.ravel()]).tobytes()], pa.binary())})
-
-    return run
+def start(share: np.ndarray) -> Hmm:
+    """Starting model: the classes' shares over the whole corpus, tilted in each state by factors of their own."""
+    emit = share[:, None] * np.random.default_rng(11).gamma(TILT, size=(len(share), STATES))
+    move = np.full((STATES, STATES), 1.0) + np.eye(STATES) * STICK * STATES
+    return Hmm(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def _score(model: Hmm, log_mass: np.ndarray, total: int, kinds: int):
@@ -270,13 +253,9 @@ def _score(model: Hmm, log_mass: np.ndarray, total: int, kinds: int):
 
 def train(encoded: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> Hmm:
     uniform = Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 1 / STATES), np.repeat(share[:, None], STATES, 1))
-    chosen = encoded.where(F.exists("held", lambda h: ~h)).select("block").orderBy(F.xxhash64("block"), "block").first()
-    if chosen is None:
+    if encoded.where(F.exists("held", lambda h: ~h)).select("block").isEmpty():
         return uniform
-    first = encoded.where(F.col("block") == chosen["block"]).select("held", "n", "tokens", "words")
-    rows = first.mapInArrow(_start(share), "data binary").collect()
-    x = np.frombuffer(rows[0]["data"], np.float32)
-    model = Hmm(x[:STATES], x[STATES : STATES + STATES**2].reshape(STATES, STATES), x[STATES + STATES**2 :].reshape(-1, STATES))
+    model = start(share)
     for _ in range(rounds):
         schema = "part int, slot int, data binary"
         sums = encoded.select("held", "n", "tokens", "words").mapInArrow(_round(model), schema)
