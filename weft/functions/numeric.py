@@ -45,6 +45,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def run_starts(values: Column) -> Column:
+    """Places at which a run of equal entries begins; values should be bound, since each entry looks at the one before."""
+    return F.filter(F.transform(values, lambda x, i: F.when((i == 0) | (x != F.get(values, i - 1)), i)), lambda i: i.isNotNull())
+
+
 def log_sum_exp(x: Column) -> Column:
     """log of the sum of exponentials of an array of doubles; nulls are left out."""
     kept = F.filter(x, lambda v: v.isNotNull())

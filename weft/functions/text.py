@@ -5,8 +5,14 @@ Java's \s has six ASCII characters; UNICODE_SPACE below has all that Python's st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
+
+MAX_VOCABULARY = 1_000_000
 UNICODE_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 #: Hebrew and Arabic letters, that write from right to left.
@@ -44,6 +50,34 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 
 
+def token_ids(df: DataFrame, text: str, vocabulary: DataFrame, out: str = "ids", unknown: int = 0, end: int | None = 1) -> DataFrame:
+    """df with the ids of a text's tokens, the end id after them (TOK1, TOK2).
+
+    vocabulary: token and id, at most MAX_VOCABULARY rows (more raise an error). It goes to the workers whole and whole
+    Arrow batches of tokens are looked up at once; a token that is not there has the unknown id, a null text none."""
+    rows = vocabulary.select("token", F.col("id").cast("int").alias("id")).limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} tokens")
+    names = pa.array([r["token"] for r in rows], pa.string())
+    numbers = pa.array([r["id"] for r in rows] + [unknown], pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["__tokens"]
+            found = pc.fill_null(pc.index_in(lists.flatten(), names), len(names))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = numbers.take(found).to_numpy(zero_copy_only=False)
+            if end is not None:
+                ids = np.insert(ids, np.cumsum(sizes), end)
+                sizes = sizes + 1
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            kept = {c: batch[c] for c in batch.schema.names if c != "__tokens"}
+            yield pa.record_batch({**kept, out: pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` array<int>"])
+    return df.withColumn("__tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).mapInArrow(run, schema)
+
+
 def padded_id(prefix: str, index: Column, width: int = 8) -> Column:
     return F.format_string(f"{prefix}%0{width}d", index)
 
@@ -67,6 +101,10 @@ def is_speech(token: Column) -> Column:
     return token.rlike(r"[\p{L}\p{N}]")
 
 
+#: Tasks of two endings.
+STORY_TASKS = ("storycloze", "sstorycloze", "tstorycloze")
+
+
 def options(dataset: Column) -> Column:
     """Answer letters of a benchmark: two for story endings, else four."""
-    return F.when(dataset == "storycloze", F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(*map(F.lit, "ABCD")))
+    return F.when(dataset.isin(*STORY_TASKS), F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(*map(F.lit, "ABCD")))

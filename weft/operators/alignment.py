@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.functions.numeric import bind, spread
+from weft.functions.numeric import bind, run_starts, spread
 
 TOLERANCE = 1e-3
 _SPANS = "array<struct<low:int,high:int,ids:array<int>>>"
@@ -69,8 +69,8 @@ def runs_from_spans(spans: Column, steps: Column, pad: int) -> Column:
 
 def frame_starts(words: Column, frames: Column, seconds: Column) -> Column:
     """SEQ5 spans: [start frame, next start) of each word (start, ids without the end of word); no carried state."""
-    starts = F.transform(words, lambda w: F.least(frames - 1, F.rint(w["start"] / seconds * frames).cast("int")))
-    return F.transform(words, lambda w, i: F.struct(F.get(starts, i).alias("low"), F.coalesce(F.get(starts, i + 1), frames).alias("high"), w["ids"].alias("ids")))
+    first = lambda w: F.least(frames - 1, F.rint(w["start"] / seconds * frames).cast("int"))
+    return bind(words, lambda ws: F.transform(ws, lambda w, i: bind(F.get(ws, i + 1), lambda after: F.struct(first(w).alias("low"), F.when(after.isNull(), frames).otherwise(first(after)).alias("high"), w["ids"].alias("ids")))))
 
 
 def frame_alignment_error(spans: Column) -> Column:
@@ -86,18 +86,22 @@ def frame_tokens(spans: Column, frames: Column, pad: int, end_of_word: int) -> C
 
 def run_length(tokens: Column) -> Column:
     """array<struct(token, duration)> of an array's runs (AGG6)."""
-    at = F.filter(F.transform(tokens, lambda t, i: F.when((i == 0) | (t != F.get(tokens, i - 1)), i)), lambda i: i.isNotNull())
-    return F.transform(at, lambda s, k: F.struct(F.get(tokens, s).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(tokens)) - s).alias("duration")))
+    return bind(tokens, lambda ts: bind(run_starts(ts), lambda at: F.transform(at, lambda s, k: F.struct(F.get(ts, s).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(ts)) - s).alias("duration")))))
 
 
 def tokens_to_words(tokens: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """Each token's first overlapping word (J4): tokens (start, end) and words (word, start, end) in characters.
+    """Each token's first overlapping word (J4): tokens (token_index, start, end) and words (word, start, end) in
+    characters, words in order and apart. Tokens without one drop out.
 
-    A word starts at most one token's reach away, so both sides meet by equal keys and the word's number is the
-    least that overlaps; the range test is a residual condition of the equi-join."""
-    t, w = tokens.alias("t"), words.alias("w")
-    on = [F.col(f"t.{k}") == F.col(f"w.{k}") for k in keys] + [F.col("t.start") < F.col("w.end"), F.col("t.end") > F.col("w.start")]
-    return t.join(w, on).groupBy(*(F.col(f"t.{k}").alias(k) for k in keys), F.col("t.token_index").alias("token_index")).agg(F.min("w.word").alias("word"))
+    The first word that ends after a token's start is the only candidate: its number is how many words end before. So
+    both sides are counted in one sorted pass and meet by an equal number; no pair beyond that is made."""
+    by = Window.partitionBy(*keys)
+    ends = words.select(*keys, F.col("end").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("token_index"), F.lit(None).cast("long").alias("__stop"))
+    begins = tokens.select(*keys, F.col("start").alias("__at"), F.lit(1).alias("__kind"), F.col("token_index").cast("long"), F.col("end").cast("long").alias("__stop"))
+    counted = ends.unionByName(begins).withColumn("__rank", F.sum(1 - F.col("__kind")).over(by.orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = words.withColumn("__rank", F.row_number().over(by.orderBy("end", "word")).cast("long") - 1)
+    met = counted.where("__kind = 1").join(ranked.select(*keys, "__rank", "word", F.col("start").alias("__from")), [*keys, "__rank"])
+    return met.where("__from < __stop").select(*keys, F.col("token_index").cast(tokens.schema["token_index"].dataType).alias("token_index"), "word")
 
 
 def patch_writes(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,6 +126,26 @@ def aligned_patches(words: DataFrame, keys: list[str], end_of_word: int) -> Data
     return last.select(*keys, "patch", "x.token")
 
 
+def patch_array(words: Column, length: Column, end_of_word: int) -> Column:
+    """aligned_patches within a row: array<struct(patch, token)> of words (start, end, tokens, in order) on `length` patches.
+
+    All writes are sorted by patch, word and write; the last of each patch stays."""
+    usable = length - 1
+
+    def writes(w: Column, i: Column, after: Column) -> Column:
+        marker = F.when(w["start"] == 0, 0).otherwise(w["start"] - 1)
+        first = F.greatest(w["start"], marker + 1)
+        limit = F.least(w["end"], F.coalesce(after["start"], usable), usable)
+        one = lambda patch, write, token: F.struct(patch.cast("int").alias("patch"), i.alias("word"), write.cast("int").alias("write"), token.cast("int").alias("token"))
+        placed = F.filter(F.transform(w["tokens"], lambda t, k: one(first + k, k + 1, t)), lambda x: x["patch"] < limit)
+        mark = F.filter(F.array(one(marker, F.lit(0), F.lit(end_of_word))), lambda x: x["patch"] < usable)
+        return F.concat(mark, placed)
+
+    every = bind(words, lambda ws: F.array_sort(F.flatten(F.transform(ws, lambda w, i: bind(F.get(ws, i + 1), lambda after: writes(w, i, after))))))
+    last = bind(every, lambda xs: F.filter(xs, lambda x, k: ~F.coalesce(F.get(xs, k + 1)["patch"] == x["patch"], F.lit(False))))
+    return F.transform(last, lambda x: F.struct(x["patch"].alias("patch"), x["token"].alias("token")))
+
+
 def monotone_starts(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
     """A start is no earlier than the end before it (W13)."""
     at = Window.partitionBy(*keys).orderBy(order)

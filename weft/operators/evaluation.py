@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.functions.hashing import uniform
+from weft.functions.numeric import bind
 from weft.functions.text import normalize_story
+from weft.operators.ordering import running
+from weft.operators.sequences import collapse_boundary
 from weft.operators.validation import first_failure
 
 LETTERS = ("A", "B", "C", "D")
 NO_SCORE = -1e30
+RESULT_STRETCH = 10_000
 
 
 def story_pivot(rows: DataFrame, expected: int | None = None) -> DataFrame:
@@ -55,6 +61,26 @@ def story_options(chosen: Column, rejected: Column) -> Column:
     return F.array(normalize_story(chosen), normalize_story(rejected))
 
 
+#: The tasks that task_prompt knows.
+TASKS = ("mmlu", "hellaswag", "sstorycloze", "tstorycloze")
+
+
+def task_prompt(task: Column, sample: Column, form: str = "cloze", answer: str = "text") -> Column:
+    """struct(prompt, continuations) by task (STR7, STR9): sample has question, options and subject.
+
+    hellaswag takes context and endings as they are, the story tasks normalise both, mmlu has its own forms; options
+    beyond the task's letters go. An unknown task is an error."""
+    story = task.isin("sstorycloze", "tstorycloze")
+    fitting = F.slice(sample["options"], 1, F.when(story, 2).otherwise(4))
+    letters = F.transform(fitting, lambda _, i: letter_answer(F.get(F.array(*map(F.lit, LETTERS)), i)))
+    mmlu_answers = letters if form == "mc" and answer == "letter" else F.transform(fitting, text_answer)
+    mmlu = choice_prompt(sample["question"], sample["options"], sample["subject"]) if form == "mc" else cloze_prompt(sample["question"], sample["subject"])
+    unknown = F.raise_error(F.concat(F.lit("unknown task: "), task))
+    prompt = F.when(task == "mmlu", mmlu).when(task == "hellaswag", sample["question"]).when(story, normalize_story(sample["question"])).otherwise(unknown)
+    continuations = F.when(task == "mmlu", mmlu_answers).when(story, F.transform(fitting, normalize_story)).otherwise(fitting)
+    return F.struct(prompt.cast("string").alias("prompt"), continuations.alias("continuations"))
+
+
 def explode_options(examples: DataFrame, options: str = "options") -> DataFrame:
     """One row an option: opt (from 0), letter and text (J9)."""
     return examples.select("*", F.posexplode(options).alias("opt", "option")).withColumn("letter", F.get(F.array(*map(F.lit, LETTERS)), F.col("opt"))).drop(options)
@@ -65,16 +91,36 @@ def pick_shots(examples: DataFrame, pool: DataFrame, shots: int, seed: int) -> D
 
     The pool is put in one random order (by hash) for the seed; an example takes the `shots` entries after a drawn
     place on that ring, skipping itself: no pair beyond those chosen is ever made."""
-    order = Window.partitionBy(F.lit(0)).orderBy(uniform(F.lit(seed), F.col("index"), "ring"), "index")
-    ring = pool.select(F.col("index").alias("other"), (F.row_number().over(order) - 1).alias("seat"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("pool"))
+    ring = running(pool.select(F.col("index").alias("other"), uniform(F.lit(seed), F.col("index"), "ring").alias("turn")), ["turn", "other"])
+    ring = ring.select("other", F.col("number").alias("seat"))
     size = pool.agg(F.count("*").alias("pool"))
     seats = examples.select("index").join(F.broadcast(size)).select("index", "pool", F.explode(F.sequence(F.lit(0), F.lit(shots))).alias("step"))
     seats = seats.where("step < pool").select("index", "step", ((F.floor(uniform(F.lit(seed), F.col("index"), "seat") * F.col("pool")) + F.col("step")) % F.col("pool")).alias("seat"))
-    found = seats.join(ring.drop("pool"), "seat").where("index <> other")
+    found = seats.join(ring, "seat").where("index <> other")
     shot = F.row_number().over(Window.partitionBy("index").orderBy("step"))
     return found.select("index", "other", shot.alias("shot")).where(F.col("shot") <= shots)
 
 
+def draw_shots(pool: DataFrame, shots: int, seed: int) -> DataFrame:
+    """index, shot, other: for each entry of the pool `shots` different others, drawn independently of other entries (J10).
+
+    The j-th draw is uniform over what is left: a number below the size less j, moved past the entries already taken
+    (itself first) in ascending order. Seats are the pool's order by index, so one equi-join finds the drawn entries."""
+    seated = running(pool.select("index"), ["index"]).withColumnRenamed("number", "seat")
+    size = pool.agg(F.count("*").alias("pool"))  # one row
+    rows = seated.join(F.broadcast(size))
+
+    def draw(s: Column, j: Column) -> Column:
+        low = F.floor(uniform(F.lit(seed), F.col("index"), j, "draw") * (F.col("pool") - j)).cast("long")
+        moved = bind(F.array_sort(s["taken"]), lambda taken: F.aggregate(taken, low, lambda x, t: F.when(x >= t, x + 1).otherwise(x)))
+        return bind(moved, lambda x: F.struct(F.concat(s["taken"], F.array(x)).alias("taken")))
+
+    start = F.struct(F.array(F.col("seat").cast("long")).alias("taken"))
+    possible = F.filter(F.sequence(F.lit(1), F.lit(max(shots, 1))), lambda j: (j < F.col("pool")) & (j <= shots))
+    drawn = rows.select("index", F.posexplode(F.slice(F.aggregate(possible, start, draw)["taken"], 2, max(shots, 1))).alias("at", "seat"))
+    return drawn.join(seated.select(F.col("index").alias("other"), "seat"), "seat").select("index", (F.col("at") + 1).alias("shot"), "other")
+
+
 def shot_prompts(examples: DataFrame, shots: DataFrame, solved: DataFrame) -> DataFrame:
     """Solved examples and a blank line each, then the prompt (STR10): examples (index, prompt), solved (other, solved)."""
     joined = shots.join(solved, "other").groupBy("index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shot", "solved"))), lambda x: F.concat(x["solved"], F.lit("\n\n"))), "").alias("shots"))
@@ -108,10 +154,30 @@ def variant(prompt: Column, continuation: Column, in_text: bool, out_text: bool,
     as_rows = lambda xs, text: F.transform(xs, lambda x: row(x, F.lit(audio_pad)) if text else row(F.lit(pad), x))
     middle = F.array(row(F.lit(switch), F.lit(audio_pad))) if uses else F.array().cast("array<struct<text:int,audio:int>>")
     rows = F.concat(as_rows(prompt, in_text), middle, as_rows(continuation, out_text))
-    first = F.size(prompt) + int(uses) - 1
 
-    def masked(r: Column, i: Column) -> Column:
-        predicts = (i >= first) & (i < F.size(rows) - 1)
+    def masked(r: Column, i: Column, first: Column, n: Column) -> Column:
+        predicts = (i >= first) & (i < n - 1)
         return F.struct(r["text"].alias("text"), r["audio"].alias("audio"), (r["text"] != pad).alias("txt_in"), (r["audio"] != audio_pad).alias("aud_in"), (predicts & F.lit(out_text)).alias("txt_pred"), (predicts & F.lit(not out_text)).alias("aud_pred"))
 
-    return F.transform(rows, masked)
+    first = F.size(prompt) + int(uses) - 1
+    return bind(rows, lambda bound: bind(first, lambda f: bind(F.size(bound), lambda n: F.transform(bound, lambda r, i: masked(r, i, f, n)))))
+
+
+def unit_variant(prompt: Column, continuation: Column, pad: int, audio_pad: int) -> Column:
+    """variant() of two unit sequences that both close with an end: the prompt loses its end, the continuation keeps it and
+    loses its first unit where that repeats the prompt's last (SEQ17, SEQ3)."""
+    return bind(F.slice(prompt, 1, F.greatest(F.size(prompt) - 1, F.lit(0))), lambda p: variant(p, collapse_boundary(p, continuation), False, False, pad, None, audio_pad))
+
+
+def write_results(rows: DataFrame, path: str, summary: dict) -> dict:
+    """The evaluation's rows (index, gold, pred and more) as JSON lines in order of index, beside a summary with accuracy,
+    count and the digest of the rows (SNK9); an existing target is refused. Returns the summary."""
+    line = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    lines = rows.select("index", line.alias("value"))
+    lines.repartitionByRange("index").sortWithinPartitions("index").select("value").write.mode("errorifexists").text(f"{path}.rows")
+    part = lines.groupBy(F.floor(F.col("index") / RESULT_STRETCH).alias("stretch")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", F.sha2("value", 256).alias("line")))), lambda x: x["line"]), ","), 256).alias("digest"))
+    digest = part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "digest"))), lambda x: x["digest"]), ","), 256)).first()[0]
+    told = accuracy(rows).first()
+    out = summary | {"format_version": 1, "accuracy": told["accuracy"], "num_examples": told["kept"], "rows_file": {"name": f"{path.rsplit('/', 1)[-1]}.rows", "sha256": digest}}
+    rows.sparkSession.createDataFrame([(json.dumps(out, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+    return out

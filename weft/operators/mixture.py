@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.functions.hashing import sample_seed, uniform
+from weft.sources.manifests import require
 
+CELLS = 256
 #: Words in a text chunk (10 to 30) and in one of the other modality (5 to 15), first modality's chance.
 TEXT_WORDS, OTHER_WORDS, FIRST_TEXT = (10, 30), (5, 15), 0.5
 
@@ -32,11 +34,14 @@ def choices(weights: DataFrame, key: str) -> DataFrame:
     return weights.where("weight > 0").select(key, ((F.sum("weight").over(at) - F.col("weight")) / total).alias("low"), F.when(F.row_number().over(one.orderBy(F.col(key).desc())) == 1, 1.0).otherwise(high).alias("high"))
 
 
-def pick(draws: DataFrame, u: str, intervals: DataFrame, key: str) -> DataFrame:
-    """The choice whose interval holds u. Intervals ride along as one sorted array of bounded size."""
-    table = intervals.agg(F.array_sort(F.collect_list(F.struct("low", "high", F.col(key).alias("choice")))).alias("__table"))
-    found = F.filter("__table", lambda c: (F.col(u) >= c["low"]) & (F.col(u) < c["high"]))
-    return draws.join(F.broadcast(table)).withColumn(key, F.get(found, F.lit(0))["choice"]).drop("__table")
+def pick(draws: DataFrame, u: str, intervals: DataFrame, key: str, cells: int = CELLS) -> DataFrame:
+    """The choice whose interval holds u: an equi-join on equal cells of the unit interval, the bounds a residual condition.
+
+    An interval is filed under every cell that it meets, so a cell holds 1 + choices / cells of them on average."""
+    cell = lambda x: F.floor(x * cells).cast("int")
+    filed = intervals.where("low < high").select("low", "high", key, F.explode(F.sequence(cell(F.col("low")), F.least(cell(F.col("high")), F.lit(cells - 1)))).alias("__cell"))
+    asked = draws.withColumn("__cell", F.least(cell(F.col(u)), F.lit(cells - 1)))
+    return asked.join(filed, "__cell").where((F.col(u) >= F.col("low")) & (F.col(u) < F.col("high"))).drop("__cell", "low", "high")
 
 
 def sample_plan(indices: DataFrame, seed: int, rank: int, strategies: DataFrame, shards: DataFrame) -> DataFrame:
@@ -85,6 +90,12 @@ def interleave(runs: DataFrame, size: int, end_of_word: int, pad: int, switch: i
     return rows.select("sample_index", at.alias("pos"), "source", text.cast("int").alias("text"), F.when(~is_switch & ~F.col("is_text"), frame).cast("long").alias("frame"), (is_switch | F.col("is_text")).alias("txt_in"), (~is_switch & ~F.col("is_text")).alias("other_in"), (~is_switch & F.col("is_text")).alias("txt_pred"), (~is_switch & ~F.col("is_text")).alias("other_pred")).where(F.col("pos") < size)
 
 
+def filled(rows: DataFrame, size: int) -> DataFrame:
+    """rows, raising an error for a sample with fewer than `size` positions (more sources must be drawn for it)."""
+    n = F.count("*").over(Window.partitionBy("sample_index"))
+    return require(rows.withColumn("__held", n), F.col("__held") == size, F.concat(F.lit("a sample is not filled: "), F.col("sample_index").cast("string"))).drop("__held")
+
+
 def draw_runs(picks: DataFrame, runs: DataFrame) -> DataFrame:
     """The runs of the drawn sources one after another: picks (sample_index, draw, source), runs (source, place, token, duration, audio)."""
     joined = picks.join(runs, "source")

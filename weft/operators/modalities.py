@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.functions.numeric import bind
 from weft.functions.text import bigrams
+from weft.operators.sequences import collapse
+from weft.operators.validation import first_failure
 from weft.sources.manifests import require
 
 Encoder = Callable[[Column], Column]
@@ -39,6 +42,60 @@ def utf8_bytes(text: Column) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1)), F.lit(2)), lambda i: i <= F.length(digits)), lambda i: F.array(F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int")))
 
 
+@dataclass(frozen=True)
+class SpeechTokenizer:
+    """What a speech tokenizer offers (UDF2), given the frames that its model made: array<array<int>>, one entry a codebook.
+
+    A boundary frame closes the units; collapsing merges runs of equal frames."""
+
+    extractor: str
+    vocab: int
+    codebooks: int
+    sample_rate: int
+    collapsed: bool
+    end: int
+    pad: int
+
+    def __post_init__(self) -> None:
+        if self.vocab < 1 or self.codebooks < 1 or max(self.end, self.pad) > 32767:
+            raise ValueError("a vocabulary and a codebook are needed, and ids that fit 16 bits")
+
+    def metadata(self) -> dict[str, int | str | bool]:
+        return {"unit_extractor": self.extractor, "sample_rate": self.sample_rate, "collapsed": self.collapsed, "vocab_size": self.vocab, "n_codebooks": self.codebooks, "eos_token": self.end, "pad_token": self.pad}
+
+    def frames_problem(self, frames: Column) -> Column:
+        """Why frames cannot be encoded; null where they can."""
+        return first_failure(
+            ("no frames", F.size(frames) > 0),
+            ("invalid code shape", F.forall(frames, lambda f: F.size(f) == self.codebooks)),
+            ("codes outside the vocabulary", F.forall(F.flatten(frames), lambda x: (x >= 0) & (x < self.vocab))),
+        )
+
+    def encode_with_mapping(self, frames: Column) -> Column:
+        """struct(codes, frame_to_code)."""
+        boundary = F.array_repeat(F.lit(self.end), self.codebooks)
+        if self.collapsed:
+            return collapse(frames, boundary)
+        return bind(F.concat(frames, F.array(boundary)), lambda c: F.struct(c.alias("codes"), F.transform(c, lambda _, i: i).alias("frame_to_code")))
+
+    def encode(self, frames: Column) -> Column:
+        return self.encode_with_mapping(frames)["codes"]
+
+
+#: The vocabulary, codebooks and rates of the two kinds of tokenizers.
+SPEECH_TOKENIZERS: dict[str, Callable[..., SpeechTokenizer]] = {
+    "hubert": lambda vocab, codebooks=1: SpeechTokenizer("hubert-kmeans", vocab, codebooks, 16000, True, vocab, vocab + 1),
+    "mimi": lambda: SpeechTokenizer("mimi", 2048, 8, 24000, False, 2048, 2048),
+}
+
+
+def build_speech_tokenizer(kind: str, **settings: int) -> SpeechTokenizer:
+    """The tokenizer of that kind; another one is registered by name."""
+    if kind not in SPEECH_TOKENIZERS:
+        raise ValueError(f"unknown speech tokenizer {kind}; known: {sorted(SPEECH_TOKENIZERS)}")
+    return SPEECH_TOKENIZERS[kind](**settings)
+
+
 def encode(df: DataFrame, text: str, name: str, out: str = "codes") -> DataFrame:
     """Encode each distinct text once and join back (STM8)."""
     return memoized(df, text, lambda d: d.withColumn(out, ENCODERS[name](F.col(text))))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def range_bounds(total: Column, shard: Column, shards: int) -> tuple[Column, Column]:
@@ -79,18 +81,50 @@ def plan_loads(plan: DataFrame) -> DataFrame:
 def bounded_fill(items: DataFrame, limit: int, by: list[str] | None = None) -> DataFrame:
     """A new bin when the current one is not empty and would pass the limit: (key..., bin, place, size).
 
-    items: place and size in each key's order; a fold over a key's sizes."""
+    items: place and size in each key's order. The rule is sequential within a key: rows come sorted by key and
+    place, batch by batch, and a task keeps only the open bin, so memory does not grow with a key's rows."""
     keys = by or []
-    rows = items if keys else items.withColumn("_g", F.lit(0))
-    keys = keys or ["_g"]
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct("place", "size"))), lambda x: x)
-    start = F.struct(F.lit(0).cast("int").alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<bin:int,place:long,size:long>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["used"] > 0) & (s["used"] + x["size"] > limit)
-        number = F.when(new, s["bin"] + 1).otherwise(s["bin"])
-        row = F.struct(number.alias("bin"), x["place"].cast("long").alias("place"), x["size"].cast("long").alias("size"))
-        return F.struct(number.alias("bin"), F.when(new, x["size"]).otherwise(s["used"] + x["size"]).cast("long").alias("used"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    packed = rows.groupBy(*keys).agg(sizes.alias("xs")).select(*keys, F.explode(F.aggregate("xs", start, step)["out"]).alias("x"))
-    return packed.select(*(k for k in keys if k != "_g"), "x.bin", "x.place", "x.size")
+    kinds = {f.name: f.dataType for f in items.schema.fields}
+    rows = items.select(*keys, F.col("place").cast("long").alias("place"), F.col("size").cast("long").alias("size"))
+    rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, used = None, 0, 0
+        for batch in batches:
+            names = list(zip(*(batch[k].to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            bins = []
+            for name, size in zip(names, batch["size"].to_pylist(), strict=True):
+                if name != key:
+                    key, number, used = name, 0, 0
+                if used > 0 and used + size > limit:
+                    number, used = number + 1, 0
+                used += size
+                bins.append(number)
+            yield pa.record_batch({**{k: batch[k] for k in keys}, "bin": pa.array(bins, pa.int32()), "place": batch["place"], "size": batch["size"]})
+
+    schema = ", ".join([*(f"`{k}` {kinds[k].simpleString()}" for k in keys), "bin int, place long, size long"])
+    return rows.mapInArrow(run, schema)
+
+
+def write_plan(plan: DataFrame, path: str, manifest: str, digest: str, records: int) -> None:
+    """A plan as JSON lines (V15): one line a shard (index, record_indices ascending, estimated_load) and one with the
+    manifest's path, digest and count. Indices of one shard meet in one row, as a shard's reader takes them."""
+    shard = plan.groupBy(F.col("shard_index").alias("index")).agg(F.array_sort(F.collect_list("record_index")).alias("record_indices"), F.sum("load").alias("estimated_load"))
+    shard.repartitionByRange("index").sortWithinPartitions("index").write.mode("errorifexists").json(path)
+    told = {"format_version": 1, "manifest": manifest, "manifest_sha256": digest, "num_records": records}
+    plan.sparkSession.createDataFrame([tuple(told.values())], "format_version int, manifest string, manifest_sha256 string, num_records long").coalesce(1).write.mode("errorifexists").json(f"{path}.meta")
+
+
+def planned_records(spark: SparkSession, path: str, manifest: str, digest: str, shard: int) -> DataFrame:
+    """record_index of one shard of a written plan. A plan of another manifest, of one that has changed since, a shard
+    outside the plan or listed twice is refused."""
+    told = spark.read.json(f"{path}.meta").first()
+    if told["manifest"] != manifest:
+        raise ValueError("the plan was made for a different manifest")
+    if told["manifest_sha256"] != digest:
+        raise ValueError("the manifest has changed since the plan was made")
+    rows = spark.read.schema("index int, record_indices array<long>, estimated_load double").json(path).where(F.col("index") == shard)
+    n = rows.count()
+    if n != 1:
+        raise ValueError(f"shard {shard} is outside the plan" if n == 0 else "malformed plan")
+    return rows.select(F.explode("record_indices").alias("record_index"))

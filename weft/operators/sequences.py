@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weft.functions.numeric import bind, run_starts
+
 
 def collapse(codes: Column, end: Column) -> Column:
     """struct(codes, frame_to_code): runs of equal entries merged after one end entry; the run of every entry.
 
     Arrays stay arrays: a sample's frames never become rows."""
-    whole = F.concat(codes, F.array(end))
-    change = F.transform(whole, lambda x, i: F.when((i == 0) | (x != F.get(whole, i - 1)), 1).otherwise(0))
-    kept = F.filter(F.arrays_zip(whole.alias("x"), change.alias("new")), lambda p: p["new"] == 1)
-    runs = F.aggregate(change, F.array().cast("array<int>"), lambda a, c: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + c)))
-    return F.struct(F.transform(kept, lambda p: p["x"]).alias("codes"), runs.alias("frame_to_code"))
+
+    def shape(whole: Column, at: Column) -> Column:
+        numbers = F.transform(at, lambda s, k: F.array_repeat(k, F.coalesce(F.get(at, k + 1), F.size(whole)) - s))
+        return F.struct(F.transform(at, lambda s: F.get(whole, s)).alias("codes"), F.flatten(numbers).alias("frame_to_code"))
+
+    return bind(F.concat(codes, F.array(end)), lambda whole: bind(run_starts(whole), lambda at: shape(whole, at)))
 
 
 def frame_runs(frames: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weft.functions import hashing, text
 from weft.operators import planning, sequences, validation
+from weft.operators.ordering import running
 from weft.plans.registry import load, query
 from weft.sources import manifests
 
@@ -226,8 +227,8 @@ def read_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random access in requested order: a join on the record index, then the request's order."""
     m = manifests.from_documents(load(spark, sf_dir, "documents"))
     total = m.agg(F.count("*").alias("total"))  # one row
-    asked = load(spark, sf_dir, "conversations").join(F.broadcast(total))
-    wanted = asked.select((F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).cast("long").alias("place"), ((F.col("conv_id") * 7 + F.col("turn")) % F.col("total")).alias("record_index"))
+    asked = running(load(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"]).join(F.broadcast(total))
+    wanted = asked.select(F.col("number").alias("place"), ((F.col("conv_id") * 7 + F.col("turn")) % F.col("total")).alias("record_index"))
     return manifests.read_rows(m, wanted).select("place", "record_index", "speaker")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from weft.functions import text
 from weft.functions.hashing import uniform_sql
 from weft.operators import evaluation, sequences
+from weft.operators.ordering import next_in_order
 from weft.plans.registry import load, query
 
 SEED = 11
@@ -21,8 +22,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """place, pair_id, text, type, correctness: turn 0 prompts, turn 1 fits, the next conversation's turn 1 does not."""
     c = load(spark, sf_dir, "conversations")
     t = c.groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("prompt"), F.min(F.when(F.col("turn") == 1, F.col("text"))).alias("chosen"))
-    at = Window.orderBy("conv_id")
-    t = t.where("prompt is not null and chosen is not null").withColumn("next", F.coalesce(F.lead("chosen").over(at), F.first("chosen").over(at)))
+    t = next_in_order(t.where("prompt is not null and chosen is not null"), "conv_id", "chosen").withColumnRenamed("next_chosen", "next")
     row = lambda kind, right, x: F.struct(F.lit(kind).alias("type"), F.lit(right).alias("correctness"), F.col(x).alias("text"))
     return t.select((F.col("conv_id") * 3).alias("base"), F.col("conv_id").alias("pair_id"), F.posexplode(F.array(row("prompt", "-", "prompt"), row("continuation", "correct", "chosen"), row("continuation", "incorrect", "next"))).alias("k", "x")).select((F.col("base") + F.col("k")).alias("place"), "pair_id", "x.text", "x.type", "x.correctness")
 

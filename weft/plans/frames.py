@@ -56,7 +56,7 @@ def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array form: collapsing and expanding by run lengths gives the frames back."""
     c = _arrays(spark, sf_dir).withColumn("c", sequences.collapse(F.col("codes"), F.lit(END)))
-    lengths = F.transform("c.codes", lambda _, i: F.size(F.filter("c.frame_to_code", lambda r: r == i)))
+    lengths = F.transform(alignment.run_length(F.col("c.frame_to_code")), lambda r: r["duration"])
     back = numeric.expand_runs(F.col("c.codes"), lengths)
     whole = F.concat("codes", F.array(F.lit(END)))
     return c.select("user_id", F.size("c.codes").cast("long").alias("runs"), (back == whole).alias("equal"), F.md5(F.array_join(back, ",")).alias("digest"))
@@ -76,8 +76,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "words", (F.col("n") * 0.5).alias("seconds"), F.when(F.col("user_id") % 5 == 0, F.col("n")).otherwise(4 * F.col("n")).cast("int").alias("steps"))
 
 
-@query(
-    f"""with recursive {_WORDS},
+align_words_sql = f"""with recursive {_WORDS},
     b as (select *, least(steps - 1, round_even(s / seconds * steps, 0)::int) as lo0 from w),
     c as (select *, least(steps, greatest(lo0 + 1, round_even(e / seconds * steps, 0)::int)) as hi0 from b),
     f as (select user_id, -1::bigint as pos, 0::int as previous_end, null::varchar as error, null::int as lo, null::int as hi from (select distinct user_id from c)
@@ -92,7 +91,9 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     select user_id, coalesce(arg_max(error, pos), 'none') as error, arg_max(previous_end, pos) as previous_end, count(*) filter (pos >= 0 and error is null) as words,
       coalesce(md5(string_agg(lo::varchar || '-' || hi::varchar, ',' order by pos) filter (pos >= 0 and error is null)), md5('')) as digest
     from f group by 1"""
-)
+
+
+@query(align_words_sql)
 def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _words(spark, sf_dir).withColumn("a", alignment.word_spans(F.col("words"), F.col("steps"), F.col("seconds")))
     text = F.transform("a.spans", lambda p: F.concat_ws("-", p["low"].cast("string"), p["high"].cast("string")))
@@ -124,10 +125,10 @@ def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit glyph widths: a bigram a patch, a blank patch between words, the end in the last."""
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("word", "w"))
-    by = Window.partitionBy("doc_id")
-    patches = numeric.patches(F.length("w"), 2)
-    rows = rows.withColumn("patches", patches).withColumn("start", F.coalesce(F.sum(F.col("patches") + 1).over(by.orderBy("word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    return rows.select("doc_id", "word", "start", (F.col("start") + F.col("patches")).alias("end"), F.lead("start").over(by.orderBy("word")).alias("next_start"), F.sum(F.col("patches") + 1).over(by).cast("int").alias("length"), F.array(F.length("w"), F.length("w") % 7).alias("tokens"))
+    by = Window.partitionBy("doc_id").orderBy("word")
+    rows = rows.withColumn("patches", numeric.patches(F.length("w"), 2)).withColumn("end", (F.sum(F.col("patches") + 1).over(by) - 1).cast("int"))
+    word = F.struct("word", (F.col("end") - F.col("patches")).alias("start"), "end", F.array(F.length("w"), F.length("w") % 7).alias("tokens"))
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(word)).alias("words"), (F.max("end") + 1).alias("length"))
 
 
 @query(
@@ -139,8 +140,9 @@ def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, count(*) as written, sum(token)::bigint as tokens, sum(patch * token % 1009)::bigint as checksum from last group by 1"""
 )
 def align_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = alignment.aligned_patches(_laid(spark, sf_dir), ["doc_id"], 101)
-    return last.groupBy("doc_id").agg(F.count("*").alias("written"), F.sum("token").alias("tokens"), F.sum((F.col("patch").cast("long") * F.col("token")) % 1009).alias("checksum"))
+    last = _laid(spark, sf_dir).select("doc_id", alignment.patch_array(F.col("words"), F.col("length"), 101).alias("last"))
+    total = lambda f: F.aggregate("last", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    return last.select("doc_id", F.size("last").cast("long").alias("written"), total(lambda x: x["token"]).alias("tokens"), total(lambda x: x["patch"].cast("long") * x["token"] % 1009).alias("checksum")).where("written > 0")
 
 
 @query(

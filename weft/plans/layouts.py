@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weft.functions.hashing import uniform, uniform_sql
 from weft.operators import mixture
+from weft.operators.ordering import running
 from weft.plans.frames import _EVENTS, timeline
 from weft.plans.registry import load, query
+from weft.storage import scratch
+from weft.streaming import samples
 
 SEED, RANK = 1234, 3
 SAMPLES = 40
@@ -62,11 +65,12 @@ def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the flat stream, across sample borders."""
     events = load(spark, sf_dir, "events")
     total = events.count()
-    flat = events.select((F.row_number().over(Window.orderBy("ts", "event_id")) - 1).cast("long").alias("position"), (F.floor(F.abs("value")) % 97).cast("int").alias("token"))
+    flat = running(events.select("ts", "event_id", "value"), ["ts", "event_id"]).select(F.col("number").alias("position"), (F.floor(F.abs("value")) % 97).cast("int").alias("token"))
     return mixture.windows(spark.range(SAMPLES).select(F.col("id").alias("sample_index")), SEED, flat, F.lit(total), SIZE)
 
 
-_DRAWN = f"""{_EVENTS}, rn as (select user_id as source, pos as place, (case when pos % 3 = 2 then {END_OF_WORD} when code = 3 then {PAD} else 97 + code end)::int as token, (1 + event_id % 3)::bigint as duration from ev),
+def _drawn_sql(duration: str = "(1 + event_id % 3)::bigint") -> str:
+    return f"""{_EVENTS}, rn as (select user_id as source, pos as place, (case when pos % 3 = 2 then {END_OF_WORD} when code = 3 then {PAD} else 97 + code end)::int as token, {duration} as duration from ev),
     ra as (select *, (sum(duration) over (partition by source order by place) - duration)::bigint as audio from rn),
     us as (select user_id, row_number() over (order by user_id) - 1 as i, count(*) over () as users from (select distinct user_id from events)),
     pk as (select sample_index, draw, user_id as source from (select unnest(range({SAMPLES})) as sample_index), (select unnest(range({DRAWS})) as draw), us
@@ -74,22 +78,28 @@ _DRAWN = f"""{_EVENTS}, rn as (select user_id as source, pos as place, (case whe
     dr as (select sample_index, p.source, token, duration, audio, row_number() over (partition by sample_index order by draw, place) - 1 as place from pk p join ra on ra.source = p.source)"""
 
 
-def drawn(spark: SparkSession, sf_dir: str, first: int = 0, n: int = SAMPLES) -> DataFrame:
-    """Runs of the sources drawn for samples first .. first + n - 1, with replacement."""
+_DRAWN = _drawn_sql()
+
+
+def drawn(spark: SparkSession, sf_dir: str, indices: DataFrame | None = None, duration: Column | None = None) -> DataFrame:
+    """Runs of the sources drawn with replacement for the samples of `indices` (sample_index; by default the first ones).
+
+    Their number is fixed; filled() makes a sample that they do not fill an error."""
+    indices = spark.range(SAMPLES).select(F.col("id").alias("sample_index")) if indices is None else indices
     t = timeline(spark, sf_dir)
     token = F.when(F.col("pos") % 3 == 2, END_OF_WORD).when(F.col("code") == 3, PAD).otherwise(97 + F.col("code"))
-    runs = t.select(F.col("user_id").alias("source"), F.col("pos").alias("place"), token.alias("token"), (1 + F.col("event_id") % 3).alias("duration"))
+    runs = t.select(F.col("user_id").alias("source"), F.col("pos").alias("place"), token.alias("token"), (1 + F.col("event_id") % 3 if duration is None else duration).alias("duration"))
     runs = runs.withColumn("audio", F.sum("duration").over(Window.partitionBy("source").orderBy("place")) - F.col("duration"))
     seats = load(spark, sf_dir, "events").select("user_id").distinct()
-    seats = seats.select(F.col("user_id").alias("source"), (F.row_number().over(Window.orderBy("user_id")) - 1).alias("seat"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("users"))
-    users = seats.agg(F.max("users").alias("users"))
-    picks = spark.range(first, first + n).select(F.col("id").alias("sample_index"), F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw")).join(F.broadcast(users))
-    picks = picks.withColumn("seat", F.floor(uniform(SEED, F.col("sample_index"), F.col("draw"), "source") * F.col("users")).cast("int"))
-    return mixture.draw_runs(picks.join(seats.drop("users"), "seat").select("sample_index", "draw", "source"), runs)
+    seats = running(seats, ["user_id"]).select(F.col("user_id").alias("source"), F.col("number").alias("seat"))
+    users = seats.agg(F.count("*").alias("users"))  # one row
+    picks = indices.select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw")).join(F.broadcast(users))
+    picks = picks.withColumn("seat", F.floor(uniform(SEED, F.col("sample_index"), F.col("draw"), "source") * F.col("users")).cast("long"))
+    return mixture.draw_runs(picks.join(seats, "seat").select("sample_index", "draw", "source"), runs)
 
 
-@query(
-    f"""with {_DRAWN},
+def interleave_sql(duration: str = "(1 + event_id % 3)::bigint") -> str:
+    return f"""with {_drawn_sql(duration)},
     wd as (select *, coalesce(sum(case when token = {END_OF_WORD} then 1 else 0 end) over (partition by sample_index order by place rows between unbounded preceding and 1 preceding), 0)::bigint as word from dr),
     wc as (select sample_index, max(word) + 1 as words from wd group by 1),
     ch as (select sample_index, unnest(range(words // 5 + 1)) as chunk from wc),
@@ -104,10 +114,12 @@ def drawn(spark: SparkSession, sf_dir: str, first: int = 0, n: int = SAMPLES) ->
       case when not (sw and k = 0) and not is_text then audio + k - sw::int end::bigint as frame, (sw and k = 0) or is_text as txt_in, not (sw and k = 0) and not is_text as other_in,
       not (sw and k = 0) and is_text as txt_pred, not (sw and k = 0) and not is_text as other_pred
     from ex where begin + k < {SIZE}"""
-)
+
+
+@query(interleave_sql())
 def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alternating text and frame chunks of drawn sources, samples of 256 positions."""
-    return mixture.interleave(drawn(spark, sf_dir), SIZE, END_OF_WORD, PAD, SWITCH, SEED)
+    return mixture.filled(mixture.interleave(drawn(spark, sf_dir), SIZE, END_OF_WORD, PAD, SWITCH, SEED), SIZE)
 
 
 @query(
@@ -117,11 +129,20 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def aligned_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame-synchronous text and codes."""
-    return mixture.aligned_layout(drawn(spark, sf_dir), SIZE, PAD)
+    return mixture.filled(mixture.aligned_layout(drawn(spark, sf_dir), SIZE, PAD), SIZE)
 
 
-@query()
+@query(interleave_sql())
 def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interleaved samples in two resumed pieces; equal to one run (rows only: see the streaming tests)."""
-    parts = [mixture.interleave(drawn(spark, sf_dir, first, SAMPLES // 2), SIZE, END_OF_WORD, PAD, SWITCH, SEED) for first in (0, SAMPLES // 2)]
-    return parts[0].unionByName(parts[1])
+    """The interleaved samples by the streaming source: stopped in the middle, resumed from its checkpoint; equal to one run."""
+    folder = scratch(spark, "stream")
+
+    def layout(batch: DataFrame) -> DataFrame:
+        return mixture.filled(mixture.interleave(drawn(spark, sf_dir, batch), SIZE, END_OF_WORD, PAD, SWITCH, SEED), SIZE)
+
+    for stop in (SAMPLES // 2, SAMPLES):
+        numbers = samples.sample_stream(spark, stop=stop, samplesPerTrigger=SAMPLES // 4)
+        run = samples.write_samples(numbers, layout, f"{folder}/out", f"{folder}/check")
+        run.processAllAvailable()
+        run.stop()
+    return spark.read.parquet(f"{folder}/out").drop("batch")

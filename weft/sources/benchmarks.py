@@ -93,3 +93,66 @@ def load_config(text: str) -> MixtureConfig:
     if unknown := sorted(set(found) - {f.name for f in fields(MixtureConfig)}):
         raise ValueError(f"unknown keys: {unknown}")
     return MixtureConfig(**found)
+
+
+@dataclass
+class ModelConfig:
+    """What a model's configuration must keep (V16); counts of codebooks are 0 where a modality is absent."""
+
+    text: bool = True
+    image_codebooks: int = 0
+    audio_codebooks: int = 0
+    image_codebook_weights: list[float] | None = None
+    audio_codebook_weights: list[float] | None = None
+    image_delays: list[int] | None = None
+    audio_delays: list[int] | None = None
+    text_pad_loss_weight: float = 1.0
+    text_pad: int | None = None
+    image_pad: int | None = None
+    audio_pad: int | None = None
+    audio_head: str = "categorical"
+    audio_codebook_layers: int = 0
+    audio_text_prefix: bool = False
+
+    def __post_init__(self) -> None:
+        for name, count in (("image", self.image_codebooks), ("audio", self.audio_codebooks)):
+            weights, delays = getattr(self, f"{name}_codebook_weights"), getattr(self, f"{name}_delays")
+            if weights is not None and (len(weights) != count or any(w <= 0 for w in weights)):
+                raise ValueError(f"{name}: one positive weight for each codebook")
+            if delays is None:
+                setattr(self, f"{name}_delays", list(range(count)))
+            elif len(delays) != count or any(not isinstance(d, int) or d < 0 for d in delays):
+                raise ValueError(f"{name}: one delay for each codebook, an integer of 0 or more")
+            if count and getattr(self, f"{name}_pad") is None:
+                raise ValueError(f"{name}: a padding id is needed")
+        if self.text and (self.image_codebooks or self.audio_codebooks) and self.text_pad is None:
+            raise ValueError("text beside another modality needs a padding id")
+        if self.text_pad_loss_weight <= 0:
+            raise ValueError("the padding's loss weight must be positive")
+        if self.audio_text_prefix and not (self.text and self.audio_codebooks and self.audio_head == "categorical" and self.audio_codebook_layers > 0):
+            raise ValueError("a text prefix in the codebook transformer needs text, categorical audio and its layers")
+
+
+def load_training_config(text: str) -> tuple[MixtureConfig, MixtureConfig, ModelConfig, dict]:
+    """Training and validation mixtures, the model and the remaining settings of one JSON configuration (SRC13).
+
+    Keys: train, validation, model and settings; an unknown key at the top, in a mixture or in the model is refused."""
+    found = json.loads(text)
+    if unknown := sorted(set(found) - {"train", "validation", "model", "settings"}):
+        raise ValueError(f"unknown keys: {unknown}")
+    if missing := sorted({"train", "validation", "model"} - set(found)):
+        raise ValueError(f"missing keys: {missing}")
+    if unknown := sorted(set(found["model"]) - {f.name for f in fields(ModelConfig)}):
+        raise ValueError(f"unknown model keys: {unknown}")
+    train, validation = (load_config(json.dumps(found[k])) for k in ("train", "validation"))
+    return train, validation, ModelConfig(**found["model"]), found.get("settings", {})
+
+
+def load_renderer_config(spark: SparkSession, folder: str, **overrides: object) -> dict:
+    """A renderer's settings (SRC15): text_renderer_config.json of the folder, its font's relative path resolved against the
+    folder, then the overrides."""
+    body = spark.read.text(f"{folder.rstrip('/')}/text_renderer_config.json", wholetext=True).first()["value"]
+    config = json.loads(body)
+    if not config["font_file"].startswith("/"):
+        config["font_file"] = f"{folder.rstrip('/')}/{config['font_file']}"
+    return config | overrides

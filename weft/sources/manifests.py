@@ -5,13 +5,18 @@ A manifest has one row an utterance: MANIFEST columns plus record_index, since o
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weft.functions.hashing import stable_id
 from weft.functions.text import padded_id, strip
+from weft.operators.ordering import running
 
 MANIFEST = "record_index long, id string, dataset string, split string, audio string, sample_rate int, duration double, offset double, transcript string, speaker string, source_revision string, words array<struct<text:string,start:double,end:double>>, extra map<string,string>"
 COLUMNS = [c.split()[0] for c in "record_index, id, dataset, split, audio, sample_rate, duration, offset, transcript, speaker, source_revision, words, extra".split(", ")]
+DIGEST_ROWS = 10_000
+#: A record's own keys; all others go to extra.
 KNOWN_KEYS = ("id", "dataset", "split", "audio", "audio_path", "path", "sample_rate", "duration", "offset", "transcript", "text", "speaker", "source_revision", "words")
 _WORDS = "array<struct<text:string,start:double,end:double>>"
 
@@ -40,15 +45,10 @@ def librispeech(spark: SparkSession, root: str, dataset: str, split: str, revisi
     said = unique(said, "utt", "duplicate utterance")
     sound = unique(sound, "utt", "duplicate audio")
     joined = require(said.join(sound, "utt", "left"), F.col("audio").isNotNull(), F.concat(F.lit("missing audio for "), F.col("utt")))
-    ranked = joined.withColumn("record_index", record_index(joined, "utt"))
+    ranked = running(joined, ["utt"]).withColumnRenamed("number", "record_index")
     return as_manifest(ranked.select("*", F.concat_ws(":", F.lit(dataset), F.lit(split), "utt").alias("id"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.substring_index("utt", "-", 1).alias("speaker"), F.lit(revision).alias("source_revision")))
 
 
-def record_index(df: DataFrame, *order: str) -> Column:
-    """Place in the order; one window over an adapter's listing (a manifest at rest carries the index)."""
-    return (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
-
-
 def unique(df: DataFrame, key: str, message: str) -> DataFrame:
     """df, raising an error where the key repeats (AGG4)."""
     counted = df.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
@@ -63,26 +63,39 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fairseq_tsv(spark: SparkSession, path: str, dataset: str, split: str, sample_rate: int, transcripts: str | None = None, revision: str | None = None) -> DataFrame:
-    r"""Line 0 is the root (relative to the manifest's folder); others `name\tframes`, cut at the last tab."""
+    """A fairseq file: line 0 is the root (relative to the manifest's folder), the others as in fairseq_records."""
     lines = text_lines(spark, path)
     root = lines.where("line = 0").select(F.trim("value").alias("root"))
-    rows = lines.where("line > 0 and trim(value) <> ''").select((F.col("line") - 1).alias("record_index"), F.regexp_extract("value", r"(?s)^(.*)\t([^\t]*)$", 1).alias("name"), F.regexp_extract("value", r"(?s)^(.*)\t([^\t]*)$", 2).cast("long").alias("frames"))
-    rows = require(rows, F.coalesce(F.col("frames") > 0, F.lit(False)), F.concat(F.lit("bad frame count for "), F.col("name")))
     parent = path.rsplit("/", 1)[0] if "/" in path else "."
-    rows = rows.join(F.broadcast(root))  # one row
     folder = F.when(F.col("root").startswith("/"), F.col("root")).otherwise(F.concat(F.lit(parent + "/"), F.col("root")))
-    rows = rows.withColumn("audio", F.concat(folder, F.lit("/"), "name")).withColumn("duration", F.col("frames") / float(sample_rate))
-    if transcripts:
-        said = text_lines(spark, transcripts).select(F.col("line").alias("record_index"), F.trim("value").alias("transcript"))
-        both = rows.join(said, "record_index", "full")
+    rows = lines.where("line > 0 and trim(value) <> ''").join(F.broadcast(root))  # one row
+    said = text_lines(spark, transcripts).select(F.col("line").alias("record_index"), F.trim("value").alias("transcript")) if transcripts else None
+    return fairseq_records(rows, folder, dataset, split, sample_rate, said, revision)
+
+
+def fairseq_records(lines: DataFrame, folder: Column, dataset: str, split: str, sample_rate: int, transcripts: DataFrame | None = None, revision: str | None = None) -> DataFrame:
+    r"""lines: line (from 1) and value `name\tframes`, cut at the last tab. The id is a digest of name:frames, as written.
+
+    transcripts: record_index and transcript, as many as there are lines."""
+    at = lambda k: F.regexp_extract("value", r"(?s)^(.*)\t([^\t]*)$", k)
+    rows = lines.select((F.col("line") - 1).alias("record_index"), at(1).alias("name"), at(2).alias("written"), folder.alias("folder"))
+    rows = rows.withColumn("frames", F.expr("try_cast(trim(written) as bigint)"))
+    rows = require(rows, F.coalesce(F.col("frames") > 0, F.lit(False)), F.concat(F.lit("bad frame count for "), F.col("name")))
+    rows = rows.withColumn("audio", F.concat("folder", F.lit("/"), "name")).withColumn("duration", F.col("frames") / float(sample_rate))
+    if transcripts is not None:
+        both = rows.join(transcripts, "record_index", "full")
         rows = require(both, F.col("name").isNotNull() & F.col("transcript").isNotNull(), "transcripts and manifest have different counts")
-    key = F.col("name")
-    return as_manifest(rows.select("*", stable_id(F.lit(dataset), F.lit(split), key).alias("id"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.lit(sample_rate).alias("sample_rate"), F.lit(revision).alias("source_revision")))
+    ident = stable_id(F.lit(dataset), F.lit(split), F.concat_ws(":", "name", "written"))
+    return as_manifest(rows.select("*", ident.alias("id"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.lit(sample_rate).alias("sample_rate"), F.lit(revision).alias("source_revision")))
 
 
-def from_json(lines: DataFrame, dataset: str, split: str, revision: str | None = None) -> DataFrame:
+def from_json(lines: DataFrame, dataset: str | None, split: str | None, revision: str | None = None) -> DataFrame:
     """JSON lines (line, value) as a manifest: the first truthy of audio, audio_path and path; the transcript, or
-    the text only where that key is absent; unknown keys go to extra; an id, or a stable one of audio:offset:index."""
+    the text only where that key is absent; unknown keys go to extra; an id, or a stable one of audio:offset:index.
+
+    In that key the offset stands as the record writes it (0 where it has none, None where it is null) and a missing
+    audio as the last of the three keys' value or None. Dataset and split are the arguments or else the record's own;
+    a record without either is an error."""
     m = F.from_json("value", "map<string,string>")
     rows = lines.where("trim(value) <> ''").select(F.col("line").alias("record_index"), m.alias("m"))
     truthy = lambda k: F.nullif(F.element_at("m", k), F.lit(""))
@@ -90,11 +103,14 @@ def from_json(lines: DataFrame, dataset: str, split: str, revision: str | None =
     offset = F.coalesce(F.element_at("m", "offset").cast("double"), F.lit(0.0))
     transcript = F.when(F.map_contains_key("m", "transcript"), F.element_at("m", "transcript")).otherwise(F.element_at("m", "text"))
     extra = F.map_filter("m", lambda k, _: ~k.isin(*KNOWN_KEYS))
-    rows = rows.select("record_index", "m", audio.alias("audio"), offset.alias("offset"), transcript.alias("transcript"), extra.alias("extra"))
-    key = F.concat_ws(":", F.coalesce("audio", F.lit("")), F.col("offset").cast("string"), F.col("record_index").cast("string"))
-    ident = F.coalesce(F.nullif(F.element_at("m", "id"), F.lit("")), stable_id(F.lit(dataset), F.lit(split), key))
+    own = lambda given, k: F.lit(given) if given else F.nullif(F.element_at("m", k), F.lit(""))
+    rows = rows.select("record_index", "m", audio.alias("audio"), offset.alias("offset"), transcript.alias("transcript"), extra.alias("extra"), own(dataset, "dataset").alias("dataset"), own(split, "split").alias("split"))
+    rows = require(rows, F.col("dataset").isNotNull() & F.col("split").isNotNull(), "a record needs a dataset and a split")
+    written = F.when(F.map_contains_key("m", "offset"), F.coalesce(F.element_at("m", "offset"), F.lit("None"))).otherwise("0")
+    key = F.concat_ws(":", F.coalesce("audio", F.element_at("m", "path"), F.lit("None")), written, F.col("record_index").cast("string"))
+    ident = F.coalesce(F.nullif(F.element_at("m", "id"), F.lit("")), stable_id(F.col("dataset"), F.col("split"), key))
     words = F.from_json(F.element_at("m", "words"), _WORDS)
-    return as_manifest(rows.select("record_index", ident.alias("id"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "audio", "offset", "transcript", "extra", F.element_at("m", "sample_rate").cast("int").alias("sample_rate"), F.element_at("m", "duration").cast("double").alias("duration"), F.element_at("m", "speaker").alias("speaker"), F.coalesce(F.lit(revision), F.element_at("m", "source_revision")).alias("source_revision"), words.alias("words")))
+    return as_manifest(rows.select("record_index", ident.alias("id"), "dataset", "split", "audio", "offset", "transcript", "extra", F.element_at("m", "sample_rate").cast("int").alias("sample_rate"), F.element_at("m", "duration").cast("double").alias("duration"), F.element_at("m", "speaker").alias("speaker"), F.coalesce(F.lit(revision), F.element_at("m", "source_revision")).alias("source_revision"), words.alias("words")))
 
 
 def tinystories(rows: DataFrame, split: str, limit: int | None = None, dataset: str = "tinystories") -> DataFrame:
@@ -134,3 +150,27 @@ def fingerprint(spark: SparkSession, *paths: str) -> DataFrame:
     """path and sha256 of files (V9, AGG24); files over 2 GB need a reader of their own."""
     files = spark.read.format("binaryFile").load(list(paths))
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length"))
+
+
+def path_union(*files: DataFrame) -> DataFrame:
+    """(path, content) of all, each path once (SET6)."""
+    out = files[0].select("path", "content")
+    for more in files[1:]:
+        out = out.unionByName(more.select("path", "content"))
+    return out.distinct()
+
+
+def dataset_fingerprint(files: DataFrame, config: dict) -> DataFrame:
+    """dataset, files and the SHA-256 of the configuration as JSON with sorted keys and of all (path, content) in order of
+    path (AGG23, LIM2); a dataset is the first part of a path. One dataset's metadata files meet in one task."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda x: F.concat_ws(":", x["path"], x["content"])), ";")
+    told = F.lit(json.dumps(config, sort_keys=True))
+    return files.groupBy(F.substring_index("path", "/", 1).alias("dataset")).agg(F.count("*").alias("files"), F.sha2(F.concat(told, body), 256).alias("digest"))
+
+
+def manifest_digest(manifest: DataFrame) -> str:
+    """SHA-256 over a manifest's lines in record order, in two levels: of stretches of DIGEST_ROWS records, then of their digests."""
+    lines = to_json_lines(manifest).select(F.floor(F.col("record_index") / DIGEST_ROWS).alias("stretch"), "record_index", F.sha2("value", 256).alias("line"))
+    ordered = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ",")
+    parts = lines.groupBy("stretch").agg(F.sha2(ordered("record_index", "line"), 256).alias("digest"))
+    return parts.agg(F.sha2(ordered("stretch", "digest"), 256)).first()[0]

@@ -1,8 +1,14 @@
-"""Packed shard directories (SRC6-SRC8, SNK2, SNK7, V2, V9): binary columns, lengths, JSON sidecars, checksums.
+"""Shard directories (SRC6-SRC8, SNK2-SNK4, SNK7, V2-V4, V9, V12): binary columns, lengths, JSON sidecars, checksums.
 
-decode_shards() reads them through Spark's own file reader, so any store that Spark reads will do. The data
-source `packed_shard` writes (and reads) folders that all executors mount: tasks write aside, the commit
-publishes by renaming, an abort removes what was written.
+Kinds of shards: `units-only` and `aligned` (speech units), `text` (token ids) and `rendered` (image codes with one
+token a step). decode_shards() reads all of them through Spark's own file reader, so any store that Spark reads
+will do. The data source `packed_shard` writes (and reads) folders that all executors mount: tasks write aside,
+the commit publishes by renaming, an abort removes what was written.
+
+A sample is checked before a byte of it is written; one that fails goes to skips.jsonl with its reason, and so do rows
+that come with a `skip` reason. A shard without any sample is an error that leaves NAME.failed.json and
+NAME.failed.skips.jsonl, which the next successful attempt removes. Samples stand in order of `place` where the rows have
+one, else of id.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -20,69 +27,189 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from weft.operators.validation import RESERVED
+
 #: The format's file names and number types.
 VERSION = 1
 CODES, STEPS, TEXT, TEXT_COUNTS, DURATIONS = "audio.bin", "audio.len", "text.bin", "text.len", "dur.bin"
+IMAGE, IMAGE_STEPS = "image.bin", "image.len"
 CODE, COUNT, WORD = "<i2", "<i8", "<i4"
 SAMPLES, SKIPS, META = "samples.jsonl", "skips.jsonl", "meta.json"
+MODALITY = {"text": "text", "rendered": "rendered-text"}
+PROFILES = ("units-only", "aligned", "text", "rendered")
 
 SCHEMA = "shard string, place int, id string, codes array<array<smallint>>, text array<int>, dur array<int>, metadata string"
+WRITTEN = ("shard", "place", "id", "codes", "text", "dur", "metadata", "skip", "detail", "waveform", "sample_rate")
 
 
 def cut(flat: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
 
 
-def encode(samples: pd.DataFrame, profile: str, books: int, preprocessing: dict, skips: list[dict]) -> dict[str, bytes]:
-    """All files of one shard but meta.json's checksums' own; raises ValueError for an empty shard."""
-    if samples.empty:
-        raise ValueError("refusing to publish an empty shard")
-    codes = [np.array([list(r) for r in c], CODE).reshape(-1, books) for c in samples["codes"]]
-    rows = []
-    for c, r in zip(codes, samples.to_dict("records"), strict=True):
-        row = json.loads(r["metadata"] or "{}") | {"id": r["id"], "audio_steps": len(c)}
-        rows.append(row | ({"text_tokens": len(r["text"])} if profile == "aligned" else {}))
-    line = lambda xs: "".join(json.dumps(x, ensure_ascii=False, sort_keys=True) + "\n" for x in xs).encode()
-    files = {CODES: b"".join(c.tobytes() for c in codes), STEPS: np.array([len(c) for c in codes], COUNT).tobytes(), SAMPLES: line(rows), SKIPS: line(skips)}
+def _listed(x: object) -> list | None:
+    return None if x is None or (isinstance(x, float) and np.isnan(x)) else list(x)
+
+
+def sample_problem(sample: dict, profile: str, books: int) -> str | None:
+    """Why a sample (id, codes, text, dur, metadata) cannot be written; null where it can."""
+    codes, text, dur = (_listed(sample.get(k)) for k in ("codes", "text", "dur"))
+    own = set(json.loads(sample.get("metadata") or "{}")) & set(RESERVED)
+    if profile != "text":
+        widths = {len(c) if isinstance(c, (list, tuple, np.ndarray)) else 1 for c in codes or []}
+        if widths != {books}:
+            return "invalid code shape"
+        flat = np.array([np.ravel(c) for c in codes], np.int64)
+        if flat.min() < 0 or flat.max() > np.iinfo(np.int16).max:
+            return "codes outside the int16 range"
+    if own:
+        return f"metadata uses reserved fields: {sorted(own)}"
+    if profile == "aligned":
+        if text is None or dur is None:
+            return "the aligned profile needs text and durations"
+        if not text or len(text) != len(dur) or min(dur) <= 0:
+            return "invalid alignment"
+        if sum(dur) != len(codes):
+            return "the alignment does not cover all steps"
+    if profile == "rendered" and len(text or []) != len(codes):
+        return "not one token for each step"
+    if profile == "text" and len(text or []) < 2:
+        return "empty tokenized document"
+    return None
+
+
+def _line(rows: list[dict]) -> bytes:
+    return "".join(json.dumps(x, ensure_ascii=False, sort_keys=True) + "\n" for x in rows).encode()
+
+
+def _json(x: dict) -> bytes:
+    return (json.dumps(x, indent=2, sort_keys=True) + "\n").encode()
+
+
+def encode(samples: pd.DataFrame, profile: str, books: int, preprocessing: dict, skips: list[dict], keep_audio: bool = False) -> dict[str, bytes]:
+    """All files of one shard. Samples that cannot be written join the skips; raises EmptyShard if none is left."""
+    if profile not in PROFILES:
+        raise ValueError(f"profile must be one of {PROFILES}")
+    if books < 1:
+        raise ValueError("the number of codebooks must be positive")
+    kept, skips = [], list(skips)
+    for row in samples.to_dict("records"):
+        why = sample_problem(row, profile, books)
+        if why is None:
+            kept.append(row)
+        else:
+            skips.append({"id": row["id"], "reason": "ValueError", "detail": why})
+    if not kept:
+        raise EmptyShard(profile, preprocessing, skips)
+    as_array = lambda row, k, kind: np.array([np.ravel(x) for x in row[k]], kind) if k == "codes" else np.array(list(row[k]), kind)
+    column = lambda k, kind: [as_array(r, k, kind) for r in kept]
+    join = lambda xs: b"".join(x.tobytes() for x in xs)
+    counts = lambda xs: np.array([len(x) for x in xs], COUNT).tobytes()
+    codes = column("codes", CODE) if profile != "text" else []
+    text = column("text", WORD) if profile != "units-only" else []
+    files, waveforms = {}, {}
+    rows = [json.loads(r["metadata"] or "{}") | {"id": r["id"]} for r in kept]
+    if profile in ("units-only", "aligned"):
+        files |= {CODES: join(codes), STEPS: counts(codes)}
+        for row, c in zip(rows, codes, strict=True):
+            row["audio_steps"] = len(c)
+        if keep_audio:
+            waveforms = {name: data for row, r in zip(rows, kept, strict=True) for name, data in _waveform(row, r)}
     if profile == "aligned":
-        text, dur = ([np.array(x, WORD) for x in samples[k]] for k in ("text", "dur"))
-        files |= {TEXT: b"".join(t.tobytes() for t in text), TEXT_COUNTS: np.array([len(t) for t in text], COUNT).tobytes(), DURATIONS: b"".join(d.tobytes() for d in dur)}
-    meta = {
-        "schema_version": VERSION, "profile": profile, "n_codebooks": books, "num_samples": len(samples), "num_audio_steps": sum(map(len, codes)),
-        "num_text_tokens": sum(len(t) for t in samples["text"]) if profile == "aligned" else 0, "num_skipped": len(skips), "keep_audio": False, "preprocessing": preprocessing,
-        "checksums": {k: hashlib.sha256(v).hexdigest() for k, v in sorted(files.items())},
-    }
-    return files | {META: (json.dumps(meta, indent=2, sort_keys=True) + "\n").encode()}
+        files |= {TEXT: join(text), TEXT_COUNTS: counts(text), DURATIONS: join(column("dur", WORD))}
+        for row, t in zip(rows, text, strict=True):
+            row["text_tokens"] = len(t)
+    elif profile == "text":
+        files |= {TEXT: join(text), TEXT_COUNTS: counts(text)}
+        for row, t in zip(rows, text, strict=True):
+            row["tokens"] = len(t)
+    elif profile == "rendered":
+        files |= {IMAGE: join(codes), IMAGE_STEPS: counts(codes), TEXT: join(text)}
+        for row, c in zip(rows, codes, strict=True):
+            row["steps"] = len(c)
+    files |= {SAMPLES: _line(rows), SKIPS: _line(skips)} | waveforms
+    steps, tokens = sum(map(len, codes)), sum(map(len, text))
+    told = {"num_samples": len(kept), "num_skipped": len(skips), "schema_version": VERSION, "checksums": {k: hashlib.sha256(v).hexdigest() for k, v in sorted(files.items())}}
+    if profile == "text":
+        told |= {"modality": MODALITY[profile], "num_tokens": tokens, "request": preprocessing}
+    elif profile == "rendered":
+        told |= {"modality": MODALITY[profile], "num_steps": steps, "n_codebooks": books, "request": preprocessing}
+    else:
+        told |= {"profile": profile, "n_codebooks": books, "num_audio_steps": steps, "num_text_tokens": tokens, "keep_audio": keep_audio, "preprocessing": preprocessing}
+    return files | {META: _json(told)}
+
+
+class EmptyShard(ValueError):
+    """No sample is left; holds the diagnostics' files by their suffix."""
+
+    def __init__(self, profile: str, preprocessing: dict, skips: list[dict]):
+        super().__init__("refusing to publish an empty shard")
+        lines = _line(skips)
+        told = {"schema_version": VERSION, "profile": profile, "num_assigned_records": preprocessing.get("num_assigned_records"), "num_skipped": len(skips), "skips_sha256": hashlib.sha256(lines).hexdigest()}
+        self.files = {".failed.skips.jsonl": lines, ".failed.json": _json(told)}
+
+
+def _waveform(row: dict, sample: dict) -> Iterator[tuple[str, bytes]]:
+    """The file of a kept waveform; its name joins the sample's row."""
+    if (wave := _listed(sample.get("waveform"))) is None:
+        return
+    import io
+
+    try:
+        import soundfile
+    except ImportError as e:
+        raise ImportError("soundfile is needed to keep audio") from e
+    safe = re.sub(r"[^A-Za-z0-9_.-]+", "_", sample["id"])
+    row["prepared_audio"] = f"waveforms/{safe}-{hashlib.sha1(sample['id'].encode(), usedforsecurity=False).hexdigest()[:10]}.flac"
+    out = io.BytesIO()
+    soundfile.write(out, np.array(wave, np.float32), int(sample.get("sample_rate") or 16000), format="FLAC")
+    yield row["prepared_audio"], out.getvalue()
+
+
+def same_request(meta: dict, profile: str, books: int, preprocessing: dict, keep_audio: bool) -> bool:
+    """Whether a finished shard was prepared with these parameters."""
+    if profile in MODALITY:
+        return (meta.get("modality"), meta.get("request"), meta.get("n_codebooks", books)) == (MODALITY[profile], preprocessing, books)
+    return (meta.get("profile"), meta.get("n_codebooks"), meta.get("preprocessing"), bool(meta.get("keep_audio"))) == (profile, books, preprocessing, keep_audio)
 
 
 def decode(shard: str, files: dict[str, bytes], verify: bool = True) -> pd.DataFrame:
-    """Samples of one shard; raises ValueError with the first broken rule."""
+    """Samples of one shard of any kind; raises ValueError with the first broken rule."""
     if META not in files:
         raise ValueError(f"{shard}: no meta.json")
     meta = json.loads(files[META])
     if meta.get("schema_version") != VERSION:
         raise ValueError(f"{shard}: schema version")
     rows = [json.loads(x) for x in files.get(SAMPLES, b"").decode().splitlines() if x.strip()]
-    steps, books = np.frombuffer(files[STEPS], COUNT), int(meta["n_codebooks"])
-    aligned = meta["profile"] == "aligned"
-    checks = [
-        ("sample count", len(steps) == meta["num_samples"]), ("lengths", (steps > 0).all()), ("audio steps", steps.sum() == meta["num_audio_steps"]),
-        ("audio size", len(files[CODES]) == int(steps.sum()) * books * 2), ("metadata count", len(rows) == len(steps)),
-        ("sample ids", all(r.get("id") for r in rows) and len({r["id"] for r in rows}) == len(rows)),
-    ]
-    if aligned:
-        counts = np.frombuffer(files[TEXT_COUNTS], COUNT)
+    kinds = {v: k for k, v in MODALITY.items()}
+    profile = kinds[meta["modality"]] if "modality" in meta else meta["profile"]
+    lengths = {"text": TEXT_COUNTS, "rendered": IMAGE_STEPS}.get(profile, STEPS)
+    steps, books = np.frombuffer(files[lengths], COUNT), int(meta.get("n_codebooks", 1))
+    total = int(steps.sum())
+    checks = [("sample count", len(steps) == meta["num_samples"]), ("lengths", (steps > 0).all())]
+    if profile == "text":
+        checks += [("token count", total == meta["num_tokens"]), ("text size", len(files[TEXT]) == total * 4)]
+    elif profile == "rendered":
+        checks += [("step count", total == meta["num_steps"]), ("image size", len(files[IMAGE]) == total * books * 2), ("text size", len(files[TEXT]) == total * 4)]
+    else:
+        checks += [("audio steps", total == meta["num_audio_steps"]), ("audio size", len(files[CODES]) == total * books * 2)]
+    checks += [("metadata count", len(rows) == len(steps)), ("sample ids", all(r.get("id") for r in rows) and len({r["id"] for r in rows}) == len(rows))]
+    counts = np.frombuffer(files[TEXT_COUNTS], COUNT) if profile == "aligned" else steps
+    if profile == "aligned":
         checks += [("text counts", len(counts) == len(steps)), ("text size", len(files[TEXT]) == int(counts.sum()) * 4 and len(files[DURATIONS]) == int(counts.sum()) * 4)]
     checks += [("checksums", all(hashlib.sha256(files.get(k, b"")).hexdigest() == v for k, v in meta["checksums"].items() if not k.startswith("waveforms/")))] if verify else []
     for name, ok in checks:
         if not ok:
             raise ValueError(f"{shard}: {name}")
-    out = pd.DataFrame({"shard": shard, "place": np.arange(len(steps), dtype=np.int32), "id": [r["id"] for r in rows], "codes": [c.tolist() for c in cut(np.frombuffer(files[CODES], CODE).reshape(-1, books), steps)]})
-    text, dur = ([x.tolist() for x in cut(np.frombuffer(files[k], WORD), counts)] for k in (TEXT, DURATIONS)) if aligned else ([None] * len(steps),) * 2
-    if aligned and any(sum(d) != n or min(d, default=0) <= 0 for d, n in zip(dur, steps, strict=True)):
+    none = [None] * len(steps)
+    lists = lambda name, kind, sizes, width=None: [x.tolist() for x in cut(np.frombuffer(files[name], kind).reshape(-1, width) if width else np.frombuffer(files[name], kind), sizes)]
+    codes = none if profile == "text" else lists(IMAGE if profile == "rendered" else CODES, CODE, steps, books)
+    text = none if profile == "units-only" else lists(TEXT, WORD, counts)
+    dur = lists(DURATIONS, WORD, counts) if profile == "aligned" else none
+    if profile == "aligned" and any(sum(d) != n or min(d, default=0) <= 0 for d, n in zip(dur, steps, strict=True)):
         raise ValueError(f"{shard}: duration sums")
-    own = ("id", "audio_steps", "text_tokens")
-    return out.assign(text=list(text), dur=list(dur), metadata=[json.dumps({k: v for k, v in r.items() if k not in own}, sort_keys=True) for r in rows])
+    own = ("id", "audio_steps", "text_tokens", "tokens", "steps")
+    told = [json.dumps({k: v for k, v in r.items() if k not in own}, sort_keys=True) for r in rows]
+    return pd.DataFrame({"shard": shard, "place": np.arange(len(steps), dtype=np.int32), "id": [r["id"] for r in rows], "codes": codes, "text": text, "dur": dur, "metadata": told})
 
 
 def decode_shards(spark: SparkSession, root: str, verify: bool = True) -> DataFrame:
@@ -112,6 +239,43 @@ def decode_parts(spark: SparkSession, root: str, part: str, books: int, alias: s
     return named.groupBy("part").applyInPandas(run, "place int, codes array<array<int>>, text array<int>")
 
 
+def part_problem(lengths: bytes | None, expected: int) -> str | None:
+    """Why a prepared part is not complete (V12): no lengths, or not as many as there should be."""
+    if lengths is None:
+        return "no lengths"
+    return None if len(lengths) == expected * np.dtype(COUNT).itemsize else "entries missing"
+
+
+def write_part(rows: DataFrame, root: str, part: str, alias: str | None = None, number: str = CODE) -> None:
+    """A ragged part (SNK7) of rows (place, codes, text) in order of place: bin, len and, with an alias, the text beside.
+
+    A part is one unit: its rows meet in one task, which appends them batch by batch to files aside and renames them."""
+    names = {f"{part}.bin": "codes", f"{part}.len": None} | ({f"{part}_{alias}.bin": "text"} if alias else {})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(root, exist_ok=True)
+        aside = {name: os.path.join(root, f".{name}.{uuid.uuid4().hex}") for name in names}
+        n = 0
+        streams = {name: open(path, "wb") for name, path in aside.items()}  # noqa: SIM115
+        try:
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    codes = np.array([np.ravel(c) for c in row["codes"]], number)
+                    streams[f"{part}.bin"].write(codes.tobytes())
+                    streams[f"{part}.len"].write(np.array([len(codes)], COUNT).tobytes())
+                    if alias:
+                        streams[f"{part}_{alias}.bin"].write(np.array(list(row["text"]), WORD).tobytes())
+                    n += 1
+        finally:
+            for stream in streams.values():
+                stream.close()
+        for name, path in aside.items():
+            os.replace(path, os.path.join(root, name))
+        yield pd.DataFrame({"n": [n]})
+
+    rows.select("place", "codes", *(["text"] if alias else [])).repartition(1).sortWithinPartitions("place").mapInPandas(run, "n long").collect()
+
+
 class _Shard(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -140,46 +304,65 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Rows (shard, id, codes, text, dur, metadata) clustered by shard. Shards that stand with equal settings stay."""
+    """Rows (WRITTEN's columns) clustered by shard and in order. Shards that stand with equal settings stay."""
 
     def __init__(self, options: dict[str, str]):
         self.root, self.profile, self.books = options["path"], options.get("profile", "units-only"), int(options.get("codebooks", "1"))
-        self.preprocessing = json.loads(options.get("preprocessing", "{}"))
+        self.preprocessing, self.keep_audio = json.loads(options.get("preprocessing", "{}")), options.get("keepAudio", "false") == "true"
         self.stage = os.path.join(self.root, f".tmp-{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator) -> _Written:
-        by_shard: dict[str, list[dict]] = {}
-        for row in iterator:
-            by_shard.setdefault(row["shard"], []).append(row.asDict())
-        for shard, rows in by_shard.items():
-            final = os.path.join(self.root, shard, META)
-            if os.path.exists(final):
-                with open(final) as f:
-                    old = json.load(f)
-                if (old["profile"], old["n_codebooks"], old["preprocessing"]) != (self.profile, self.books, self.preprocessing):
+        shards, rows = [], []
+        for row in iterator:  # one shard after another
+            if rows and rows[-1]["shard"] != row["shard"]:
+                shards.append(self._put(rows))
+                rows = []
+            rows.append(row.asDict())
+        return _Written([*shards, self._put(rows)] if rows else shards)
+
+    def _put(self, rows: list[dict]) -> str:
+        shard = rows[0]["shard"]
+        final = os.path.join(self.root, shard, META)
+        if os.path.exists(final):
+            with open(final) as f:
+                if not same_request(json.load(f), self.profile, self.books, self.preprocessing, self.keep_audio):
                     raise ValueError(f"completed shard {shard} was prepared with different parameters")
-                continue
-            files = encode(pd.DataFrame(rows).sort_values("id"), self.profile, self.books, self.preprocessing, [])
-            folder = os.path.join(self.stage, shard)
-            shutil.rmtree(folder, ignore_errors=True)
-            os.makedirs(folder)
-            for name, content in files.items():
-                with open(os.path.join(folder, name), "wb") as f:
-                    f.write(content)
-                    f.flush()
-                    os.fsync(f.fileno())
-        return _Written(list(by_shard))
+            return shard
+        skips = [{"id": r["id"], "reason": r["skip"], "detail": r["detail"] or ""} for r in rows if r["skip"] is not None]
+        samples = pd.DataFrame([r for r in rows if r["skip"] is None], columns=list(WRITTEN)).astype(object)
+        try:
+            files = encode(samples, self.profile, self.books, self.preprocessing, skips, self.keep_audio)
+        except EmptyShard as e:
+            for suffix, content in e.files.items():
+                _store(os.path.join(self.root, shard + suffix), content)
+            raise
+        folder = os.path.join(self.stage, shard)
+        shutil.rmtree(folder, ignore_errors=True)
+        for name, content in files.items():
+            _store(os.path.join(folder, name), content)
+        return shard
 
     def commit(self, messages: list[_Written | None]) -> None:
         for shard in sorted({s for m in messages if m for s in m.shards}):
             if os.path.isdir(staged := os.path.join(self.stage, shard)):
                 os.rename(staged, os.path.join(self.root, shard))
+                for suffix in (".failed.json", ".failed.skips.jsonl"):
+                    if os.path.exists(old := os.path.join(self.root, shard + suffix)):
+                        os.unlink(old)
         shutil.rmtree(self.stage, ignore_errors=True)
 
     def abort(self, messages: list[_Written | None]) -> None:
         shutil.rmtree(self.stage, ignore_errors=True)
 
 
+def _store(path: str, content: bytes) -> None:
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(content)
+        f.flush()
+        os.fsync(f.fileno())
+
+
 class PackedShardSource(DataSource):
     """Format `packed_shard`: options path, verify; for writing profile, codebooks, preprocessing (JSON)."""
 
@@ -197,9 +380,26 @@ class PackedShardSource(DataSource):
         return _Writer(self.options)
 
 
-def write_shards(samples: DataFrame, root: str, profile: str = "units-only", codebooks: int = 1, preprocessing: dict | None = None) -> None:
-    """One folder a shard; a shard's rows meet in one task, as its folder is one unit."""
+def write_shards(samples: DataFrame, root: str, profile: str = "units-only", codebooks: int = 1, preprocessing: dict | None = None, keep_audio: bool = False) -> None:
+    """One folder a shard; a shard's rows meet in one task, as its folder is one unit. Columns of WRITTEN that are missing are null."""
     samples.sparkSession.dataSource.register(PackedShardSource)
     os.makedirs(root, exist_ok=True)
-    rows = samples.select("shard", "id", "codes", "text", "dur", "metadata").repartition("shard")
-    rows.write.format("packed_shard").option("path", root).option("profile", profile).option("codebooks", str(codebooks)).option("preprocessing", json.dumps(preprocessing or {})).mode("append").save()
+    kinds = {"place": "long", "codes": "array<array<int>>", "text": "array<int>", "dur": "array<int>", "waveform": "array<float>", "sample_rate": "int"}
+    rows = samples.select(*((F.col(c) if c in samples.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in WRITTEN))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "place", "id")
+    options = {"path": root, "profile": profile, "codebooks": str(codebooks), "preprocessing": json.dumps(preprocessing or {}), "keepAudio": str(keep_audio).lower()}
+    rows.write.format("packed_shard").options(**options).mode("append").save()
+
+
+def shard_name(index: int) -> str:
+    return f"shard-{index:05d}"
+
+
+def write_text_shards(texts: DataFrame, root: str, request: dict, shards: int) -> None:
+    """Text shards (SNK3): texts (source_index, id, ids with the end id), a contiguous stretch of indices in each shard."""
+    from weft.operators.planning import range_shard
+
+    total = texts.agg(F.max("source_index")).first()[0]
+    name = F.format_string("shard-%05d", range_shard(F.col("source_index"), (total or 0) + 1, shards))
+    told = F.to_json(F.struct("source_index"))
+    write_shards(texts.select(name.alias("shard"), F.col("source_index").alias("place"), "id", F.col("ids").alias("text"), told.alias("metadata")), root, "text", 1, request | {"num_shards": shards})
