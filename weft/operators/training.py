@@ -20,6 +20,22 @@ def utilization(parameters: Column, layers: Column, heads: Column, dim: Column,
     return per_token * context * passes / seconds / PEAK[device]
 
 
+def depth_flops(parameters: Column, codebooks: Column, layers: Column, heads: Column, dim: Column) -> Column:
+    """FLOPs a token of a transformer over the codebooks: its parameters for each codebook but the first, and its attention."""
+    return 6.0 * parameters * (codebooks - 1) + 12.0 * layers * heads * F.floor(dim / heads) * codebooks * codebooks
+
+
+def utilization_with_depth(utilized: Column, depth: Column, context: Column, passes: Column, seconds: Column, device: str = "A100") -> Column:
+    """utilization() with the FLOPs a token of depth transformers (the sum of depth_flops) added."""
+    return utilized + depth * context * passes / seconds / PEAK[device]
+
+
+def write_metrics(steps: DataFrame, path: str) -> None:
+    """Step metrics as JSON lines in step order (SNK11); every column of steps is a metric."""
+    line = F.to_json(F.struct(*sorted(steps.columns)), {"ignoreNullFields": "false"})
+    steps.repartitionByRange("step").sortWithinPartitions("step").select(line.alias("value")).write.mode("errorifexists").text(path)
+
+
 def validation_mean(losses: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of losses over sum of counts: partial sums per task, then one mean."""
     return losses.groupBy(*keys).agg((F.sum("loss") / F.count("loss")).alias("loss"), F.count("loss").alias("batches"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.functions import numeric
+from weft.functions.hashing import uniform_sql
 from weft.operators import scoring, training
 from weft.plans.registry import load, query
 
@@ -114,7 +115,11 @@ def topk_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("vec_id", F.size("kept").cast("long").alias("kept"), F.round(F.array_min("kept"), 6).alias("lowest"), scoring.greedy(F.col("logits")).alias("best"))
 
 
-@query()
+@query(
+    f"""with x as (select vec_id, unnest(range(64)) as i, unnest(embedding)::double * 10 / 0.8::double as x from embeddings), r as (select *, rank() over (partition by vec_id order by x desc) as rk, max(x) over (partition by vec_id) as top from x),
+    p as (select vec_id, i, rk, case when rk <= 5 then exp(x - top) else 0.0 end as p from r), c as (select *, sum(p) over (partition by vec_id order by i) as upto, sum(p) over (partition by vec_id) as total from p)
+    select vec_id, coalesce(min(i) filter (upto > {uniform_sql('7', 'vec_id', "'choice'")} * total), min(i) filter (rk = 1))::int as choice from c group by 1"""
+)
 def sampled_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A draw from the five best at temperature 0.8, by the vector's own uniform."""
     return _logits(spark, sf_dir).select("vec_id", scoring.sample(F.col("logits"), 0.8, 5, 7, F.col("vec_id"), "choice").alias("choice"))
