@@ -1,10 +1,10 @@
 """Vectorised word and n-gram arithmetic on Arrow text batches.
 
 A block joins whole documents, never cutting one, so memory follows the block limit or the longest
-text, whichever is larger. Words are found on UTF-8 bytes (separators are ASCII). Word, line and
-n-gram identity is a 64-bit hash: a positional polynomial modulo 2**64, so that every substring's
-value comes from one running sum, then a finaliser. Two different strings of one task meet with a
-chance near 2**-64 for each pair.
+text, whichever is larger. Words are found on UTF-8 bytes (separators are ASCII). Words, lines and
+pieces are identified by a 64-bit hash of their bytes and length: eight bytes at a time go through a
+bijective mixer, and spans over LONG_SPAN bytes are hashed by XXH64. Two different spans meet with a
+chance near 2**-64, unless someone searched for a pair that collides; identities are not compared further.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
@@ -21,17 +22,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            factors = np.full(max(n, BLOCK_BYTES + 65536), base, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers[0], _powers[1]
+LONG_SPAN = 128  # bytes
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,18 +34,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, running: np.ndarray | None = None) -> np.ndarray:
-    """64-bit identities of spans of bytes or code points; running: sums() of the units, if there already."""
-    down = _power_tables(len(units))[1]
-    running = sums(units) if running is None else running
-    value = (running[ends] - running[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit identities of spans of bytes or code points, by their bytes."""
+    data = np.concatenate([np.ascontiguousarray(units).view(np.uint8), np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    at, left = starts * units.itemsize, (ends - starts) * units.itemsize
+    out = mix(left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(_BASE))
+    long = np.flatnonzero(left > LONG_SPAN)
+    raw = memoryview(data)
+    for k in long.tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[at[k] : at[k] + left[k]], LONG_SPAN)
+    rest = np.flatnonzero((left > 0) & (left <= LONG_SPAN))
+    at, left = at[rest], left[rest]
+    while len(rest):
+        chunk = eights[at] & _KEPT[np.minimum(left, 8)]
+        out[rest] = mix((out[rest] ^ chunk) * np.uint64(_BASE))
+        more = left > 8
+        rest, at, left = rest[more], at[more] + 8, left[more] - 8
+    return out
 
 
-def sums(units: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * _power_tables(len(units))[0][: len(units)], out=out[1:])
-    return out
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Block:
@@ -77,13 +78,10 @@ class Block:
         self.first = np.searchsorted(self.starts, np.append(self.doc_start, len(data)))
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n), self.counts)
-        self._running: np.ndarray | None = None
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit identities of the byte spans."""
-        if self._running is None:
-            self._running = sums(self.data)
-        return span_hashes(self.data, starts, ends, self._running)
+        return span_hashes(self.data, starts, ends)
 
     def word_hashes(self) -> np.ndarray:
         return self.spans(self.starts, self.ends)
@@ -168,14 +166,49 @@ def text_facts(b: Block) -> dict[str, np.ndarray]:
     }
 
 
+def _points(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a block (their bytes as one number), and each document's first one and its end among them."""
+    head = np.flatnonzero((b.data & 0xC0) != 0x80)
+    point = b.data[head].astype(np.uint32)
+    wide = np.flatnonzero(point >= 0xC0)
+    lead, at = point[wide], head[wide]
+    for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        has = lead >= least
+        point[wide[has]] = point[wide[has]] << np.uint32(8) | b.data[at[has] + k]
+    ends = np.searchsorted(head, b.doc_end)
+    return point, np.concatenate(([0], ends[:-1] + 1)), ends
+
+
+def _finish(key: np.ndarray) -> np.ndarray:
+    key = key * np.uint32(0x9E3779B1)
+    key ^= key >> np.uint32(15)
+    return key
+
+
+def char_grams(b: Block, *sizes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size (ascending): hashes of the grams of code points that lie inside one document, and their documents."""
+    point, starts, ends = _points(b)
+    doc = np.repeat(np.arange(b.n), ends - starts + 1)
+    out, key, n = [], np.zeros(len(point), np.uint32), 0
+    for size in sizes:
+        for k in range(n, size):
+            m = max(len(point) - k, 0)
+            key = key[:m] * np.uint32(0x01000193) + point[k:]
+        n = size
+        inside = np.ones(len(key), bool)
+        for end in ends.tolist():
+            inside[max(end - n + 1, 0) : end + 1] = False
+        out.append((_finish(key)[inside], doc[: len(key)][inside]))
+    return out
+
+
 def byte_grams(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the byte n-grams that lie inside one document, and their first bytes' positions."""
     m = max(len(b.data) - n + 1, 0)
     key = np.zeros(m, np.uint32)
     for k in range(n):
         key = key * np.uint32(0x01000193) + b.data[k : k + m]
-    key = key * np.uint32(0x9E3779B1)
-    key ^= key >> np.uint32(15)
+    key = _finish(key)
     inside = np.ones(m, bool)
     for end in b.doc_end:
         inside[max(end - n + 1, 0) : end + 1] = False

@@ -2,9 +2,9 @@
 
 Documents become token ids followed by an end id; only documents longer than a sequence are cut. How a
 sequence is filled depends on lengths alone, so the plan is made on the histogram of lengths (at most
-`capacity` numbers, whatever the corpus). Longest first, a length's gap is filled exactly by one, two or
-three available lengths (indices of single, pair and triple sums, kept true under the availability
-counts); where no exact filling is left, best fit: the longest length that still fits, again and again.
+`capacity` numbers, whatever the corpus). Longest first, a length's gap is looked up in the index of the
+single, pair and triple sums of the available lengths (see Sums) and filled exactly by what is filed
+there; where no exact filling is left, best fit: the longest length that still fits, again and again.
 Each pattern is used as often as its counts allow, so every step uses up some length and the plan has at
 most a few thousand patterns. A piece finds its place from its length and its rank within that length;
 ranks are counted in each scan task and shifted by the totals of the tasks before.
@@ -40,25 +40,31 @@ TABLE_PIECES = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
-#: Classes of code points for the vocabulary's splitting rule.
-SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+#: Classes of code points for the vocabulary's splitting rule; STRANGE ones are not assigned in Python's tables.
+SPACE, LETTER, NUMBER, OTHER, STRANGE = 0, 1, 2, 3, 4
 
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER, "Z": SPACE}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    kinds = {"L": LETTER, "N": NUMBER, "Z": SPACE, "Cn": STRANGE}
+    names = map(unicodedata.category, map(chr, range(0x110000)))
+    out = np.fromiter((kinds.get(name, kinds.get(name[0], OTHER)) for name in names), np.uint8, 0x110000)
     out[[*range(0x09, 0x0E), 0x85]] = SPACE
     return out
 
 
+def strange(text: str) -> bool:
+    return not text.isascii() and bool((classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] == STRANGE).any())
+
+
 class TokenEncoder:
     """Ids of whole texts by the vocabulary file; holds the ids of at most `table` distinct pieces.
 
     The file's rule lower-cases composed (NFC) text and cuts it into runs of letters, single numbers and runs
     of anything else but space; each piece is encoded alone. Pieces are found on code points in bulk and only
     new ones go through the tokenizer. Texts with an apostrophe, which the rule treats by cases, a capital
-    sigma, whose lower case depends on its place, or a special token's string go through the tokenizer whole."""
+    sigma, whose lower case depends on its place, a special token's string or a code point that Python's tables
+    don't know, while the tokenizer's may, go through the tokenizer whole."""
 
     def __init__(self, path: str, table: int = TABLE_PIECES):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -92,7 +98,7 @@ class TokenEncoder:
         self.used += total
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [k for k, t in enumerate(texts) if "'" in t or "\u03a3" in t or any(x in t for x in self.special)]
+        odd = [k for k, t in enumerate(texts) if "'" in t or "\u03a3" in t or any(x in t for x in self.special) or strange(t)]
         plain = list(texts)
         for k in odd:
             plain[k] = ""
@@ -164,11 +170,61 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
+class Sums:
+    """Index of the sums of one, two and three available lengths: a sum's entry is the filling with the largest member.
+
+    Lengths only become fewer, so an entry that no longer holds is filed anew from its largest member downwards,
+    and a sum without a filling stays without one. A sum is asked for by one length only, its complement; that
+    length's own piece is set aside (`taken`) when an entry is tested."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        at = np.flatnonzero(left)
+        self.pairs: dict[int, int] = {}  # sum to the larger member
+        for x in at.tolist():  # ascending, so the largest member is filed last
+            self.pairs.update(zip((x + at[at <= x]).tolist(), repeat(x)))
+        self.triples: dict[int, int] = {}  # sum to the largest member
+        self.longest = int(at[-1]) if len(at) else 0
+
+    def _held(self, need: Counter) -> bool:
+        return all(self.left[k] >= v for k, v in need.items())
+
+    def single(self, total: int, taken: Counter) -> tuple[int, ...] | None:
+        return (total,) if self._held(taken + Counter((total,))) else None
+
+    def _pair_from(self, total: int, most: int, taken: Counter) -> tuple[int, ...] | None:
+        """The pair whose larger member is the largest one up to `most`."""
+        a = np.arange(min(total - 1, most), (total - 1) // 2, -1)
+        for x in a[(self.left[a] > 0) & (self.left[total - a] > 0)].tolist() if len(a) else ():
+            if self._held(taken + Counter((x, total - x))):
+                return x, total - x
+        return None
+
+    def pair(self, total: int, taken: Counter) -> tuple[int, ...] | None:
+        if total not in self.pairs:
+            return None
+        found = self._pair_from(total, self.pairs[total], taken)
+        if found:
+            self.pairs[total] = found[0]
+        else:
+            del self.pairs[total]
+        return found
+
+    def triple(self, total: int, taken: Counter) -> tuple[int, ...] | None:
+        for a in range(min(self.triples.get(total, total - 2), self.longest), (total - 1) // 3, -1):
+            if self.left[a] > taken[a] and total - a in self.pairs and (found := self._pair_from(total - a, a, taken + Counter((a,)))):
+                self.triples[total] = a
+                return a, *found
+        self.triples[total] = 0
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one sequence, how many such sequences) that use up all counts."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
+    sums = Sums(left)
     out: list[tuple[tuple[int, ...], int]] = []
 
     def use(items: tuple[int, ...]) -> None:
@@ -178,46 +234,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             left[x] -= n * k
         out.append((items, n))
 
-    def pair(total: int, most: int, taken: Counter) -> tuple[int, int] | None:
-        """The pair of available lengths with this sum whose larger one is the largest, at most `most`."""
-        a = np.arange(min(total - 1, most), (total - 1) // 2, -1)
-        if not len(a):
-            return None
-        for x in a[(left[a] > 0) & (left[total - a] > 0)].tolist():
-            need = taken + Counter((x, total - x))
-            if all(left[k] >= v for k, v in need.items()):
-                return x, total - x
-        return None
-
-    def exact(length: int) -> tuple[int, ...] | None:
-        gap, taken = capacity - length, Counter((length,))
-        if gap == 0:
-            return ()
-        if left[gap] > taken[gap]:
-            return (gap,)
-        if found := pair(gap, gap, taken):
-            return found
-        for a in range(gap - 2, (gap - 1) // 3, -1):
-            if left[a] > taken[a] and (found := pair(gap - a, a, taken + Counter((a,)))):
-                return (a, *found)
-        return None
+    def best_fit(length: int) -> tuple[int, ...]:
+        chosen, gap = Counter((length,)), capacity - length
+        items = []
+        while gap:
+            fits = np.flatnonzero(left[1 : gap + 1] > 0) + 1
+            best = next((x for x in fits[::-1].tolist() if left[x] > chosen[x]), None)
+            if best is None:
+                break
+            items.append(best)
+            chosen[best] += 1
+            gap -= best
+        return tuple(items)
 
     for length in range(capacity, 0, -1):
         while left[length]:
-            items = exact(length)
-            if items is None:
-                chosen, gap = [length], capacity - length
-                need = Counter(chosen)
-                while gap:
-                    fits = np.flatnonzero(left[1 : gap + 1] > 0) + 1
-                    best = next((x for x in fits[::-1].tolist() if left[x] > need[x]), None)
-                    if best is None:
-                        break
-                    chosen.append(best)
-                    need[best] += 1
-                    gap -= best
-                items = tuple(chosen[1:])
-            use((length, *items))
+            gap, taken = capacity - length, Counter((length,))
+            items = () if not gap else sums.single(gap, taken) or sums.pair(gap, taken) or sums.triple(gap, taken)
+            use((length, *(best_fit(length) if items is None else items)))
     return out
 
 

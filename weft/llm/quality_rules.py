@@ -1,11 +1,13 @@
 """Quality rules: text counts, then a hashed n-gram logistic regression with calibrated probabilities.
 
-Features are frequencies of hashed word 1- and 2-grams and byte 3- and 4-grams, each kind summing to
-one. A linear score over frequencies is a mean of weights over occurrences, so scoring needs one table
-lookup per occurrence and no per-document dictionary.
+Features are frequencies of hashed word 1- and 2-grams and 3- and 4-grams of code points, each kind
+summing to one. A linear score over frequencies is a mean of weights over occurrences, so scoring needs
+one table lookup per occurrence and no per-document dictionary.
 
 The model is fitted on a bounded sample of the labelled rows (`sample` rows of each label, those with
-the smallest hash of doc_id); whole texts are used. One fifth of the sample is left out of the fit and
+the smallest hash of doc_id); whole texts are used. A row reaches the driver as at most BUCKETS pairs of
+a bucket and a frequency, whatever its length, 8 bytes each: with the default sample 262 MB at the very
+most, some 20 MB for texts of ordinary length. One fifth of the sample is left out of the fit and
 calibrates the probability (Platt scaling, weighted to the labels' own ratio).
 
 Defined cases: a null text is an empty one (all counts 0, base_failed); repeated rows each get the same
@@ -15,16 +17,16 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.kernel import Block, blocks, byte_grams, grams, text_facts
+from weft.llm.kernel import Block, blocks, char_grams, grams, text_facts
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 14
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_PROBABILITY = 0.5
@@ -44,14 +46,10 @@ class Model:
 
 def occurrences(b: Block, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind: (bucket, document) of every occurrence."""
-    of_byte = np.repeat(np.arange(b.n), b.doc_end - b.doc_start + 1)
     pairs, at = grams(h, b.doc, 2)
-    out = [(h, b.doc), (pairs, b.doc[at])]
-    for n in (3, 4):
-        key, at = byte_grams(b, n)
-        out.append((key, of_byte[at]))
+    out = [(h, b.doc), (pairs, b.doc[at]), *char_grams(b, 3, 4)]
     quarter = BUCKETS // KINDS
-    return [((key % np.uint64(quarter)).astype(np.int64) + k * quarter if key.dtype == np.uint64 else (key % np.uint32(quarter)).astype(np.int64) + k * quarter, doc) for k, (key, doc) in enumerate(out)]
+    return [((key % key.dtype.type(quarter)).astype(np.int64) + k * quarter, doc) for k, (key, doc) in enumerate(out)]
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,33 +92,50 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL, epoc
     y = np.array([r["label"] for r in rows], float)
     if len(ratio) < 2 or len(set(y)) < 2:
         return None
-    keys = [hash_order(r["index"]) for r in rows]
-    order = np.argsort(keys, kind="stable")
+    order = sorted(range(len(rows)), key=lambda i: (hash_order(rows[i]["index"] + rows[i]["value"]), y[i]))
     rows, y = [rows[i] for i in order], y[order]
     index = np.concatenate([np.frombuffer(r["index"], np.int32) for r in rows])
     value = np.concatenate([np.frombuffer(r["value"], np.float32) for r in rows]) * np.float32(100)
     n = len(rows)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(r["index"]) // 4 for r in rows])
+    length = np.array([len(r["index"]) // 4 for r in rows])
     del rows  # the arrays hold all of it
     held = np.arange(n) % 5 == 0
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
     use = (~held).astype(float) * np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum()))
+    margin = sums_of_runs(index, value, length)
+    turn = np.argsort(index, kind="stable")
+    row = np.repeat(np.arange(n, dtype=np.int32), length)[turn]
+    gradient = sums_of_runs(row, value[turn], np.bincount(index, minlength=BUCKETS))
+    del row, turn
     w, bias, m, v = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), np.zeros(BUCKETS)
     mb = vb = 0.0
-    margin = lambda: np.bincount(row, value * w[index], minlength=n) + bias
     for step in range(1, epochs + 1):  # Adam, all rows each step
-        slack = use * (1 / (1 + np.exp(-np.clip(margin(), -40, 40))) - y)
-        grad = np.bincount(index, value * slack[row], minlength=BUCKETS) + penalty * w
+        slack = use * (1 / (1 + np.exp(-np.clip(margin(w) + bias, -40, 40))) - y)
+        grad = gradient(slack) + penalty * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * slack.sum(), 0.99 * vb + 0.01 * slack.sum() ** 2
         rate = 0.05 / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)
         w, bias = w - rate * m / (np.sqrt(v) + 1e-8), bias - rate * mb / (np.sqrt(vb) + 1e-8)
     part = held if held.any() else ~held
-    slope, offset = platt(margin()[part], y[part], ratio)
+    slope, offset = platt((margin(w) + bias)[part], y[part], ratio)
     return Model((w * 100).astype(np.float32), float(bias), slope, offset)
 
 
+def sums_of_runs(index: np.ndarray, value: np.ndarray, length: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """x to the sums of value * x[index] over consecutive runs of the given lengths."""
+    full = np.flatnonzero(length)
+    begin = (np.cumsum(length) - length)[full]
+
+    def run(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(length))
+        if len(full):
+            out[full] = np.add.reduceat(value * x.astype(np.float32)[index], begin)
+        return out
+
+    return run
+
+
 def hash_order(data: bytes) -> int:
     """An order of rows that does not depend on how they arrive."""
     import zlib
