@@ -6,8 +6,8 @@ logarithm of the depth. Leaves are ranked by their path's mean score (ties: smal
 the `best` first ones are gathered by the same jumps and formatted as one conversation each.
 
 Template, one turn a line group: `### ROLE: TEXT </turn>\n` without the spaces around TEXT. In texts and roles a
-backslash stands before each backslash, `###` and `</turn>`, in roles before `:` too; so no control string of the
-template occurs unescaped inside a text, and reading back removes exactly these backslashes.
+backslash stands before each backslash and each `#` and inside `</turn>` before its slash, in roles before `:` too; so
+neither `###` nor `</turn>` occurs inside a formatted text, and reading back removes exactly these backslashes.
 
 Defined cases: a null role or text is empty; a node whose parent is null or missing is a root; repeated
 (tree, node) rows keep the one of smallest (parent, role, text); a cycle raises an error; equal turns of a
@@ -35,7 +35,7 @@ _BACK = re.compile(r"\\(.)", re.DOTALL)
 
 def escape(text: Column, role: bool = False) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(F.replace(out, F.lit("###"), F.lit("\\###")), F.lit("</turn>"), F.lit("\\</turn>"))
+    out = F.replace(F.replace(out, F.lit("#"), F.lit("\\#")), F.lit("</turn>"), F.lit("<\\/turn>"))
     return F.replace(out, F.lit(":"), F.lit("\\:")) if role else out
 
 
