@@ -1,13 +1,15 @@
 """Media columns: Netpbm and BMP images as numpy arrays, NPY tiles and difference hashes.
 
 decode() reads P1 to P6 (8 and 16 bits a sample, comments allowed) and uncompressed BMP (1, 4, 8, 24 and 32
-bits). Images are shrunk or enlarged by area: an integral image, linear between its nodes, gives each
-target cell's exact mean. A tile is written as NPY; the difference hash compares neighbours of a
-9 x 8 area resize of the grey image.
-
-Defined cases: a null or undecodable image has null results and the reason in `error`; an empty text is
-one block of padding; repeated rows get equal results; an empty table gives an empty result; extra
-columns are ignored.
+bits). Samples of a maximum other than 255 or 65535 are scaled to 255 (up to 255) or 65535. Images are shrunk or
+enlarged by area: an integral image, linear between its nodes, gives each target cell's exact mean; of the
+integral image only the nodes that the target needs are kept, stripe by stripe. A tile is written as NPY; the
+difference hash compares neighbours of a 9 x 8 area resize of the grey image.
+
+Defined cases: a null or undecodable image (an unknown format, numbers out of range, more samples claimed than
+there are, samples above the maximum, digits other than 0 and 1 in P1) has null results and the reason in `error`;
+an empty text is one block of padding; repeated rows get equal results; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 SIDE = 24
 SQUARE = SIDE * SIDE
 TILE = 32
+STRIPE = 1 << 16  # samples that are summed at once
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -39,13 +42,19 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("unknown image format")
 
 
+def _number(token: bytes) -> int:
+    if not token.isdigit() or len(token) > 9:
+        raise ValueError("not a number of 1 to 9 digits")
+    return int(token)
+
+
 def _netpbm(data: bytes) -> np.ndarray:
     kind, at, numbers = data[1] - 48, 2, []
     while len(numbers) < (2 if kind in (1, 4) else 3):
         found = _TOKEN.match(data, at)
         if not found:
             raise ValueError("netpbm header ends early")
-        numbers.append(int(found[1]))
+        numbers.append(_number(found[1]))
         at = found.end()
     width, height = numbers[:2]
     top = numbers[2] if len(numbers) > 2 else 1
@@ -53,11 +62,16 @@ def _netpbm(data: bytes) -> np.ndarray:
         raise ValueError("netpbm header out of range")
     depth = 3 if kind in (3, 6) else 1
     n = width * height * depth
+    bits = {1: 8, 2: 8, 3: 8, 4: 1, 5: 16 if top > 255 else 8, 6: 16 if top > 255 else 8}[kind]  # a sample's least size
+    if n * bits > 8 * (len(data) - at):
+        raise ValueError("netpbm samples end early")
     if kind == 1:
-        bits = re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n]
-        values = 1 - (np.frombuffer(bits, np.uint8) - 48)
+        digits = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n], np.uint8)
+        if not np.isin(digits, (48, 49)).all():
+            raise ValueError("netpbm bits other than 0 and 1")
+        values = 1 - (digits - 48)
     elif kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.int64)
+        values = np.array([_number(x) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split(maxsplit=n)[:n]], np.int64)
     elif kind == 4:
         row = (width + 7) // 8
         packed = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
@@ -66,8 +80,13 @@ def _netpbm(data: bytes) -> np.ndarray:
         values = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at + 1)
     if len(values) != n:
         raise ValueError("netpbm samples end early")
-    if kind in (1, 4):
-        values = values * 255
+    full = 65535 if top > 255 else 255
+    if top != full:
+        if values.max() > top:
+            raise ValueError("netpbm sample above the maximum")
+        values = (values.astype(np.int64) * full + top // 2) // top
+    elif kind in (2, 3) and values.max() > top:
+        raise ValueError("netpbm sample above the maximum")
     values = values.astype(np.uint16 if top > 255 else np.uint8)
     return values.reshape((height, width, 3) if depth == 3 else (height, width))
 
@@ -78,6 +97,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width < 1 or height == 0:
         raise ValueError("unsupported BMP")
     row = (width * bits + 31) // 32 * 4
+    if start + row * abs(height) > len(data):
+        raise ValueError("BMP pixels end early")
     pixels = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)
     if bits >= 24:
         image = pixels[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
@@ -108,16 +129,35 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", start + body.size, 0, 0, start, 40, width, height, 1, 8 * depth, 0, body.size, 2835, 2835, len(palette), 0) + palette.tobytes() + body.tobytes()
 
 
+def _nodes(image: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows before each given one: nodes of the integral image along the first axis."""
+    stripe = max(1, STRIPE * len(image) // image.size)
+    if len(image) <= stripe:
+        total = np.zeros((len(image) + 1, *image.shape[1:]))
+        np.cumsum(image, 0, out=total[1:])
+        return total[rows]
+    wanted, at = np.unique(rows, return_inverse=True)
+    out = np.zeros((len(wanted), *image.shape[1:]))
+    before = 0
+    for low in range(0, len(image), stripe):
+        total = np.cumsum(image[low : low + stripe], 0, np.float64)
+        first, last = np.searchsorted(wanted, (low + 1, low + len(total) + 1))
+        out[first:last] = total[wanted[first:last] - low - 1] + before
+        before = before + total[-1]
+    return out[at]
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Exact area means (float) by an integral image, linear between its nodes."""
-    grid = image.astype(np.float64)
-    for axis, n in ((0, height), (1, width)):
-        total = np.concatenate([np.zeros_like(grid.take([0], axis)), np.cumsum(grid, axis)], axis)
-        edge = np.arange(n + 1) * (image.shape[axis] / n)
-        low = np.minimum(edge.astype(np.int64), image.shape[axis] - 1)
-        part = (edge - low).reshape([-1 if k == axis else 1 for k in range(grid.ndim)])
-        at = total.take(low, axis) * (1 - part) + total.take(low + 1, axis) * part
-        grid = np.diff(at, axis=axis) * (n / image.shape[axis])
+    """Exact area means (float) by an integral image, linear between its nodes; the axis that shrinks most goes first."""
+    grid = image
+    for axis, n in sorted(((0, height), (1, width)), key=lambda x: x[1] / image.shape[x[0]]):
+        size = image.shape[axis]
+        edge = np.arange(n + 1) * (size / n)
+        low = np.minimum(edge.astype(np.int64), size - 1)
+        part = (edge - low).reshape(-1, *[1] * (grid.ndim - 1))
+        total = _nodes(grid.swapaxes(axis, 0), np.concatenate([low, low + 1]))
+        at = total[: n + 1] * (1 - part) + total[n + 1 :] * part
+        grid = (np.diff(at, axis=0) * (n / size)).swapaxes(axis, 0)
     return grid
 
 
@@ -126,7 +166,7 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def difference_hash(image: np.ndarray) -> str:
-    small = np.round(area_resize(grey(image), 8, 9), 6)
+    small = np.round(grey(area_resize(image, 8, 9)), 6)  # grey is linear, so the order does not matter
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -157,7 +197,7 @@ def media_columns(df: DataFrame, image: str = "image", side: int = TILE) -> Data
                 try:
                     a = decode(x or b"")
                     rows.append((a.shape[1], a.shape[0], a.shape[2] if a.ndim == 3 else 1, npy_tile(a, side), difference_hash(a), None))
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, struct.error, IndexError, OverflowError) as e:
                     rows.append((None, None, None, None, None, str(e)[:200]))
             if rows:
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
