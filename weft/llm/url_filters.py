@@ -8,8 +8,9 @@ those run regular expressions. Of the fitting host rules the longest decides; wi
 if a blocking pattern fits and no allowing one does, else allow.
 
 An index of up to INLINE_TOKENS tokens is part of the plan: rows are judged where they are read, without a
-shuffle. A larger one is a table that the distinct urls' tokens are joined with. The rules are a parameter and
-MAX_RULES bounds them (more raise an error). Only the counts of the rules' own tokens reach the driver.
+shuffle. A larger one is a broadcast table that the distinct urls' tokens are looked up in, so that no token, however
+frequent, gathers urls in one task. The rules are a parameter; MAX_RULES and MAX_RULE_LENGTH bound them and so what is
+broadcast (more raise an error). Only the counts of the rules' own tokens reach the driver.
 
 Defined cases: a null url, or one without `://`, has empty host and path, and no rule fits; it is judged by the
 patterns (null: allowed); repeated rows get equal verdicts; an empty table gives an empty result; extra
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_RULES = 200_000
+MAX_RULE_LENGTH = 2048
 INLINE_TOKENS = 200
 _WORD = re.compile("[a-z0-9]+")
 
@@ -72,15 +74,24 @@ def _tokens(url: Column) -> Column:
     return F.array_distinct(F.split(F.lower(url), "[^a-z0-9]+"))
 
 
-def token_counts(pages: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
+def token_counts(pages: DataFrame, rules: tuple[Rule, ...], inline: int = INLINE_TOKENS) -> dict[str, int]:
     """How many urls have each of the rules' tokens."""
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    held = pages.select(F.explode(F.array_intersect(_tokens(F.col("url")), F.array(*map(F.lit, wanted)))).alias("token"))
+    tokens = _tokens(F.col("url"))
+    if len(wanted) <= inline:
+        held = pages.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("token"))
+    else:
+        held = pages.select(F.explode(tokens).alias("token")).join(_lookup(pages, [(t,) for t in wanted], "token string"), "token")
     return {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
+def _lookup(pages: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A broadcast table of the rules, which MAX_RULES and MAX_RULE_LENGTH bound."""
+    return F.broadcast(pages.sparkSession.createDataFrame(rows, schema))
+
+
 def index(rules: tuple[Rule, ...], counts: dict[str, int]) -> tuple[dict[str, list[Rule]], list[Rule]]:
     """Rules under their rarest token, and those tried on every url."""
     by_token: dict[str, list[Rule]] = {}
@@ -97,7 +108,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, inline: int = INLIN
     """page_id, host, path, rule and verdict of every page. More than `inline` tokens are fetched by a join."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
-    by_token, always = index(rules, token_counts(pages, rules))
+    if any(len(r.text) > MAX_RULE_LENGTH for r in rules):
+        raise ValueError(f"a rule longer than {MAX_RULE_LENGTH}")
+    by_token, always = index(rules, token_counts(pages, rules, inline))
     as_row = lambda r: F.struct(F.lit(len(r.text) if r.host_rule else 0).alias("length"), F.lit(r.text).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.host_rule).alias("of_host"), F.lit(r.regex).alias("regex"))
     kind = "struct<length:int,rule:string,action:string,of_host:boolean,regex:string>"
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
@@ -109,7 +122,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, inline: int = INLIN
         candidates = F.concat(candidates, F.flatten(fetched))
     elif by_token:
         filed_rows = [(t, (len(r.text) if r.host_rule else 0, r.text, r.action, r.host_rule, r.regex)) for t, rs in by_token.items() for r in rs]
-        filed = pages.sparkSession.createDataFrame(filed_rows, f"token string, candidate {kind}")
+        filed = _lookup(pages, filed_rows, f"token string, candidate {kind}")
         asked = rows.select("url").where("url is not null").distinct().select("url", F.explode(tokens).alias("token"))
         fetched = asked.join(filed, "token").groupBy("url").agg(F.collect_list("candidate").alias("fetched"))
         rows = rows.join(fetched, "url", "left")
