@@ -1,52 +1,39 @@
-"""Shared-storage tables and native ordering helpers used by the operators."""
+"""Names, row identities and tables used by the operators."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from weft.storage import drop, materialize
+
+__all__ = ["WORD", "documents", "drop", "fresh", "identified", "materialize", "table"]
 
 #: A word is a run of characters other than space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one for local runs and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="weft-shared-")
-        shared_dir.own = folder
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there and survives lost executors.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df does not have, whatever the case."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
-    The table stays until release() or the driver's end, since a lazily evaluated result may still read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
+def identified(df: DataFrame, source: str, row: str) -> DataFrame:
+    """df with two more columns (long) that identify a row, alike in every scan of the result.
 
-@atexit.register
-def release() -> None:
-    """Delete the tables written so far; call it once their results are stored."""
-    while _written:
-        spark, path = _written.pop()
+    Rows of Parquet files are known by a hash of the file's path and their place in it. Other frames are written to
+    the shared folder with a number."""
+    if df._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation"):
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone; the folder's owner clears the rest
-            continue
+            return df.select("*", F.xxhash64("_metadata.file_path").alias(source), F.col("_metadata.row_index").alias(row))
+        except AnalysisException:  # a format without row numbers
+            pass
+    return materialize(df.select("*", F.lit(0).cast("long").alias(source), F.monotonically_increasing_id().alias(row)), "rows")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ document, and these meet again in blocks of BLOCK block results, level by level:
 ones of a source, one for each size class, are rounded from large to small, each so that the words owed so
 far become least.
 
-Everything is DataFrame expressions; a fold runs over a block's sorted array. Block numbers come from a hash,
-so a source with a third of all rows is spread over many blocks.
+Everything is DataFrame expressions; a fold runs over a block's sorted array. Block numbers come from a hash of a
+document's id, source, text and number among its equals, so a source, or one id, with a third of all rows is spread over many
+blocks. Targets come from one sort of the sources by the level at which each is full, summed up range by range.
 
 Defined cases: a null text has no words and none are taken; a null source is a source of its own; repeated
 rows are documents of their own (rounded by themselves); a corpus without words takes none; an empty
@@ -24,13 +25,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.llm.common import WORD, materialize
+from weft.llm.common import WORD, fresh, identified, materialize
+from weft.operators.ordering import running
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 BLOCK = 64
 SEED = 20240229
-MAX_ROUNDS = 1000
 
 _DOC = "struct<neg:bigint,h:bigint,row:bigint,size:bigint,x:double>"
 _STATE = f"struct<champ:{_DOC},owed:double,done:array<struct<row:bigint,bump:int>>>"
@@ -92,42 +93,57 @@ def _fold(rows: DataFrame, keys: list[str], step: Callable[[Column, Column], Col
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """name, source_size and target of each source; sizes: name (sorts as the sources do) and size."""
+    """name, source_size and target of each source; sizes: name (sorts as the sources do) and size.
+
+    A source is full at the level cap / weight. In the order of these levels, the first source whose own level is no
+    less than what the fuller ones leave, shared by weight, sets the level for it and all after it."""
     sources = sizes.groupBy("name").agg(F.sum("size").alias("source_size"))
-    ranged = materialize(sources.repartitionByRange("name").sortWithinPartitions("name").withColumn("stretch", F.spark_partition_id()), "sources")
-    before, shift = 0, F.lit(0)
-    for r in ranged.groupBy("stretch").agg(F.count("*").alias("n")).orderBy("stretch").collect():  # one row a partition
-        shift = F.when(F.col("stretch") == r["stretch"], before).otherwise(shift)
-        before += r["n"]
-    number = F.row_number().over(Window.partitionBy("stretch").orderBy("name")) - 1 + shift
-    weight = F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int"))
-    weighed = materialize(ranged.select("name", "source_size", weight.cast("double").alias("weight"), (F.col("source_size") * limit).cast("double").alias("cap")), "weights")
-    total = weighed.agg(F.sum("source_size").alias("n")).first()["n"] or 0
-    level = 0.0
-    for _ in range(MAX_ROUNDS):
-        full = F.col("cap") < F.lit(level) * F.col("weight")
-        r = weighed.agg(F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
-        after = (total - (r["cap"] or 0)) / r["weight"] if r["weight"] else level
-        if after <= level * (1 + 1e-15):
-            break
-        level = after
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")).cast("double")
+    weighed = running(sources, ["name"], {}).select("name", "source_size", weight.alias("weight"), (F.col("source_size") * limit).cast("double").alias("cap"))
+    weighed = materialize(weighed.withColumn("full_at", F.col("cap") / F.col("weight")), "weights")
+    whole = weighed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    ranked = running(weighed, ["full_at", "name"], {"caps": F.col("cap"), "used": F.col("weight")})
+    share = (F.lit(float(whole["size"] or 0)) - F.col("caps")) / (F.lit(float(whole["weight"] or 1)) - F.col("used"))
+    first = ranked.withColumn("level", share).where("level <= full_at").agg(F.min_by("level", "number").alias("level")).first()
+    level = first["level"] if first["level"] is not None else float("inf")
     return weighed.select("name", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken and key (of the row's content) of every document."""
+def equals_number(sizes: DataFrame) -> DataFrame | None:
+    """(row, equal): numbers, from 0, of the rows whose h other rows share; None where there are none.
+
+    Rows are numbered inside their scan task and shifted by the tasks before, so no value gathers its rows in one task."""
+    shared = materialize(sizes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    if shared.isEmpty():
+        return None
+    alike = materialize(sizes.select("h", "row", "task").join(shared, "h", "left_semi"), "alike")
+    tasks = alike.groupBy("h", "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("h").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("h", "task").orderBy("row")) - 1
+    shifts = tasks.select("h", "task", before.alias("shift"))
+    return alike.withColumn("inside", inside).join(shifts, ["h", "task"]).select("row", (F.col("inside") + F.col("shift")).alias("equal"))
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken of every document, and those of its columns that keep names."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     name = F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source))  # null sorts last
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("name"), size.alias("size"), content_key(docs).alias("key"), F.monotonically_increasing_id().alias("row"))
-    sizes = materialize(rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size") * 2)).otherwise(-1).cast("int")), "sizes")
+    kept = [F.col(c).alias(f"kept{k}") for k, c in enumerate(keep)]
+    h = F.xxhash64(F.col("doc_id").cast("long"), source, text, F.lit(SEED))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("name"), size.alias("size"), h.alias("h"), F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("task"), *kept)
+    half_octave = F.when(F.col("size") > 0, F.floor(F.log2("size") * 2)).otherwise(-1).cast("int")
+    sizes = materialize(rows.withColumn("class", half_octave), "sizes")
     targets = source_targets(sizes, weights, limit)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     kinds = sizes.groupBy("name", "class").agg(F.count("*").alias("n")).join(targets, "name").withColumn("whole", F.floor(rate)).withColumn("x", rate - F.floor(rate))
     kinds = materialize(kinds, "kinds")  # of known size, and free of a partitioning that would keep the join from splitting a large source
-    rated = materialize(sizes.join(kinds, ["name", "class"]), "rated")
+    rated = materialize(sizes.drop("task").join(kinds, ["name", "class"]), "rated")
     open_rows = rated.where((F.col("size") > 0) & (F.col("x") > 0))
-    h = F.xxhash64("doc_id", "size", F.lit(SEED))
+    h = F.col("h")
+    if (numbers := equals_number(sizes)) is not None:
+        open_rows = open_rows.join(numbers, "row", "left")
+        h = F.when(F.coalesce("equal", F.lit(0)) > 0, F.xxhash64("h", "equal")).otherwise(h)
     block = F.pmod(F.xxhash64(h, F.lit(1)), F.ceil(F.col("n") / BLOCK)).cast("long")
     level_rows = open_rows.select("name", "class", block.alias("block"), (-F.col("size")).alias("neg"), h.alias("h"), "row", "size", "x")
     blocks = -(-(rated.agg(F.max("n").alias("n")).first()["n"] or 1) // BLOCK)
@@ -147,20 +163,18 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LI
         bumps = bumps.unionByName(more)
     copies = F.col("whole") + F.coalesce("bump", F.lit(0))
     out = rated.join(bumps.select("d.row", "d.bump"), "row", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.least(F.lit(1), F.ceil(F.col("whole") + F.col("x")))).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "key")
+    named = [F.col(f"kept{k}").alias(c) for k, c in enumerate(keep)]
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *named)
 
 
-def content_key(docs: DataFrame) -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """The rows of docs, each as often as the mixture takes it; all columns, whatever their names."""
+    file, place, copies, copy, of_file, of_place = fresh(docs, "file", "place", "copies", "copy", "of_file", "of_place")
+    rows = identified(docs, file, place)
+    taken = mixture(rows, weights, limit, (file, place)).where("copies > 0").select(F.col(file).alias(of_file), F.col(place).alias(of_place), F.col("copies").alias(copies))
+    several = rows.join(taken, (F.col(file) == F.col(of_file)) & (F.col(place) == F.col(of_place)))
+    return several.select(*_columns(docs), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """The rows of docs, each as often as the mixture takes it. Rows of equal id, source and text share their copies."""
-    shares = mixture(docs, weights, limit).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    shares = shares.where("copies > 0").select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows"))
-    joined = docs.withColumn("__key", content_key(docs)).join(shares, "__key")
-    alone = joined.where("__rows = 1")
-    number = F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))
-    several = joined.where("__rows > 1").withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + F.when(number <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).where("__copies > 0")
-    every = alone.unionByName(several)
-    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
