@@ -12,7 +12,7 @@ its blocks, tasks are summed in two steps, the driver gets one table of fixed si
 The states start from the class shares of all training texts, each state tilted by random factors of its
 own, alike for any corpus, so that no two begin alike; ROUNDS rounds pass over all training texts. Word
 counts come back to each block by a join on the word, so no table of words is ever sent to all executors
-or to the driver.
+or to the driver. Blocks are dealt out by number, evenly, and a task scores them one after another.
 
 Words are identified by 64-bit hashes of their lower-cased bytes.
 
@@ -45,7 +45,7 @@ FOLDS, HELD_FOLD = 7, 2
 GROUP_TOKENS = 300_000
 PARTS = 16
 
-ENCODED = "block long, doc_id array<long>, held array<boolean>, n array<int>, tokens binary, words array<long>, counts array<int>"
+ENCODED = "block long, trains boolean, texts binary, tokens binary, words array<long>, counts array<int>"
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -58,6 +58,20 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def pack_texts(doc_id: list[int | None], held: list[bool], n: np.ndarray) -> bytes:
+    """A block's texts (id, whether held out, number of tokens) as one Arrow stream: one column, however they are moved."""
+    table = pa.table({"doc_id": pa.array(doc_id, pa.int64()), "held": pa.array(held, pa.bool_()), "n": pa.array(n, pa.int64())})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpack_texts(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return table["doc_id"].combine_chunks(), table["held"].to_numpy(), table["n"].to_numpy()
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     task, number = (context.partitionId() if context else 0), 0
@@ -74,7 +88,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = np.repeat(~np.array(held), n)
         counts = np.bincount(local[train], minlength=len(keys))
         return pa.record_batch([
-            pa.array([task << 24 | number], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int32())),
+            pa.array([task << 24 | number], pa.int64()), pa.array([not all(held)], pa.bool_()), pa.array([pack_texts(names, held, n)], pa.binary()),
             pa.array([pack_numbers(local)], pa.binary()), pa.array([keys.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
         ], names=[x.split()[0] for x in ENCODED.split(", ")])
 
@@ -169,8 +183,8 @@ class Hmm:
             sums["log"] += np.log(scale).sum()
 
 
-def zero_sums() -> dict[str, np.ndarray]:
-    return {"start": np.zeros(STATES), "move": np.zeros((STATES, STATES)), "emit": np.zeros((CLASSES + 1, STATES)), "log": np.zeros(1)}
+def zero_sums(states: int = STATES) -> dict[str, np.ndarray]:
+    return {"start": np.zeros(states), "move": np.zeros((states, states)), "emit": np.zeros((CLASSES + 1, states)), "log": np.zeros(1)}
 
 
 def classes_of(words: np.ndarray) -> np.ndarray:
@@ -180,8 +194,8 @@ def classes_of(words: np.ndarray) -> np.ndarray:
 def _training(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     """Class sequences of a block's training texts, and their lengths."""
     words = batch["words"][row].values.to_numpy().view(np.uint64)
-    n = batch["n"][row].values.to_numpy().astype(np.int64)
-    train = ~batch["held"][row].values.to_numpy(zero_copy_only=False)
+    _, held, n = unpack_texts(batch["texts"][row].as_py())
+    train = ~held
     obs = classes_of(words)[unpack_numbers(batch["tokens"][row].as_py())]
     return obs[np.repeat(train, n)], n[train]
 
@@ -190,9 +204,9 @@ def _flat(sums: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([sums[k].ravel() for k in ("start", "move", "emit", "log")])
 
 
-def _unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+def _unflat(x: np.ndarray, states: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, like in zero_sums().items():
+    for k, like in zero_sums(states).items():
         out[k] = x[at : at + like.size].reshape(like.shape)
         at += like.size
     return out
@@ -200,7 +214,7 @@ def _unflat(x: np.ndarray) -> dict[str, np.ndarray]:
 
 def _round(model: Hmm):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, task = zero_sums(), TaskContext.get().partitionId()
+        sums, task = zero_sums(len(model.start)), TaskContext.get().partitionId()
         for batch in batches:
             for row in range(batch.num_rows):
                 obs, n = _training(batch, row)
@@ -217,11 +231,11 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"].slice(0, 1).cast(pa.int32()), "slot": table["slot"].slice(0, 1).cast(pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def start(share: np.ndarray) -> Hmm:
+def start(share: np.ndarray, states: int = STATES) -> Hmm:
     """Starting model: the classes' shares over the whole corpus, tilted in each state by factors of their own."""
-    emit = share[:, None] * np.random.default_rng(11).gamma(TILT, size=(len(share), STATES))
-    move = np.full((STATES, STATES), 1.0) + np.eye(STATES) * STICK * STATES
-    return Hmm(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    emit = share[:, None] * np.random.default_rng(11).gamma(TILT, size=(len(share), states))
+    move = np.full((states, states), 1.0) + np.eye(states) * STICK * states
+    return Hmm(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def _score(model: Hmm, log_mass: np.ndarray, total: int, kinds: int):
@@ -230,43 +244,66 @@ def _score(model: Hmm, log_mass: np.ndarray, total: int, kinds: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     floor = log10(total + kinds + 1)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        words = right["word"].to_numpy().view(np.uint64)
+    def block(batch: pa.RecordBatch, row: int, words: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(words)  # a block numbers its words in this order
-        words, c = words[order], right["c"].to_numpy()[order]
-        for row in range(left.num_rows):
-            n = left["n"][row].values.to_numpy().astype(np.int64)
-            local = unpack_numbers(left["tokens"][row].as_py())
-            share, of_class = np.log10(c + 1.0), classes_of(words)
-            inside = np.where(of_class == CLASSES, 0.0, share - log_mass[of_class])
-            at = np.cumsum(n) - n
-            add = lambda x: np.add.reduceat(x[local], at)
-            out.append(pa.table([
-                left["doc_id"][row].values, left["held"][row].values, pa.array(n), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(n), total)),
-                pa.array(add(share) - n * floor), pa.array(model.score(of_class[local], n) / np.log(10) + add(inside)),
-            ], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+        words, c = words[order], c[order]
+        names, held, n = unpack_texts(batch["texts"][row].as_py())
+        local = unpack_numbers(batch["tokens"][row].as_py())
+        share, of_class = np.log10(c + 1.0), classes_of(words)
+        inside = np.where(of_class == CLASSES, 0.0, share - log_mass[of_class])
+        at = np.cumsum(n) - n
+        add = lambda x: np.add.reduceat(x[local], at)
+        return pa.record_batch([
+            names, pa.array(held), pa.array(n), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(n), total)),
+            pa.array(add(share) - n * floor), pa.array(model.score(of_class[local], n) / np.log(10) + add(inside)),
+        ], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block by block: the words with their counts, then the block itself."""
+        words, c = [], []
+        for batch in batches:
+            own = np.flatnonzero(batch["tokens"].is_valid().to_numpy(zero_copy_only=False))
+            word, count = (batch[x].fill_null(0).to_numpy() for x in ("word", "c"))  # nulls would make the numbers inexact
+            low = 0
+            for k in own.tolist():
+                words.append(word[low:k].copy())
+                c.append(count[low:k].copy())
+                yield block(batch, k, np.concatenate(words).view(np.uint64), np.concatenate(c))
+                words, c, low = [], [], k + 1
+            words.append(word[low:].copy())
+            c.append(count[low:].copy())
 
     return run
 
 
-def train(encoded: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> Hmm:
-    uniform = Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 1 / STATES), np.repeat(share[:, None], STATES, 1))
-    if encoded.where(F.exists("held", lambda h: ~h)).select("block").isEmpty():
+def train(encoded: DataFrame, share: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Hmm:
+    uniform = Hmm(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(share[:, None], states, 1))
+    if encoded.where("trains").select("block").isEmpty():
         return uniform
-    model = start(share)
+    model = start(share, states)
     for _ in range(rounds):
         schema = "part int, slot int, data binary"
-        sums = encoded.select("held", "n", "tokens", "words").mapInArrow(_round(model), schema)
+        sums = encoded.select("texts", "tokens", "words").mapInArrow(_round(model), schema)
         sums = sums.groupBy("part", "slot").applyInArrow(_add, schema).groupBy("part").applyInArrow(_add, schema)
         parts = {r["part"]: np.frombuffer(r["data"]) for r in sums.collect()}
-        got = _unflat(np.concatenate([parts[k] for k in range(PARTS)]))
+        got = _unflat(np.concatenate([parts[k] for k in range(PARTS)]), states)
         model = Hmm.from_counts(got["start"], got["move"], got["emit"], share)
     return model
 
 
-def language_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def numbered_blocks(encoded: DataFrame) -> tuple[DataFrame, int]:
+    """encoded with a number for each block, 0 and up without gaps, and how many there are."""
+    totals = encoded.groupBy(F.expr("block >> 24").cast("int").alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()  # one row a scan task
+    before, offsets = 0, []
+    for r in totals:
+        offsets.append((r["task"], before))
+        before += r["n"]
+    table = encoded.sparkSession.createDataFrame(offsets, "task int, before long")
+    number = (F.col("before") + F.expr("block & 16777215")).alias("number")
+    return encoded.withColumn("task", F.expr("block >> 24").cast("int")).join(F.broadcast(table), "task").select(number, *encoded.columns), before
+
+
+def language_scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_FOLD, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
@@ -279,9 +316,13 @@ def language_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for r in facts:
         mass[r["class"]] += r["c"] + r["v"]
     total, kinds = sum(r["c"] for r in facts), sum(r["v"] for r in facts)
-    model = train(encoded, mass / mass.sum(), rounds)
-    asked = encoded.select(F.col("block").alias("owner"), F.explode("words").alias("word"))
-    told = asked.join(counts, "word").select("owner", "word", "c")
+    model = train(encoded, mass / mass.sum(), rounds, states)
+    stored, n = numbered_blocks(encoded)
+    asked = stored.select("number", F.explode("words").alias("word"))
+    told = asked.join(counts.hint("merge"), "word").select("number", "word", "c")
+    kept = stored.select("number", "texts", "tokens")  # the words come back with their counts
+    both = told.unionByName(kept, allowMissingColumns=True)
+    parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = both.repartitionById(parts, (F.col("number") % parts).cast("int")).sortWithinPartitions("number", F.col("tokens").isNotNull())
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    kept = encoded.select("block", "doc_id", "held", "n", "tokens")  # the words come back with their counts
-    return kept.groupBy("block").cogroup(told.groupBy("owner")).applyInArrow(_score(model, np.log10(mass), total, kinds), schema)
+    return dealt.mapInArrow(_score(model, np.log10(mass), total, kinds), schema)
