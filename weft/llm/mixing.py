@@ -142,7 +142,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LI
     open_rows = rated.where((F.col("size") > 0) & (F.col("x") > 0))
     h = F.col("h")
     if (numbers := equals_number(sizes)) is not None:
-        open_rows = open_rows.join(numbers, "row", "left")
+        open_rows = open_rows.join(numbers.hint("merge"), "row", "left")
         h = F.when(F.coalesce("equal", F.lit(0)) > 0, F.xxhash64("h", "equal")).otherwise(h)
     block = F.pmod(F.xxhash64(h, F.lit(1)), F.ceil(F.col("n") / BLOCK)).cast("long")
     level_rows = open_rows.select("name", "class", block.alias("block"), (-F.col("size")).alias("neg"), h.alias("h"), "row", "size", "x")
@@ -162,7 +162,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LI
     for more in decided[1:]:
         bumps = bumps.unionByName(more)
     copies = F.col("whole") + F.coalesce("bump", F.lit(0))
-    out = rated.join(bumps.select("d.row", "d.bump"), "row", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.least(F.lit(1), F.ceil(F.col("whole") + F.col("x")))).cast("long"))
+    # the planner takes exploded arrays for small tables; this one grows with the corpus
+    out = rated.join(bumps.select("d.row", "d.bump").hint("merge"), "row", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.least(F.lit(1), F.ceil(F.col("whole") + F.col("x")))).cast("long"))
     named = [F.col(f"kept{k}").alias(c) for k, c in enumerate(keep)]
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *named)
 
@@ -172,7 +173,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     file, place, copies, copy, of_file, of_place = fresh(docs, "file", "place", "copies", "copy", "of_file", "of_place")
     rows = identified(docs, file, place)
     taken = mixture(rows, weights, limit, (file, place)).where("copies > 0").select(F.col(file).alias(of_file), F.col(place).alias(of_place), F.col("copies").alias(copies))
-    several = rows.join(taken, (F.col(file) == F.col(of_file)) & (F.col(place) == F.col(of_place)))
+    several = rows.join(taken.hint("merge"), (F.col(file) == F.col(of_file)) & (F.col(place) == F.col(of_place)))
     return several.select(*_columns(docs), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
 
 
