@@ -127,23 +127,22 @@ def aligned_patches(words: DataFrame, keys: list[str], end_of_word: int) -> Data
 
 
 def patch_array(words: Column, length: Column, end_of_word: int) -> Column:
-    """aligned_patches within a row: array<struct(patch, token)> of words (start, end, tokens, in order) on `length` patches.
+    """aligned_patches within a row: array<struct(patch, token)> of words (start, end, tokens) on `length` patches.
 
-    All writes are sorted by patch, word and write; the last of each patch stays."""
+    Words stand in order of start, so a word's writes end before the next start and only the next word's mark, one patch
+    before that start, can win over one of them."""
     usable = length - 1
+    mark_of = lambda start: F.when(start == 0, 0).otherwise(start - 1)
+    one = lambda patch, token: F.struct(patch.cast("int").alias("patch"), token.cast("int").alias("token"))
 
-    def writes(w: Column, i: Column, after: Column) -> Column:
-        marker = F.when(w["start"] == 0, 0).otherwise(w["start"] - 1)
-        first = F.greatest(w["start"], marker + 1)
+    def writes(w: Column, after: Column) -> Column:
+        first = F.greatest(w["start"], mark_of(w["start"]) + 1)
         limit = F.least(w["end"], F.coalesce(after["start"], usable), usable)
-        one = lambda patch, write, token: F.struct(patch.cast("int").alias("patch"), i.alias("word"), write.cast("int").alias("write"), token.cast("int").alias("token"))
-        placed = F.filter(F.transform(w["tokens"], lambda t, k: one(first + k, k + 1, t)), lambda x: x["patch"] < limit)
-        mark = F.filter(F.array(one(marker, F.lit(0), F.lit(end_of_word))), lambda x: x["patch"] < usable)
-        return F.concat(mark, placed)
-
-    every = bind(words, lambda ws: F.array_sort(F.flatten(F.transform(ws, lambda w, i: bind(F.get(ws, i + 1), lambda after: writes(w, i, after))))))
-    last = bind(every, lambda xs: F.filter(xs, lambda x, k: ~F.coalesce(F.get(xs, k + 1)["patch"] == x["patch"], F.lit(False))))
-    return F.transform(last, lambda x: F.struct(x["patch"].alias("patch"), x["token"].alias("token")))
+        fitting = F.slice(w["tokens"], 1, F.greatest(limit - first, F.lit(0)).cast("int"))
+        every = F.concat(F.array(one(mark_of(w["start"]), F.lit(end_of_word))), F.transform(fitting, lambda t, k: one(first + k, t)))
+        return bind(mark_of(after["start"]), lambda m: F.filter(every, lambda x: (x["patch"] < usable) & (m.isNull() | (m >= usable) | (x["patch"] != m))))
+
+    return bind(words, lambda ws: F.flatten(F.transform(ws, lambda w, i: bind(F.get(ws, i + 1), lambda after: writes(w, after)))))
 
 
 def monotone_starts(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
