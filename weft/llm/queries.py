@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from weft.llm import chat, lm, media, mixing, packing, quality_rules, ranking, sharding, simhash, url_filters
+from weft.llm import audit, chat, lm, media, mixing, packing, quality_rules, ranking, sharding, simhash, url_filters
 from weft.llm.common import documents, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,8 +70,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_quality_rules, op4_best_fit_packing, op5_mixing, op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_quality_classifier, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_quality_rules, op4_best_fit_packing, op5_mixing, op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_quality_classifier, op10_simhash_near_dedup, op11_filter_interaction_audit)}
 
 
 def _op1_sql() -> str:
@@ -92,5 +96,34 @@ from urls u left join lateral (
 """
 
 
+_OP11 = """
+with texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, doc_id > min(doc_id) over (partition by coalesce(text, '')) as copy from documents),
+words as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from texts),
+failed as (
+  select doc_id, part, (case when len(w) < 50 then 1 else 0 end) + (case when 100 * len(list_distinct(w)) < 65 * len(w) then 2 else 0 end)
+    + (case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) then 4 else 0 end) + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when copy then 16 else 0 end) as mask
+  from words),
+told as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+hist as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from failed left join told using (doc_id) group by 1, 2),
+letter as (select unnest(range(5)) as bit, unnest(string_split('ABCDE', '')) as l),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letter a, letter b, letter c, letter d, letter e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps as (
+  select filter_order, step, 1 << bits[step] as own, list_sum(list_transform(bits[:step], lambda x: 1 << x))::bigint - (1 << bits[step]) as earlier
+  from orders, (select unnest(range(1, 6)) as step)),
+counted as (
+  select part, filter_order, step::int as step, own,
+    sum(case when mask & (own | earlier) = 0 then n else 0 end)::bigint as kept,
+    sum(case when mask & own > 0 and mask & earlier = 0 then n else 0 end)::bigint as removed,
+    sum(case when mask & own > 0 and mask & earlier > 0 then n else 0 end)::bigint as redundant,
+    sum(case when mask = own then n else 0 end)::bigint as unique_fails,
+    sum(case when mask & own > 0 and mask & earlier = 0 then good else 0 end)::bigint as good_lost,
+    sum(case when mask & own > 0 and mask & earlier = 0 then toxic else 0 end)::bigint as toxic_lost
+  from hist, steps group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, own)::bigint as shapley from counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _op1_sql()}
+    return {"op1_url_filters": _op1_sql(), "op11_filter_interaction_audit": _OP11}
