@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from weft.llm import audit, chat, lm, media, mixing, packing, quality_rules, ranking, sharding, simhash, url_filters
+from weft.llm import audit, chat, lm, media, mixing, packing, quality_rules, ranking, resampling, sharding, simhash, url_filters
 from weft.llm.common import documents, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,8 +74,12 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_quality_rules, op4_best_fit_packing, op5_mixing, op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_quality_classifier, op10_simhash_near_dedup, op11_filter_interaction_audit)}
+    return {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_quality_rules, op4_best_fit_packing, op5_mixing, op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_quality_classifier, op10_simhash_near_dedup, op11_filter_interaction_audit, op13_importance_resampling)}
 
 
 def _op1_sql() -> str:
@@ -125,5 +129,34 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+_OP13 = """
+with crc as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w, true as ours
+  from documents
+  union all
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), false
+  from benchmark),
+occurrences as (select doc_id, ours, word, count(*) as n from (select doc_id, ours, unnest(w) as word from texts) group by all),
+bytes as (select word, list_transform(range(1, length(hex(word)) + 1, 2), lambda i: ('0x' || substr(hex(word), i, 2))::bigint) as b from (select distinct word from occurrences)),
+hashed as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket
+  from bytes, crc),
+counts as (select bucket, sum(case when ours then n else 0 end) as s, sum(case when ours then 0 else n end) as t from occurrences join hashed using (word) group by 1),
+totals as (select coalesce(sum(s), 0) as ss, coalesce(sum(t), 0) as tt from counts),
+gains as (
+  select bucket, floor(1000 * ln(((t + 1)::double * (ss + 10000)::double) / ((s + 1)::double * (tt + 10000)::double)))::bigint as gain from counts, totals),
+weights as (select doc_id, sum(n * gain)::bigint as weight from occurrences join hashed using (word) join gains using (bucket) where ours group by 1),
+scored as (
+  select doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::varchar), 1, 8))::bigint::double + 0.5) / 4294967296))))::bigint as score
+  from texts left join weights using (doc_id) where ours),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20)
+select doc_id, n_features, weight, score, rank
+from scored left join (select * from ranked where rank <= (select 10 * count(*) // 100 from ranked)) using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _op1_sql(), "op11_filter_interaction_audit": _OP11}
+    return {"op1_url_filters": _op1_sql(), "op11_filter_interaction_audit": _OP11, "op13_importance_resampling": _OP13}
