@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from weft.llm import audit, chat, lm, media, mixing, packing, quality_rules, ranking, resampling, sharding, simhash, url_filters
+from weft.llm import audit, bpe, chat, lm, media, mixing, packing, quality_rules, ranking, resampling, sharding, simhash, url_filters
 from weft.llm.common import documents, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,12 +74,16 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_quality_rules, op4_best_fit_packing, op5_mixing, op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_quality_classifier, op10_simhash_near_dedup, op11_filter_interaction_audit, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_quality_rules, op4_best_fit_packing, op5_mixing, op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_quality_classifier, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_bpe_encoding, op13_importance_resampling)}
 
 
 def _op1_sql() -> str:
