@@ -2,69 +2,137 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from weft.functions.numeric import bind, run_starts, spread
+from weft.functions.numeric import bind, run_starts
 
 TOLERANCE = 1e-3
-_SPANS = "array<struct<low:int,high:int,ids:array<int>>>"
+_SPANS = ArrayType(StructType().add("low", "integer").add("high", "integer").add("ids", ArrayType(IntegerType())))
+_RESULT = StructType().add("previous_end", "integer").add("spans", _SPANS).add("error", "string")
+_RUNS = ArrayType(StructType().add("token", "integer").add("duration", "integer"))
 
 
 def word_spans(words: Column, steps: Column, seconds: Column, frame_to_code: Column | None = None) -> Column:
-    """struct(previous_end, spans, error): a fold over words (text, start, end, ids with the end of word).
-
-    Carries the end of the last word, since a word's clipped start decides how far it reaches. Without a map, times
-    scale to steps; with one, to frames and then through the frames' runs. The first invalid word sets the error."""
-
-    def reach(w: Column, previous: Column) -> Column:
-        if frame_to_code is None:
-            low = F.least(steps - 1, F.rint(w["start"] / seconds * steps).cast("int"))
-            return bind(low, lambda lo: F.struct(F.greatest(previous, lo).alias("low"), F.least(steps, F.greatest(lo + 1, F.rint(w["end"] / seconds * steps).cast("int"))).alias("high")))
-        frames = F.size(frame_to_code) - 1
-        first = F.greatest(F.lit(0), F.least(frames - 1, F.floor(w["start"] / seconds * frames).cast("int")))
-        last = F.greatest(F.lit(1), F.least(frames, F.ceil(w["end"] / seconds * frames).cast("int")))
-        return F.struct(F.greatest(previous, F.get(frame_to_code, first)).alias("low"), F.least(steps - 1, F.get(frame_to_code, last - 1) + 1).alias("high"))
-
-    def step(s: Column, w: Column) -> Column:
-        fail = lambda why: F.struct(s["previous_end"].alias("previous_end"), s["spans"].alias("spans"), F.lit(why).alias("error"))
-        bad = (F.trim(F.coalesce(w["text"], F.lit(""))) == "") | w["start"].isNull() | w["end"].isNull() | (w["end"] <= w["start"])
-        outside = (w["start"] < 0) | (w["end"] > seconds + TOLERANCE)
-        need = F.size(w["ids"])
-
-        def place(r: Column) -> Column:
-            high = F.least(steps, F.greatest(r["high"], r["low"] + need))
-            span = F.struct(r["low"].alias("low"), high.alias("high"), w["ids"].alias("ids"))
-            kept = F.struct(high.alias("previous_end"), F.concat(s["spans"], F.array(span).cast(_SPANS)).alias("spans"), F.lit(None).cast("string").alias("error"))
-            return F.when((r["low"] >= steps) | (r["high"] <= r["low"]), fail("outside usable steps")).when(high - r["low"] < need, fail("too few steps for its tokens")).otherwise(kept)
-
-        checked = F.when(bad, fail("invalid timestamp")).when(outside, fail("outside the audio")).otherwise(bind(reach(w, s["previous_end"]), place))
-        return F.when(s["error"].isNotNull(), s).otherwise(checked)
-
-    start = F.struct(F.lit(0).alias("previous_end"), F.array().cast(_SPANS).alias("spans"), F.when((F.size(words) == 0) | (seconds <= 0), "no words or no audio").cast("string").alias("error"))
-    return F.aggregate(words, start, step)
+    """struct(previous_end, spans, error) of words (text, start, end, ids with the end of word), in time linear in their number.
+
+    A word starts no earlier than the one before ends, and needs a step for each id: its end is the larger of a place of
+    its own and the end before plus its ids, capped at the last step. Ends of that form are running maxima of
+    (own place - ids so far), so a row needs no loop. Without a map, times scale to steps; with one, to frames and then
+    through the frames' runs. The first invalid word sets the error and ends the spans. Null words give null."""
+    shaped = F.transform(words, lambda w: F.struct(w["text"].cast("string").alias("text"), w["start"].cast("double").alias("start"), w["end"].cast("double").alias("end"), w["ids"].cast("array<int>").alias("ids")))
+    codes = F.lit(None) if frame_to_code is None else frame_to_code
+    return _word_spans(shaped, steps.cast("int"), seconds.cast("double"), codes.cast("array<int>"))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(first entry of each row and the end, row of each entry, entries) of a list column; nulls are empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(lists)
+
+
+def _along(values: np.ndarray, row: np.ndarray, f: np.ufunc) -> np.ndarray:
+    """Running maxima within each row; the rows' ranges are moved apart."""
+    width = int(values.max() - values.min()) + 1 if len(values) else 1
+    return f.accumulate(values + row * width) - row * width
+
+
+def _before(values: np.ndarray, first: np.ndarray, row: np.ndarray, start: int) -> np.ndarray:
+    """Each entry's predecessor within its row, `start` for the first."""
+    out = np.concatenate((values[:1], values[:-1]))
+    out[first[row] == np.arange(len(values))] = start
+    return out
+
+
+@F.arrow_udf(_RESULT)
+def _word_spans(words: pa.Array, steps: pa.Array, seconds: pa.Array, codes: pa.Array) -> pa.Array:
+    first, row, flat = _flat(words)
+    field = lambda name: pc.struct_field(flat, name)
+    number = lambda name: pc.fill_null(field(name), np.nan).to_numpy(zero_copy_only=False)
+    begin, end = number("start"), number("end")
+    text = pc.equal(pc.utf8_trim(pc.fill_null(field("text"), ""), " "), "").to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(pc.list_value_length(field("ids")), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = pc.fill_null(steps, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    length = pc.fill_null(seconds, 0.0).to_numpy(zero_copy_only=False)
+    at, span = total[row], length[row]
+    bad = text | np.isnan(begin) | np.isnan(end) | ~(end > begin)
+    outside = ~bad & ((begin < 0) | (end > span + TOLERANCE))
+    whole = lambda x: np.where(np.isfinite(x), x, 0).clip(-(2**40), 2**40).astype(np.int64)
+    with np.errstate(all="ignore"):
+        low, high = (begin / span, end / span)
+    map_first, _, map_flat = _flat(codes)
+    if codes.null_count < len(codes):
+        frames = np.diff(map_first)[row] - 1
+        code = map_flat.to_numpy(zero_copy_only=False).astype(np.int64)
+        place = lambda k: code[(map_first[:-1][row] + k).clip(0, max(len(code) - 1, 0))]
+        own = place(np.maximum(0, np.minimum(frames - 1, whole(np.floor(low * frames)))))
+        reach = np.minimum(at - 1, place(np.maximum(1, np.minimum(frames, whole(np.ceil(high * frames)))) - 1) + 1)
+    else:
+        own = np.minimum(at - 1, whole(np.rint(low * at)))
+        reach = np.minimum(at, np.maximum(own + 1, whole(np.rint(high * at))))
+    need = np.maximum(ids, 0)
+    so_far = np.cumsum(need)
+    so_far -= (so_far - need)[first[:-1].clip(max=max(len(need) - 1, 0))][row] if len(need) else 0
+    ends = np.minimum(at, np.maximum(_along(np.maximum(reach, own + need) - so_far, row, np.maximum) + so_far, so_far))
+    lows = np.maximum(_before(ends, first, row, 0), own)
+    why = np.select([bad, outside, (lows >= at) | (reach <= lows), ends - lows < ids], [1, 2, 3, 4], 0)
+    wrong = np.flatnonzero(why)
+    kept, error = np.diff(first).copy(), np.zeros(len(total), np.int64)
+    error[(kept == 0) | (length <= 0)] = 5
+    kept[error == 5] = 0
+    of_row, at_first = np.unique(row[wrong], return_index=True)
+    of_row, at_first = (x[error[of_row] == 0] for x in (of_row, wrong[at_first]))
+    error[of_row], kept[of_row] = why[at_first], at_first - first[of_row]
+    use = np.arange(len(row)) < (first[:-1] + kept)[row]
+    last = np.zeros(len(total), np.int32)
+    some = kept > 0
+    last[some] = ends[(first[:-1] + kept - 1)[some]]
+    entries = pa.StructArray.from_arrays([pa.array(lows[use].astype(np.int32)), pa.array(ends[use].astype(np.int32)), field("ids").filter(pa.array(use))], ["low", "high", "ids"])
+    spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))), pa.int32()), entries)
+    none = pc.is_null(words)
+    told = pa.array([None, "invalid timestamp", "outside the audio", "outside usable steps", "too few steps for its tokens", "no words or no audio"]).take(pa.array(error))
+    return pa.StructArray.from_arrays([pa.array(last), spans, told], ["previous_end", "spans", "error"], mask=none)
 
 
 def runs_from_spans(spans: Column, steps: Column, pad: int) -> Column:
-    """array<struct(token, duration)> over all steps: spans spread over their ids, gaps padded, equal neighbours merged."""
-
-    def spread_one(p: Column) -> Column:
-        edges = spread(p["low"], p["high"], F.size(p["ids"]))
-        return bind(edges, lambda e: F.transform(p["ids"], lambda t, i: F.struct(t.alias("token"), F.get(e, i).alias("low"), F.get(e, i + 1).alias("high"))))
-
-    pieces = F.filter(F.flatten(F.transform(spans, spread_one)), lambda x: x["high"] > x["low"])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:int,duration:int>>").alias("runs"))
-    entry = lambda token, n: F.struct(token.cast("int").alias("token"), n.cast("int").alias("duration"))
-
-    def push(runs: Column, token: Column, n: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        joined = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(entry(token, last["duration"] + n)))
-        return F.when(n <= 0, runs).when(F.size(runs) == 0, F.array(entry(token, n))).when(last["token"] == token, joined).otherwise(F.concat(runs, F.array(entry(token, n))))
-
-    def step(s: Column, p: Column) -> Column:
-        filled = push(s["runs"], F.lit(pad), p["low"] - s["at"])
-        return bind(filled, lambda runs: F.struct(p["high"].alias("at"), push(runs, p["token"], p["high"] - p["low"]).alias("runs")))
-
-    return F.aggregate(pieces, start, step, lambda s: push(s["runs"], F.lit(pad), steps - s["at"]))
+    """array<struct(token, duration)> over all steps, in linear time: spans spread over their ids (linspace's whole points), gaps
+    padded, equal neighbours merged. Null spans give null."""
+    return _runs(spans, steps.cast("int"), F.lit(pad))
+
+
+@F.arrow_udf(_RUNS)
+def _runs(spans: pa.Array, steps: pa.Array, pad: pa.Array) -> pa.Array:
+    first, row, flat = _flat(spans)
+    low, high = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("low", "high"))
+    id_first, of_span, ids = _flat(flat.field("ids"))
+    ids, n = ids.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(id_first)[of_span]
+    place = np.arange(len(ids)) - id_first[of_span]
+    point = lambda k: np.where(k == n, high[of_span], np.floor(k * ((high - low)[of_span] / n) + low[of_span])).astype(np.int64)
+    begins, ends, of_row = point(place), point(place + 1), row[of_span]
+    held = ends > begins
+    token, begins, ends, of_row = ids[held], begins[held], ends[held], of_row[held]
+    total = pc.fill_null(steps, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    fill = pad[0].as_py() if len(pad) else 0
+    piece_first = np.searchsorted(of_row, np.arange(len(total) + 1))
+    before = _before(ends, piece_first, of_row, 0)
+    done = np.zeros(len(total), np.int64)
+    some = np.diff(piece_first) > 0
+    done[some] = ends[piece_first[1:][some] - 1]
+    # the gap before a piece, the piece, and each row's gap at the end
+    rows = np.concatenate((np.repeat(of_row, 2), np.arange(len(total))))
+    tokens = np.concatenate((np.stack((np.full(len(token), fill), token), 1).ravel(), np.full(len(total), fill)))
+    sizes = np.concatenate((np.stack((begins - before, ends - begins), 1).ravel(), total - done))
+    order = np.argsort(rows, kind="stable")
+    order = order[sizes[order] > 0]
+    rows, tokens, sizes = rows[order], tokens[order], sizes[order]
+    new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (tokens[1:] != tokens[:-1])))[: len(rows)])
+    merged = np.add.reduceat(sizes, new) if len(new) else sizes
+    entries = pa.StructArray.from_arrays([pa.array(tokens[new].astype(np.int32)), pa.array(merged.astype(np.int32))], ["token", "duration"])
+    out = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[new], np.arange(len(total) + 1)), pa.int32()), entries)
+    return pc.if_else(pc.is_null(spans), pa.scalar(None, out.type), out)
 
 
 def frame_starts(words: Column, frames: Column, seconds: Column) -> Column:
