@@ -216,10 +216,29 @@ def test_interleave_does_not_depend_on_partitions(spark):
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
 
+def test_samples_draw_until_they_are_full(spark):
+    indices = spark.range(9).select(F.col("id").alias("sample_index"))
+    asked = []
+
+    def draw(numbers):  # a source of one run of one frame; sample 3's sources give none before the draw 40
+        asked.append(numbers.agg(F.max("draw")).first()[0] + 1)
+        picks = numbers.where("sample_index <> 3 or draw >= 40").select("sample_index", "draw", F.lit(0).alias("source"))
+        return mixture.draw_runs(picks, spark.createDataFrame([(0, 0, 7, 1, 5)], "source int, place long, token int, duration long, audio long"))
+
+    runs = mixture.draw_until_full(indices, draw, lambda r: r.groupBy("sample_index").agg(F.sum("duration").alias("n")), 2048, 8)
+    out = mixture.aligned_layout(runs, 2048, PAD)
+    assert {r["sample_index"]: (r["count"], r["last"]) for r in out.groupBy("sample_index").agg(F.count("*").alias("count"), F.max("pos").alias("last")).collect()} == dict.fromkeys(range(9), (2048, 2047))
+    assert asked == [8 << k for k in range(10)]
+    with pytest.raises(ValueError, match="no position"):
+        mixture.draw_until_full(indices, lambda numbers: draw(numbers).where("false"), lambda r: r.groupBy("sample_index").agg(F.sum("duration").alias("n")), 4, 2048)
+
+
 def test_windows_and_variants(spark):
     flat = spark.range(50).select(F.col("id").alias("position"), (F.col("id") * 2).alias("token"))
-    got = mixture.windows(spark.range(5).select(F.col("id").alias("sample_index")), 3, flat, F.lit(50), 8).collect()
+    got = mixture.windows(spark.range(5).select(F.col("id").alias("sample_index")), 3, mixture.token_blocks(flat, 8), 8, F.lit(50), 8).collect()
     assert len(got) == 40 and all(0 <= r["pos"] < 8 for r in got)
+    small = mixture.windows(spark.range(5).select(F.col("id").alias("sample_index")), 3, mixture.token_blocks(flat, 3), 3, F.lit(50), 8).collect()
+    assert sorted(small) == sorted(got)  # any length of block
     v = one(spark.range(1).select(evaluation.variant(F.array(F.lit(1), F.lit(2)), F.array(F.lit(7)), True, False, 50, 52, 99).alias("v")))["v"]
     assert [r["text"] for r in v] == [1, 2, 52, 50] and [r["audio"] for r in v] == [99, 99, 99, 7]
     assert [r["aud_pred"] for r in v] == [False, False, True, False] and not any(r["txt_pred"] for r in v)

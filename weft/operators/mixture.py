@@ -7,12 +7,17 @@ the reference, not the same random streams.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.functions.hashing import sample_seed, uniform
-from weft.sources.manifests import require
+from weft.storage import materialize
 
 CELLS = 256
+#: From so many draws on, a sample without any position counts as one that its sources never fill.
+EMPTY_DRAWS = 4096
 #: Words in a text chunk (10 to 30) and in one of the other modality (5 to 15), first modality's chance.
 TEXT_WORDS, OTHER_WORDS, FIRST_TEXT = (10, 30), (5, 15), 0.5
 
@@ -51,38 +56,60 @@ def sample_plan(indices: DataFrame, seed: int, rank: int, strategies: DataFrame,
     return pick(pick(rows, "__s", choices(strategies, "strategy"), "strategy"), "__d", choices(shards, "shard"), "shard").drop("__s", "__d")
 
 
-def windows(indices: DataFrame, seed: int, flat: DataFrame, total: Column, size: int) -> DataFrame:
-    """SEQ11: `size` positions of the flat stream from a uniform start; flat has position and token."""
+def token_blocks(flat: DataFrame, block: int) -> DataFrame:
+    """An index of a flat stream (position, token): block (position // `block`) and its tokens in order."""
+    held = flat.groupBy(F.floor(F.col("position") / block).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("x"))
+    return held.select("block", F.transform("x", lambda x: x["token"]).alias("tokens"))
+
+
+def windows(indices: DataFrame, seed: int, blocks: DataFrame, block: int, total: Column, size: int) -> DataFrame:
+    """SEQ11: `size` positions of the flat stream from a uniform start, cut from its blocks (token_blocks).
+
+    A window meets size / block + 1 blocks at most (two where a block is no shorter than a window), so the join has that many
+    rows a sample and positions are made last."""
     starts = indices.select("sample_index", F.floor(uniform(F.lit(seed), F.col("sample_index"), "window") * (total - size + 1)).cast("long").alias("start"))
-    wanted = starts.select("sample_index", F.posexplode(F.sequence(F.col("start"), F.col("start") + size - 1)).alias("pos", "position"))
-    return wanted.join(flat, "position").select("sample_index", F.col("pos").cast("long").alias("pos"), "token")
+    at = lambda x: F.floor(x / block).cast("long")
+    met = starts.select("sample_index", "start", F.explode(F.sequence(at(F.col("start")), at(F.col("start") + size - 1))).alias("block")).join(blocks, "block")
+    low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
+    held = F.slice("tokens", (low + 1).cast("int"), F.least(F.lit(block), F.col("start") + size - F.col("block") * block).cast("int") - low.cast("int"))
+    whole = met.groupBy("sample_index").agg(F.array_sort(F.collect_list(F.struct("block", held.alias("held")))).alias("x"))
+    return whole.select("sample_index", F.posexplode(F.flatten(F.transform("x", lambda x: x["held"]))).alias("pos", "token")).select("sample_index", F.col("pos").cast("long").alias("pos"), "token")
 
 
-def interleave(runs: DataFrame, size: int, end_of_word: int, pad: int, switch: int, seed: int) -> DataFrame:
-    """SEQ9 in closed form. runs: sample_index, place, token, duration, audio (frame where the run begins), source.
+def emissions(runs: DataFrame, end_of_word: int, pad: int, seed: int) -> DataFrame:
+    """runs with their chunk, what each emits and the position at which it begins (interleave's first half).
 
-    The word of a run is the number of end-of-word marks before it; chunk lengths are drawn per chunk and their
-    running sum gives each chunk's words; the modality alternates from a drawn first one. Text chunks give one
-    row a token (no padding, no mark), other chunks one row a frame; each chunk after the first begins with a
-    switch row. Rows beyond `size` go. A run's rows are made last, after the rows before it are counted."""
+    The word of a run is the number of end-of-word marks before it; chunk lengths are drawn per chunk and their running
+    sum gives each chunk's words. Chunks' first words and runs are sorted together, so that a run takes the last chunk that
+    begins no later: one pass, no pair of a run and a chunk is made."""
     by = Window.partitionBy("sample_index")
     before = by.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     worded = runs.withColumn("word", F.coalesce(F.sum((F.col("token") == end_of_word).cast("int")).over(before), F.lit(0)).cast("long"))
     words = worded.groupBy("sample_index").agg((F.max("word") + 1).alias("words"))
-    chunks = words.select("sample_index", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("words") / OTHER_WORDS[0]).cast("long"))).alias("chunk"))
+    chunks = words.select("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("words") / OTHER_WORDS[0]).cast("long"))).alias("chunk"))
     chunks = chunks.withColumn("is_text", (F.col("chunk") + (uniform(F.lit(seed), F.col("sample_index"), "first") >= FIRST_TEXT).cast("int")) % 2 == 0)
     u = uniform(F.lit(seed), F.col("sample_index"), F.col("chunk"), "chunk")
     span = lambda r: r[0] + F.floor(u * (r[1] - r[0] + 1))
-    chunks = chunks.withColumn("n", F.when(F.col("is_text"), span(TEXT_WORDS)).otherwise(span(OTHER_WORDS)).cast("long"))
-    chunks = chunks.withColumn("high", F.sum("n").over(by.orderBy("chunk"))).withColumn("low", F.col("high") - F.col("n"))
-    r, c = worded.alias("r"), chunks.alias("c")
-    joined = r.join(c, (F.col("r.sample_index") == F.col("c.sample_index")) & (F.col("r.word") >= F.col("c.low")) & (F.col("r.word") < F.col("c.high"))).select("r.*", "c.chunk", "c.is_text")
-    order = by.orderBy("place")
-    first = (F.col("chunk") > 0) & (F.coalesce(F.lag("chunk").over(order), F.lit(-1)) != F.col("chunk"))
+    n = F.when(F.col("is_text"), span(TEXT_WORDS)).otherwise(span(OTHER_WORDS)).cast("long")
+    chunks = chunks.withColumn("n", n).withColumn("word", F.sum("n").over(by.orderBy("chunk")) - F.col("n")).drop("n")
+    sorted_in = by.orderBy("word", "place")  # a chunk's row has place -1: before the runs of its first word
+    both = worded.unionByName(chunks.withColumn("place", F.lit(-1).cast("long")), allowMissingColumns=True)
+    chunk = F.last(F.when(F.col("place") < 0, F.struct("chunk", "is_text")), ignorenulls=True).over(sorted_in.rowsBetween(Window.unboundedPreceding, 0))
+    joined = both.withColumn("at", chunk).where("place >= 0").withColumns({"chunk": F.col("at.chunk"), "is_text": F.col("at.is_text")}).drop("at")
+    first = (F.col("chunk") > 0) & (F.coalesce(F.lag("chunk").over(sorted_in), F.lit(-1)) != F.col("chunk"))
     own = F.when(F.col("is_text"), F.col("token").isin(pad, end_of_word).__invert__().cast("long")).otherwise(F.col("duration").cast("long"))
     counted = joined.withColumn("switches", first).withColumn("own", own)
     counted = counted.withColumn("emitted", F.col("own") + F.col("switches").cast("long"))
-    counted = counted.withColumn("begin", F.sum("emitted").over(order) - F.col("emitted")).where((F.col("begin") < size) & (F.col("emitted") > 0))
+    return counted.withColumn("begin", F.sum("emitted").over(sorted_in) - F.col("emitted"))
+
+
+def interleave(runs: DataFrame, size: int, end_of_word: int, pad: int, switch: int, seed: int) -> DataFrame:
+    """SEQ9 in closed form. runs: sample_index, place, token, duration, audio (frame where the run begins), source.
+
+    The modality alternates from a drawn first one. Text chunks give one row a token (no padding, no mark), other chunks
+    one row a frame; each chunk after the first begins with a switch row. Rows beyond `size` go. A run's rows are made
+    last, after the rows before it are counted (emissions)."""
+    counted = emissions(runs, end_of_word, pad, seed).where((F.col("begin") < size) & (F.col("emitted") > 0))
     rows = counted.select("sample_index", "source", "token", "audio", "is_text", "switches", "begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("emitted") - 1)).alias("k"))
     at, is_switch = F.col("begin") + F.col("k"), F.col("switches") & (F.col("k") == 0)
     frame = F.col("audio") + F.col("k") - F.col("switches").cast("long")
@@ -90,10 +117,25 @@ def interleave(runs: DataFrame, size: int, end_of_word: int, pad: int, switch: i
     return rows.select("sample_index", at.alias("pos"), "source", text.cast("int").alias("text"), F.when(~is_switch & ~F.col("is_text"), frame).cast("long").alias("frame"), (is_switch | F.col("is_text")).alias("txt_in"), (~is_switch & ~F.col("is_text")).alias("other_in"), (~is_switch & F.col("is_text")).alias("txt_pred"), (~is_switch & ~F.col("is_text")).alias("other_pred")).where(F.col("pos") < size)
 
 
-def filled(rows: DataFrame, size: int) -> DataFrame:
-    """rows, raising an error for a sample with fewer than `size` positions (more sources must be drawn for it)."""
-    n = F.count("*").over(Window.partitionBy("sample_index"))
-    return require(rows.withColumn("__held", n), F.col("__held") == size, F.concat(F.lit("a sample is not filled: "), F.col("sample_index").cast("string"))).drop("__held")
+def draw_until_full(indices: DataFrame, draw: Callable[[DataFrame], DataFrame], emitted: Callable[[DataFrame], DataFrame], size: int, first: int = 8) -> DataFrame:
+    """Runs of as many drawn sources as each sample of `indices` (sample_index) needs for `size` positions (SEQ8, SEQ9, SEQ12).
+
+    draw: (sample_index, draw) to their sources' runs, the same for the same pair; emitted: runs to (sample_index, n), the
+    positions that they give. All samples begin with `first` draws; those that are short draw twice as many in the next round,
+    until none is short. Rounds go through tables in the shared folder. A round that adds no position to a sample
+    is an error, where all its draws so far gave none: such sources never fill it."""
+    short, held, draws = indices.select("sample_index"), [], first
+    while True:
+        numbers = short.select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+        runs = materialize(draw(numbers), "runs")
+        totals = materialize(short.join(emitted(runs), "sample_index", "left").select("sample_index", F.coalesce("n", F.lit(0)).alias("n")), "totals")
+        held.append(runs.join(totals.where(F.col("n") >= size), "sample_index", "left_semi"))
+        left = totals.where(F.col("n") < size).agg(F.count("*").alias("short"), F.min("n").alias("least")).first()
+        if not left["short"]:
+            return functools.reduce(DataFrame.unionByName, held)
+        if draws >= EMPTY_DRAWS and not left["least"]:
+            raise ValueError(f"{draws} drawn sources gave no position to a sample")
+        short, draws = totals.where(F.col("n") < size).select("sample_index"), 2 * draws
 
 
 def draw_runs(picks: DataFrame, runs: DataFrame) -> DataFrame:

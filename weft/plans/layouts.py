@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weft.functions.hashing import uniform, uniform_sql
@@ -9,13 +11,13 @@ from weft.operators import mixture
 from weft.operators.ordering import running
 from weft.plans.frames import _EVENTS, timeline
 from weft.plans.registry import load, query
-from weft.storage import scratch
+from weft.storage import materialize, scratch
 from weft.streaming import samples
 
 SEED, RANK = 1234, 3
-SAMPLES = 40
-DRAWS = 24
-SIZE = 256
+SIZE, LONG_SIZE = 256, 2048
+#: Draws of the SQL, which has no rounds: more than a sample of SIZE or LONG_SIZE positions needs on the given tables.
+SQL_DRAWS, LONG_SQL_DRAWS = 64, 320
 PAD, END_OF_WORD, SWITCH = 200, 201, 202
 
 _WEIGHTS = """sh as (select lang, source, sum(n_chars)::bigint as tokens from documents group by 1, 2),
@@ -56,9 +58,18 @@ def mixture_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.sample_plan(docs.select(F.col("doc_id").alias("sample_index")), SEED, RANK, strategies, shards)
 
 
+#: As many samples as there are sources.
+_INDICES = "(select unnest(range((select count(distinct user_id) from events))) as sample_index)"
+
+
+def _indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = load(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("n"))  # one row
+    return n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("sample_index"))
+
+
 @query(
     f"""with fl as (select row_number() over (order by ts, event_id) - 1 as position, (floor(abs(value))::bigint % 97)::int as token from events), n as (select count(*) as total from events),
-    ix as (select sample_index, floor({uniform_sql(str(SEED), 'sample_index', "'window'")} * (total - {SIZE} + 1))::bigint as start from (select unnest(range({SAMPLES})) as sample_index), n)
+    ix as (select sample_index, floor({uniform_sql(str(SEED), 'sample_index', "'window'")} * (total - {SIZE} + 1))::bigint as start from {_INDICES}, n)
     select sample_index, position - start as pos, token from ix join fl on position >= start and position < start + {SIZE}"""
 )
 def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +77,14 @@ def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
     total = events.count()
     flat = running(events.select("ts", "event_id", "value"), ["ts", "event_id"]).select(F.col("number").alias("position"), (F.floor(F.abs("value")) % 97).cast("int").alias("token"))
-    return mixture.windows(spark.range(SAMPLES).select(F.col("id").alias("sample_index")), SEED, flat, F.lit(total), SIZE)
+    return mixture.windows(_indices(spark, sf_dir), SEED, mixture.token_blocks(flat, SIZE), SIZE, F.lit(total), SIZE)
 
 
-def _drawn_sql(duration: str = "(1 + event_id % 3)::bigint") -> str:
+def _drawn_sql(duration: str = "(1 + event_id % 3)::bigint", draws: int = SQL_DRAWS) -> str:
     return f"""{_EVENTS}, rn as (select user_id as source, pos as place, (case when pos % 3 = 2 then {END_OF_WORD} when code = 3 then {PAD} else 97 + code end)::int as token, {duration} as duration from ev),
     ra as (select *, (sum(duration) over (partition by source order by place) - duration)::bigint as audio from rn),
     us as (select user_id, row_number() over (order by user_id) - 1 as i, count(*) over () as users from (select distinct user_id from events)),
-    pk as (select sample_index, draw, user_id as source from (select unnest(range({SAMPLES})) as sample_index), (select unnest(range({DRAWS})) as draw), us
+    pk as (select sample_index, draw, user_id as source from {_INDICES}, (select unnest(range({draws})) as draw), us
       where i = floor({uniform_sql(str(SEED), 'sample_index', 'draw', "'source'")} * users)),
     dr as (select sample_index, p.source, token, duration, audio, row_number() over (partition by sample_index order by draw, place) - 1 as place from pk p join ra on ra.source = p.source)"""
 
@@ -81,25 +92,34 @@ def _drawn_sql(duration: str = "(1 + event_id % 3)::bigint") -> str:
 _DRAWN = _drawn_sql()
 
 
-def drawn(spark: SparkSession, sf_dir: str, indices: DataFrame | None = None, duration: Column | None = None) -> DataFrame:
-    """Runs of the sources drawn with replacement for the samples of `indices` (sample_index; by default the first ones).
+def interleaved(runs: DataFrame) -> DataFrame:
+    return mixture.emissions(runs, END_OF_WORD, PAD, SEED).groupBy("sample_index").agg(F.sum("emitted").alias("n"))
+
 
-    Their number is fixed; filled() makes a sample that they do not fill an error."""
-    indices = spark.range(SAMPLES).select(F.col("id").alias("sample_index")) if indices is None else indices
+def aligned(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("sample_index").agg(F.sum("duration").alias("n"))
+
+
+def drawn(spark: SparkSession, sf_dir: str, indices: DataFrame | None = None, duration: Column | None = None, emitted: Callable[[DataFrame], DataFrame] = interleaved, size: int = SIZE) -> DataFrame:
+    """Runs of the sources drawn with replacement for the samples of `indices` (sample_index; by default as many as there are
+    sources), until each has `size` positions. The first round's draws follow the sources' mean duration."""
     t = timeline(spark, sf_dir)
     token = F.when(F.col("pos") % 3 == 2, END_OF_WORD).when(F.col("code") == 3, PAD).otherwise(97 + F.col("code"))
     runs = t.select(F.col("user_id").alias("source"), F.col("pos").alias("place"), token.alias("token"), (1 + F.col("event_id") % 3 if duration is None else duration).alias("duration"))
-    runs = runs.withColumn("audio", F.sum("duration").over(Window.partitionBy("source").orderBy("place")) - F.col("duration"))
-    seats = load(spark, sf_dir, "events").select("user_id").distinct()
-    seats = running(seats, ["user_id"]).select(F.col("user_id").alias("source"), F.col("number").alias("seat"))
-    users = seats.agg(F.count("*").alias("users"))  # one row
-    picks = indices.select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw")).join(F.broadcast(users))
-    picks = picks.withColumn("seat", F.floor(uniform(SEED, F.col("sample_index"), F.col("draw"), "source") * F.col("users")).cast("long"))
-    return mixture.draw_runs(picks.join(seats, "seat").select("sample_index", "draw", "source"), runs)
+    runs = materialize(runs.withColumn("audio", F.sum("duration").over(Window.partitionBy("source").orderBy("place")) - F.col("duration")), "sources")
+    seats = running(runs.select("source").distinct(), ["source"]).withColumnRenamed("number", "seat")
+    told = runs.agg(F.countDistinct("source").alias("sources"), F.sum("duration").alias("frames")).first()
+
+    def draw(numbers: DataFrame) -> DataFrame:
+        seat = F.floor(uniform(SEED, F.col("sample_index"), F.col("draw"), "source") * told["sources"]).cast("long")
+        return mixture.draw_runs(numbers.withColumn("seat", seat).join(seats, "seat").select("sample_index", "draw", "source"), runs)
 
+    first = 1 + int(2 * size * told["sources"] / max(told["frames"] or 0, 1))
+    return mixture.draw_until_full(_indices(spark, sf_dir) if indices is None else indices, draw, emitted, size, first)
 
-def interleave_sql(duration: str = "(1 + event_id % 3)::bigint") -> str:
-    return f"""with {_drawn_sql(duration)},
+
+def interleave_sql(duration: str = "(1 + event_id % 3)::bigint", size: int = SIZE, draws: int = SQL_DRAWS) -> str:
+    return f"""with {_drawn_sql(duration, draws)},
     wd as (select *, coalesce(sum(case when token = {END_OF_WORD} then 1 else 0 end) over (partition by sample_index order by place rows between unbounded preceding and 1 preceding), 0)::bigint as word from dr),
     wc as (select sample_index, max(word) + 1 as words from wd group by 1),
     ch as (select sample_index, unnest(range(words // 5 + 1)) as chunk from wc),
@@ -109,17 +129,23 @@ def interleave_sql(duration: str = "(1 + event_id % 3)::bigint") -> str:
     jn as (select wd.*, chunk, is_text from wd join cb on wd.sample_index = cb.sample_index and word >= high - n and word < high),
     sx as (select *, chunk > 0 and coalesce(lag(chunk) over (partition by sample_index order by place), -1) <> chunk as sw, case when is_text then case when token in ({PAD}, {END_OF_WORD}) then 0 else 1 end else duration end as own from jn),
     em as (select *, sum(own + sw::int) over (partition by sample_index order by place) - own - sw::int as begin from sx),
-    ex as (select *, unnest(range((own + sw::int)::bigint)) as k from em where begin < {SIZE})
+    ex as (select *, unnest(range((own + sw::int)::bigint)) as k from em where begin < {size})
     select sample_index, (begin + k)::bigint as pos, source, (case when sw and k = 0 then {SWITCH} when is_text then token else {PAD} end)::int as text,
       case when not (sw and k = 0) and not is_text then audio + k - sw::int end::bigint as frame, (sw and k = 0) or is_text as txt_in, not (sw and k = 0) and not is_text as other_in,
       not (sw and k = 0) and is_text as txt_pred, not (sw and k = 0) and not is_text as other_pred
-    from ex where begin + k < {SIZE}"""
+    from ex where begin + k < {size}"""
 
 
 @query(interleave_sql())
 def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alternating text and frame chunks of drawn sources, samples of 256 positions."""
-    return mixture.filled(mixture.interleave(drawn(spark, sf_dir), SIZE, END_OF_WORD, PAD, SWITCH, SEED), SIZE)
+    return mixture.interleave(drawn(spark, sf_dir), SIZE, END_OF_WORD, PAD, SWITCH, SEED)
+
+
+@query(interleave_sql(size=LONG_SIZE, draws=LONG_SQL_DRAWS))
+def interleave_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of 2,048 positions."""
+    return mixture.interleave(drawn(spark, sf_dir, size=LONG_SIZE), LONG_SIZE, END_OF_WORD, PAD, SWITCH, SEED)
 
 
 @query(
@@ -129,7 +155,7 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def aligned_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame-synchronous text and codes."""
-    return mixture.filled(mixture.aligned_layout(drawn(spark, sf_dir), SIZE, PAD), SIZE)
+    return mixture.aligned_layout(drawn(spark, sf_dir, emitted=aligned), SIZE, PAD)
 
 
 @query(interleave_sql())
@@ -138,10 +164,11 @@ def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "stream")
 
     def layout(batch: DataFrame) -> DataFrame:
-        return mixture.filled(mixture.interleave(drawn(spark, sf_dir, batch), SIZE, END_OF_WORD, PAD, SWITCH, SEED), SIZE)
+        return mixture.interleave(drawn(spark, sf_dir, batch), SIZE, END_OF_WORD, PAD, SWITCH, SEED)
 
-    for stop in (SAMPLES // 2, SAMPLES):
-        numbers = samples.sample_stream(spark, stop=stop, samplesPerTrigger=SAMPLES // 4)
+    total = _indices(spark, sf_dir).count()
+    for stop in (total // 2, total):
+        numbers = samples.sample_stream(spark, stop=stop, samplesPerTrigger=max(1, -(-total // 4)))
         run = samples.write_samples(numbers, layout, f"{folder}/out", f"{folder}/check")
         run.processAllAvailable()
         run.stop()
