@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 #: The multipliers of a sample's rank and index in its seed.
 RANK_STEP, INDEX_STEP = 1_000_003, 97_409
 _DIGITS = 13  # 52 bits: exact in a double
+#: How many values uniform() can take: a multiple of its steps.
+HASH_CELLS = 16**_DIGITS
 
 
 def stable_id(dataset: Column, split: Column, key: Column) -> Column:
@@ -36,8 +38,3 @@ def record_seed(seed: int, index: Column) -> Column:
 def safe_name(name: Column, suffix: str = ".flac") -> Column:
     """A file name: runs of other characters become _, then 10 digits of the name's SHA-1."""
     return F.concat(F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "_"), F.lit("-"), F.substring(F.sha1(name), 1, 10), F.lit(suffix))
-
-
-def assignment_digest(indices: Column) -> Column:
-    """SHA-256 of the compact JSON list of sorted indices (AGG26)."""
-    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(indices), lambda x: x.cast("string")), ","), F.lit("]")), 256)

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 MAX_VOCABULARY = 1_000_000
 UNICODE_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
+#: A text is a row of such pieces, whatever its characters. Bytes have the ids 0 to 255, the end comes next.
+PIECE = rf"{TOKEN}|\s+"
+END_ID = 256
 #: Hebrew and Arabic letters, that write from right to left.
 RTL = r"^[֐-ࣿיִ-﷿ﹰ-﻿]$"
 
@@ -50,16 +53,21 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 
 
+def _vocabulary(vocabulary: DataFrame) -> tuple[pa.Array, pa.Array]:
+    """Tokens and ids, MAX_VOCABULARY at most."""
+    rows = vocabulary.select("token", F.col("id").cast("int").alias("id")).limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} tokens")
+    return pa.array([r["token"] for r in rows], pa.string()), pa.array([r["id"] for r in rows], pa.int32())
+
+
 def token_ids(df: DataFrame, text: str, vocabulary: DataFrame, out: str = "ids", unknown: int = 0, end: int | None = 1) -> DataFrame:
     """df with the ids of a text's tokens, the end id after them (TOK1, TOK2).
 
     vocabulary: token and id, at most MAX_VOCABULARY rows (more raise an error). It goes to the workers whole and whole
     Arrow batches of tokens are looked up at once; a token that is not there has the unknown id, a null text none."""
-    rows = vocabulary.select("token", F.col("id").cast("int").alias("id")).limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} tokens")
-    names = pa.array([r["token"] for r in rows], pa.string())
-    numbers = pa.array([r["id"] for r in rows] + [unknown], pa.int32())
+    names, numbers = _vocabulary(vocabulary)
+    numbers = pa.concat_arrays([numbers, pa.array([unknown], pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,6 +86,67 @@ def token_ids(df: DataFrame, text: str, vocabulary: DataFrame, out: str = "ids",
     return df.withColumn("__tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).mapInArrow(run, schema)
 
 
+def piece_ids(df: DataFrame, text: str, vocabulary: DataFrame, out: str = "ids", end: int | None = END_ID) -> DataFrame:
+    """df with ids that hold a text whole (TOK1, TOK2): tokens of the vocabulary by their id, all else, white space too, by the ids
+    0 to 255 of its bytes; the end id last. A null text is an empty one.
+
+    vocabulary: token and id (above END_ID), at most MAX_VOCABULARY rows (more raise an error), looked up as in token_ids."""
+    names, numbers = _vocabulary(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["__pieces"]
+            flat = lists.flatten()
+            found = pc.index_in(flat, names)
+            spelled = pc.is_null(found)
+            letters = flat.filter(spelled).cast(pa.binary())
+            sizes = np.ones(len(flat), np.int64)
+            sizes[spelled.to_numpy(zero_copy_only=False)] = pc.binary_length(letters).to_numpy(zero_copy_only=False)
+            ids = np.zeros(int(sizes.sum()), np.int32)
+            known = ~spelled.to_numpy(zero_copy_only=False)
+            at = (np.cumsum(sizes) - sizes)[known]
+            by_bytes = np.ones(len(ids), bool)
+            by_bytes[at] = False
+            ids[at] = numbers.take(found.filter(pc.is_valid(found))).to_numpy(zero_copy_only=False)
+            ids[by_bytes] = np.frombuffer(b"".join(letters.to_pylist()), np.uint8)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
+            bounds = np.concatenate(([0], ends))
+            if end is not None:
+                ids = np.insert(ids, ends, end)
+                bounds = bounds + np.arange(len(bounds))
+            kept = {c: batch[c] for c in batch.schema.names if c != "__pieces"}
+            yield pa.record_batch({**kept, out: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` array<int>"])
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PIECE), F.lit(0))
+    return df.withColumn("__pieces", pieces).mapInArrow(run, schema)
+
+
+def text_of_ids(df: DataFrame, ids: str, vocabulary: DataFrame, out: str = "text") -> DataFrame:
+    """df with the text of piece_ids' ids; ids outside the vocabulary are an error, the end id adds nothing. Null ids give null."""
+    names, numbers = _vocabulary(vocabulary)
+    table = [bytes([b]) for b in range(256)] + [b""] + [None] * max(0, max([0, *numbers.to_pylist()]) - END_ID)
+    for token, number in zip(names.to_pylist(), numbers.to_pylist(), strict=True):
+        table[number] = token.encode()
+    spelling = pa.array([*table, None], pa.binary())  # the last entry stands for all ids beyond
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch[ids]
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            found = spelling.take(pa.array(np.where((flat < 0) | (flat >= len(spelling)), len(spelling) - 1, flat)))
+            if found.null_count:
+                raise ValueError("an id outside the vocabulary")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), found), b"")
+            whole = pc.if_else(pc.is_null(lists), pa.scalar(None, pa.binary()), joined)
+            yield pa.record_batch({**{c: batch[c] for c in batch.schema.names}, out: whole.cast(pa.string())})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` string"])
+    return df.mapInArrow(run, schema)
+
+
 def padded_id(prefix: str, index: Column, width: int = 8) -> Column:
     return F.format_string(f"{prefix}%0{width}d", index)
 

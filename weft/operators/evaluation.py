@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.functions.hashing import uniform
+from weft.functions.hashing import HASH_CELLS, uniform
 from weft.functions.numeric import bind
 from weft.functions.text import normalize_story
 from weft.operators.ordering import running
@@ -127,10 +127,32 @@ def shot_prompts(examples: DataFrame, shots: DataFrame, solved: DataFrame) -> Da
     return examples.join(joined, "index", "left").select("index", F.concat(F.coalesce("shots", F.lit("")), "prompt").alias("prompt"))
 
 
-def eval_subset(examples: DataFrame, fraction: float, total: int, seed: int) -> DataFrame:
-    """max(1, round half even(f * n)) examples without replacement, by smallest hash."""
+def eval_subset(examples: DataFrame, fraction: float, total: int, seed: int, cells: int = 4096, small: int = 10_000) -> DataFrame:
+    """max(1, round half even(f * n)) examples without replacement, by smallest hash, ties by index (TOP3).
+
+    The cut is found by counts of cells of the hash: the one cell that holds it is divided again until it has `small` rows at
+    most. Rows below it pass without a sort; only that cell is sorted."""
     n = max(1, round(fraction * total))
-    return examples.orderBy(uniform(F.lit(seed), F.col("index"), "subset"), "index").limit(n)
+    u = uniform(F.lit(seed), F.col("index"), "subset")
+    rows = examples.withColumn("__u", F.floor(u * float(HASH_CELLS)).cast("long"))
+    low, width, left = 0, HASH_CELLS, n
+    while width > 1:
+        part = max(1, width // cells)
+        inside = rows.where((F.col("__u") >= low) & (F.col("__u") < low + width))
+        held = 0
+        for r in inside.groupBy(F.floor((F.col("__u") - low) / part).cast("long").alias("cell")).agg(F.count("*").alias("n")).orderBy("cell").collect():  # `cells` rows at most
+            held = r["n"]
+            if held >= left:
+                low += r["cell"] * part
+                break
+            left -= held
+        else:  # fewer rows than asked for
+            return examples
+        width = part
+        if held <= small:
+            break
+    inside = rows.where((F.col("__u") >= low) & (F.col("__u") < low + width)).orderBy("__u", "index").limit(left)
+    return rows.where(F.col("__u") < low).unionByName(inside).drop("__u")
 
 
 def best_options(scores: DataFrame) -> DataFrame:

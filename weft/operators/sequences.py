@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.functions.numeric import bind, run_starts
+from weft.operators.ordering import running
 
 
 def collapse(codes: Column, end: Column) -> Column:
@@ -83,6 +84,9 @@ def masks_to_targets(df: DataFrame, keys: list[str], order: str, tokens: list[st
 
 
 def offsets(df: DataFrame, keys: list[str], order: str, length: str) -> DataFrame:
-    """Start of each row in its key's flat column: the running sum of the lengths before (W1)."""
-    at = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(length).over(at), F.lit(0)).cast("long"))
+    """Start of each row in its key's flat column: the running sum of the lengths before (W1).
+
+    Sums run over ranges of (key, order), so a key may span many tasks; a key's own start is taken off, one row a key."""
+    summed = running(df, [*keys, order], {"__before": F.col(length)})
+    starts = summed.groupBy(*keys).agg(F.min("__before").alias("__start"))
+    return summed.join(starts, keys).select(*df.columns, (F.col("__before") - F.col("__start")).cast("long").alias("offset"))

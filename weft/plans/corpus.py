@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weft.functions import hashing, text
-from weft.operators import planning, sequences, validation
+from weft.operators import digests, planning, sequences, validation
 from weft.operators.ordering import running
 from weft.plans.registry import load, query
 from weft.sources import manifests
 
 SHARDS = 8
-TOKEN = text.TOKEN.replace("'", "''")
+TOKEN, PIECE = text.TOKEN.replace("'", "''"), text.PIECE.replace("'", "''")
 VOCABULARY = 5000
 
 
@@ -117,6 +117,27 @@ def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("token", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) + 1).alias("id"))
 
 
+_PIECES = f"""vc as (select token, (row_number() over (order by n desc, token) + 256)::int as id from
+      (select token, count(*) as n from (select unnest(regexp_extract_all(text, '{TOKEN}')) as token from documents) group by 1 order by n desc, token limit {VOCABULARY})),
+    pc as (select doc_id, unnest(regexp_extract_all(text, '{PIECE}')) as token, generate_subscripts(regexp_extract_all(text, '{PIECE}'), 1) as i from documents),
+    bt as (select token, list_transform(range(1, length(hex(token)) + 1, 2), lambda i: ('0x' || substr(hex(token), i, 2))::int) as b from (select distinct token from pc)),
+    sp as (select token, case when id is null then array_to_string(b, ',') else id::varchar end as ids, case when id is null then len(b) else 1 end as n from bt left join vc using (token))"""
+
+
+@query(
+    f"""with {_PIECES}, ds as (select doc_id, sum(n)::bigint + 1 as n, md5(string_agg(ids, ',' order by i) || ',256') as digest from pc join sp using (token) group by 1)
+    select doc_id, coalesce(n, 1) as n, coalesce(digest, md5('256')) as digest, true as equal from documents left join ds using (doc_id)"""
+)
+def lossless_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole texts without an unknown one: frequent tokens by the vocabulary, everything else byte by byte; they decode to
+    the texts."""
+    vocabulary = vocab_build(spark, sf_dir).select("token", (F.col("id") + 255).alias("id"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = text.piece_ids(docs, "text", vocabulary)
+    back = text.text_of_ids(ids, "ids", vocabulary, "back")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", ",")).alias("digest"), (F.col("back") == F.coalesce("text", F.lit(""))).alias("equal"))
+
+
 _LENGTHS = f"select doc_id, {_SHARD}::int as shard, len(regexp_extract_all(text, '{TOKEN}'))::bigint + 1 as n from documents"
 
 
@@ -141,17 +162,6 @@ def text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.offsets(lengths, ["shard"], "doc_id", "length")
 
 
-@query(
-    """select doc_id as record_index, 'tinystories:train:' || lpad(doc_id::varchar, 8, '0') as id, length(trim(text, E' \\t\\n\\r\\f\\x0b'))::bigint as chars, doc_id::varchar as source_index
-    from documents where doc_id < 500"""
-)
-def story_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500 stories: the limit is the adapter's own parameter."""
-    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_index"), "text")
-    m = manifests.tinystories(rows, "train", 500)
-    return m.select("record_index", "id", F.length("transcript").cast("long").alias("chars"), F.element_at("extra", "source_index").alias("source_index"))
-
-
 @query(
     """select doc_id, source || ' / ' || lang || '.wav' as name, regexp_replace(source || ' / ' || lang || '.wav', '[^A-Za-z0-9_.-]+', '_', 'g') || '-' || substr(sha1(source || ' / ' || lang || '.wav'), 1, 10) || '.flac' as file from documents"""
 )
@@ -197,11 +207,11 @@ def tokenizer_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     select shard, count(*) as files, sha256(string_agg(path || ':' || size::varchar || ':' || digest, ';' order by path)) as fingerprint from f group by 1"""
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of sorted (path, size, digest), one a shard: a shard's list is bounded by its own documents."""
-    line = F.concat_ws(":", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")), F.length("text").cast("string"), F.sha2("text", 256))
+    """Digest of sorted (path, size, digest), one a shard."""
     path = F.concat(F.lit("documents/"), F.col("doc_id").cast("string"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(path.alias("path"), line.alias("line")))), lambda x: x["line"])
-    return _sharded(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("files"), F.sha2(F.array_join(lines, ";"), 256).alias("fingerprint"))
+    line = F.concat_ws(":", path, F.length("text").cast("string"), F.sha2("text", 256))
+    told = digests.ordered_digest(_sharded(spark, sf_dir).select("shard", path.alias("path"), line.alias("line")), ["shard"], ["path"], F.col("line"), ";")
+    return told.select("shard", F.col("rows").alias("files"), F.col("digest").alias("fingerprint"))
 
 
 @query(

@@ -126,31 +126,37 @@ def sampled_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with s as (select unnest(range(2000)) as step) select step, round(case when step < 100 then 2e-4 * (step + 1) / 100.0 when step < 1500 then 2e-4 when step - 1500 + 1 >= 500 then 2e-5 else 2e-4 + (2e-5 - 2e-4) * ((step - 1500 + 1) / 500.0) end, 12) as rate from s"""
+    """with n as (select count(*) as total, count(*) // 20 as warm, count(*) // 4 as down from events), s as (select event_id as step, total, warm, down, total - down as hold from events, n)
+    select step, round(case when step < warm then 2e-4 * (step + 1) / warm::double when step < hold then 2e-4 when step - hold + 1 >= down then 2e-5 else 2e-4 + (2e-5 - 2e-4) * ((step - hold + 1) / down::double) end, 12) as rate from s"""
 )
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = spark.range(2000).select(F.col("id").alias("step"))
-    return steps.select("step", F.round(numeric.schedule(F.col("step"), 2e-4, 2e-5, 100, 2000, 500), 12).alias("rate"))
+    """The rate of each step (an event), with a twentieth of all steps to warm up and a quarter to cool down."""
+    steps = load(spark, sf_dir, "events").select(F.col("event_id").alias("step"))
+    total = steps.count()
+    return steps.select("step", F.round(numeric.schedule(F.col("step"), 2e-4, 2e-5, total // 20, total, total // 4), 12).alias("rate"))
 
 
 @query(
-    """select batch, accumulation, world, batch * accumulation as sequences, accumulation // world as per_rank, batch * accumulation * 2048 as tokens
-    from (select unnest(range(1, 41)) as batch), (select unnest([8, 16, 24, 32])::bigint as accumulation), (select unnest([1, 2, 4, 8])::bigint as world)"""
+    """select event_id, batch, accumulation, world, batch * accumulation as sequences, accumulation // world as per_rank, batch * accumulation * 2048 as tokens
+    from (select event_id, 1 + user_id % 40 as batch, 8 * (1 + event_id % 4) as accumulation, 1 << (event_id % 3)::int as world from (select event_id::bigint as event_id, user_id::bigint as user_id from events))"""
 )
 def batch_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(1, 41).select(F.col("id").alias("batch"), F.explode(F.array(*(F.lit(x).cast("long") for x in (8, 16, 24, 32)))).alias("accumulation"))
-    grid = grid.select("*", F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 2, 4, 8)))).alias("world"))
+    """Batch sizes of each step (an event)."""
+    i = F.col("event_id")
+    grid = load(spark, sf_dir, "events").select("event_id", (1 + F.col("user_id") % 40).alias("batch"), (8 * (1 + i % 4)).alias("accumulation"), F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (i % 3 + 1).cast("int")).cast("long").alias("world"))
     sizes = training.batch_sizes(F.col("batch"), F.col("accumulation"), F.lit(2048), F.col("world"))
-    return grid.select("batch", "accumulation", "world", sizes["sequences"].alias("sequences"), sizes["per_rank_accumulation"].alias("per_rank"), sizes["tokens"].alias("tokens"))
+    return grid.select("event_id", "batch", "accumulation", "world", sizes["sequences"].alias("sequences"), sizes["per_rank_accumulation"].alias("per_rank"), sizes["tokens"].alias("tokens"))
 
 
 @query(
-    """select layers, round((6.0 * 150000000 + 12.0 * layers * 12 * 64 * 2048 + 0.25 * 12.0 * 2 * 8 * 64 * 2048) * 2048 * 480 / 5.0 / 312e12, 9) as mfu from (select unnest(range(6, 49)) as layers)"""
+    """select event_id, layers, round((6.0 * 150000000 + 12.0 * layers * 12 * 64 * 2048 + 0.25 * 12.0 * 2 * 8 * 64 * 2048) * 2048 * 480 / seconds / 312e12, 9) as mfu
+    from (select event_id, 6 + event_id % 43 as layers, 2.0::double + abs(value) as seconds from events)"""
 )
 def mfu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    depth = spark.range(6, 49).select(F.col("id").alias("layers"))
-    share = training.utilization(F.lit(150e6), F.col("layers"), F.lit(12), F.lit(768), F.lit(2048), F.lit(480), F.lit(5.0), F.lit(12.0 * 2 * 8 * 64 * 2048))
-    return depth.select("layers", F.round(share, 9).alias("mfu"))
+    """Utilisation of each step (an event) by its layers and its seconds."""
+    steps = load(spark, sf_dir, "events").select("event_id", (6 + F.col("event_id") % 43).alias("layers"), (2.0 + F.abs("value")).alias("seconds"))
+    share = training.utilization(F.lit(150e6), F.col("layers"), F.lit(12), F.lit(768), F.lit(2048), F.lit(480), F.col("seconds"), F.lit(12.0 * 2 * 8 * 64 * 2048))
+    return steps.select("event_id", "layers", F.round(share, 9).alias("mfu"))
 
 
 @query(

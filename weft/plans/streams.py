@@ -101,7 +101,7 @@ def stream_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _META = """m as (select source as k, doc_id as place, 'doc' || doc_id::varchar as source, lang || '/base' || (doc_id % 40 // 39)::varchar || '-' || doc_id::varchar as tokenizer_id,
       case when doc_id % 3 = 0 then null else 'alias' || (doc_id % 50 // 49)::varchar end as tokenizer_alias, 100 + (doc_id % 60 // 59) as base_vocab_size, 7 as eos_id,
-      case when doc_id % 4 = 0 then null else 100 end as pad_id, case when doc_id % 5 < 4 then null else 101 + (doc_id % 70 // 69) end as epad_id, null::bigint as special_vocab_size from documents where lang = 'en')"""
+      case when doc_id % 4 = 0 then null else 100 end as pad_id, case when doc_id % 5 < 4 then null else 101 + (doc_id % 70 // 69) end as epad_id, null::bigint as special_vocab_size from documents)"""
 
 
 @query(
@@ -113,10 +113,10 @@ _META = """m as (select source as k, doc_id as place, 'doc' || doc_id::varchar a
       coalesce(arg_min(source || ': ' || problem, place) filter (problem is not null), 'none') as problem from j group by 1"""
 )
 def text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text metadata of the English documents of each source, reconciled: the first one's, gaps filled, first contradiction."""
+    """Text metadata of the documents of each source, reconciled: the first one's, gaps filled, first contradiction."""
     i = F.col("doc_id")
     odd = lambda n: (F.floor(i % n / (n - 1))).cast("long")
-    rows = load(spark, sf_dir, "documents").where("lang = 'en'").select(
+    rows = load(spark, sf_dir, "documents").select(
         F.col("source").alias("k"), i.alias("place"), F.concat(F.lit("doc"), i.cast("string")).alias("source"), F.concat("lang", F.lit("/base"), odd(40).cast("string"), F.lit("-"), i.cast("string")).alias("tokenizer_id"),
         F.when(i % 3 != 0, F.concat(F.lit("alias"), odd(50).cast("string"))).alias("tokenizer_alias"), (100 + odd(60)).alias("base_vocab_size"), F.lit(7).alias("eos_id"),
         F.when(i % 4 != 0, 100).alias("pad_id"), F.when(i % 5 == 4, 101 + odd(70)).alias("epad_id"), F.lit(None).cast("long").alias("special_vocab_size"),
@@ -126,16 +126,16 @@ def text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with f as (select lang || '/' || doc_id::varchar || '/meta.json' as path, sha256(text) as content from documents where doc_id % 3 = 0
+    """with f as (select lang || '/' || doc_id::varchar || '/meta.json' as path, sha256(text) as content from documents
       union select lang || '/' || doc_id::varchar || '/meta.json', sha256(text) from documents where doc_id % 4 = 0),
-    g as (select split_part(path, '/', 1) as dataset, string_agg(path || ':' || content, ';' order by path) as body, count(*) as files from f group by 1)
+    g as (select split_part(path, '/', 1) as dataset, string_agg(path || content, '' order by path) as body, count(*) as files from f group by 1)
     select dataset, files, sha256('{"block_size": 2048, "splits": ["train"]}' || body) as digest from g"""
 )
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of a configuration and of the union of two sets of metadata files, one a dataset."""
     docs = load(spark, sf_dir, "documents")
     files = lambda n: docs.where(F.col("doc_id") % n == 0).select(F.concat_ws("/", "lang", F.col("doc_id").cast("string"), F.lit("meta.json")).alias("path"), F.sha2("text", 256).alias("content"))
-    return manifests.dataset_fingerprint(manifests.path_union(files(3), files(4)), {"splits": ["train"], "block_size": 2048})
+    return manifests.dataset_fingerprint(manifests.path_union(files(1), files(4)), {"splits": ["train"], "block_size": 2048})
 
 
 # alignments in full
@@ -314,15 +314,16 @@ def residual_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select layers, books, round(((6.0 * 150000000 + 12.0 * layers * 12 * 64 * 2048 + 0.25 * 12.0 * 2 * 8 * 64 * 2048) + 6.0 * 20000000 * (books - 1) + 12.0 * 4 * 8 * 64 * books * books) * 2048 * 480 / 5.0 / 312e12, 9) as mfu
-    from (select unnest(range(6, 49)) as layers), (select unnest([2, 4, 8])::bigint as books)"""
+    """select event_id, layers, books, round(((6.0 * 150000000 + 12.0 * layers * 12 * 64 * 2048 + 0.25 * 12.0 * 2 * 8 * 64 * 2048) + 6.0 * 20000000 * (books - 1) + 12.0 * 4 * 8 * 64 * books * books) * 2048 * 480 / 5.0 / 312e12, 9) as mfu
+    from (select event_id, 6 + event_id % 43 as layers, 2 + event_id % 7 as books from events)"""
 )
 def mfu_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Utilisation with a transformer over the codebooks: its parameters and its attention count for each codebook."""
-    grid = spark.range(6, 49).select(F.col("id").alias("layers"), F.explode(F.array(*(F.lit(x).cast("long") for x in (2, 4, 8)))).alias("books"))
+    """Utilisation with a transformer over the codebooks: its parameters and its attention count for each codebook. An event is a step."""
+    i = F.col("event_id")
+    grid = load(spark, sf_dir, "events").select("event_id", (6 + i % 43).alias("layers"), (2 + i % 7).alias("books"))
     flat = training.utilization(F.lit(150e6), F.col("layers"), F.lit(12), F.lit(768), F.lit(2048), F.lit(480), F.lit(5.0), F.lit(12.0 * 2 * 8 * 64 * 2048))
     depth = training.depth_flops(F.lit(20e6), F.col("books"), F.lit(4), F.lit(8), F.lit(512))
-    return grid.select("layers", "books", F.round(training.utilization_with_depth(flat, depth, F.lit(2048), F.lit(480), F.lit(5.0)), 9).alias("mfu"))
+    return grid.select("event_id", "layers", "books", F.round(training.utilization_with_depth(flat, depth, F.lit(2048), F.lit(480), F.lit(5.0)), 9).alias("mfu"))
 
 
 # generation

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weft.functions.hashing import stable_id
 from weft.functions.text import padded_id, strip
+from weft.operators.digests import ordered_digest
 from weft.operators.ordering import running
 
 MANIFEST = "record_index long, id string, dataset string, split string, audio string, sample_rate int, duration double, offset double, transcript string, speaker string, source_revision string, words array<struct<text:string,start:double,end:double>>, extra map<string,string>"
@@ -161,11 +162,11 @@ def path_union(*files: DataFrame) -> DataFrame:
 
 
 def dataset_fingerprint(files: DataFrame, config: dict) -> DataFrame:
-    """dataset, files and the SHA-256 of the configuration as JSON with sorted keys and of all (path, content) in order of
-    path (AGG23, LIM2); a dataset is the first part of a path. One dataset's metadata files meet in one task."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda x: F.concat_ws(":", x["path"], x["content"])), ";")
-    told = F.lit(json.dumps(config, sort_keys=True))
-    return files.groupBy(F.substring_index("path", "/", 1).alias("dataset")).agg(F.count("*").alias("files"), F.sha2(F.concat(told, body), 256).alias("digest"))
+    """dataset, files and the SHA-256 of the configuration as JSON with sorted keys and then of each path and content, in order
+    of path, without separators (AGG23, LIM2); a dataset is the first part of a path."""
+    piece = F.concat(F.col("path").cast("binary"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")))
+    told = files.select(F.substring_index("path", "/", 1).alias("dataset"), "path", piece.alias("piece"))
+    return ordered_digest(told, ["dataset"], ["path"], F.col("piece"), prefix=json.dumps(config, sort_keys=True)).withColumnRenamed("rows", "files")
 
 
 def manifest_digest(manifest: DataFrame) -> str:
