@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.operators import modalities, planning
 from weft.session import session
-from weft.sources import manifests, shards
+from weft.sources import indexed, manifests, shards
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,6 +47,8 @@ def parser() -> argparse.ArgumentParser:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A written manifest; records carry their dataset and split, files stand in record order."""
+    if (at := indexed.mounted(path)) and os.path.isfile(at):
+        return manifests.from_json(indexed.number_lines(spark, path), None, None)
     lines = manifests.running(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")), ["file", "row"])
     return manifests.from_json(lines.select(F.col("number").alias("line"), "value"), None, None)
 

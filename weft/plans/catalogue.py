@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import corpus, evaluation, frames, layouts, scores, streams  # noqa: F401  each module registers its queries
+from weft.plans import corpus, evaluation, files, frames, layouts, scores, streams  # noqa: F401  each module registers its queries
 from weft.plans.registry import QUERIES, SQL, Query
 
 

@@ -13,6 +13,7 @@ from weft.functions.hashing import stable_id
 from weft.functions.text import padded_id, strip
 from weft.operators.digests import ordered_digest
 from weft.operators.ordering import running
+from weft.sources import indexed
 
 MANIFEST = "record_index long, id string, dataset string, split string, audio string, sample_rate int, duration double, offset double, transcript string, speaker string, source_revision string, words array<struct<text:string,start:double,end:double>>, extra map<string,string>"
 COLUMNS = [c.split()[0] for c in "record_index, id, dataset, split, audio, sample_rate, duration, offset, transcript, speaker, source_revision, words, extra".split(", ")]
@@ -57,10 +58,8 @@ def unique(df: DataFrame, key: str, message: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file in file order, read as one record so that the order is the file's."""
-    whole = spark.read.text(path, wholetext=True)
-    body = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    return whole.select(F.posexplode(body).alias("line", "value")).select(F.col("line").cast("long"), "value")
+    """(line, value) of a text file in file order; the file may be split."""
+    return indexed.number_lines(spark, path)
 
 
 def fairseq_tsv(spark: SparkSession, path: str, dataset: str, split: str, sample_rate: int, transcripts: str | None = None, revision: str | None = None) -> DataFrame:
@@ -140,17 +139,27 @@ def to_json_lines(manifest: DataFrame) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Validate, refuse repeated ids and write JSON lines in record order."""
+    """Validate, refuse repeated ids and write JSON lines in record order: a file with its index where tasks can open the folder,
+    else a folder of parts in order."""
     from weft.operators.validation import manifest_reason
 
     checked = require(unique(manifest, "id", "duplicate id"), manifest_reason().isNull(), F.concat(F.lit("invalid record "), F.col("id")))
-    to_json_lines(checked).repartitionByRange("record_index").sortWithinPartitions("record_index").select("value").write.mode("errorifexists").text(path)
+    lines = to_json_lines(checked)
+    if indexed.mounted(path) is not None:
+        return indexed.write_lines(lines, path)
+    lines.repartitionByRange("record_index").sortWithinPartitions("record_index").select("value").write.mode("errorifexists").text(path)
+
+
+def seek_rows(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Records of a written manifest in requested order, read by their offsets: wanted has (place, record_index)."""
+    found = indexed.seek_lines(spark, path, wanted)
+    m = from_json(found.select(F.col("place").alias("line"), "value"), None, None)
+    return m.withColumnRenamed("record_index", "place").join(wanted.select(F.col("place").cast("long").alias("place"), F.col("record_index").cast("long").alias("record_index")), "place").orderBy("place")
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> DataFrame:
-    """path and sha256 of files (V9, AGG24); files over 2 GB need a reader of their own."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length"))
+    """path, sha256 and length of files (V9, AGG24)."""
+    return indexed.file_digests(spark, list(paths))
 
 
 def path_union(*files: DataFrame) -> DataFrame:
