@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.sources import indexed, manifests
+from weft.sources import indexed, manifests, shards
 
 
 @pytest.fixture
@@ -122,3 +122,64 @@ def test_no_lines(spark, tmp_path):
     indexed.write_lines(spark.createDataFrame([], "record_index long, value string"), path)
     assert os.path.getsize(path) == os.path.getsize(path + ".idx") == 0
     assert indexed.read_lines(spark, path).isEmpty() and indexed.build_index(spark, path) == 0
+
+
+# packed shards by ranges
+
+
+@pytest.fixture(scope="module", params=["units-only", "aligned", "text", "rendered"])
+def packed(spark, tmp_path_factory, request):
+    rng, root, rows = random.Random(5), str(tmp_path_factory.mktemp("packed")), []
+    for shard in range(2):
+        for k in range(20):
+            n = rng.randint(2, 9)
+            codes = [[rng.randint(0, 99), rng.randint(0, 99)] for _ in range(n)]
+            text = [rng.randint(0, 99) for _ in range(n if request.param in ("text", "rendered") else max(1, n // 2))]
+            rows.append((f"s{shard}", k, f"id{k:02d}é", codes, text, [1] * (len(text) - 1) + [n - len(text) + 1], json.dumps({"k": k})))
+    df = spark.createDataFrame(rows, "shard string, place long, id string, codes array<array<int>>, text array<int>, dur array<int>, metadata string")
+    shards.write_shards(df, root, request.param, 2)
+    return root, request.param, rows
+
+
+def test_slices_equal_whole_shards(spark, packed):
+    root, profile, rows = packed
+    order = ["shard", "place"]
+    whole = spark.read.format("packed_shard").option("path", root).load().orderBy(*order).collect()
+    for limit in (1, 60, 1 << 20):
+        sliced = shards.read_samples(spark, root, slice_bytes=limit)
+        assert sliced.orderBy(*order).collect() == whole
+        assert sliced.rdd.getNumPartitions() == {1: 40, 1 << 20: 2}.get(limit, sliced.rdd.getNumPartitions())
+    some = shards.read_samples(spark, root).where(f"shard = '{root}/s1' and place in (3, 17)").orderBy(*order).collect()
+    assert some == [r for r in whole if r["shard"].endswith("s1") and r["place"] in (3, 17)]
+    assert [r["place"] for r in shards.read_samples(spark, root).where("place >= 18 and place < 30").orderBy(*order).collect()] == [18, 19] * 2
+    narrow = shards.read_samples(spark, root, ["text" if profile == "text" else "codes"]).orderBy(*order).collect()
+    assert all(r["id"] is None and r["metadata"] is None for r in narrow) and [r["codes"] for r in narrow] == [r["codes"] for r in whole]
+
+
+def test_a_sample_reads_its_own_bytes(packed):
+    root, profile, rows = packed
+    shard = shards.Packed(f"{root}/s0")
+    got, want = shard.sample(7), rows[7]
+    assert "codes" not in got or got["codes"].tolist() == want[3]
+    assert "text" not in got or got["text"].tolist() == want[4]
+    assert "dur" not in got or got["dur"].tolist() == want[5]
+    sizes = {"codes": 4 * len(want[3]), "text": 4 * len(want[4]), "dur": 4 * len(want[5])}
+    assert shard.read_bytes == {shard.columns[c][0]: sizes[c] for c in shard.columns}
+    with pytest.raises(IndexError):
+        shard.sample(20)
+    kept = shards.Packed(f"{root}/s0")
+    list(kept.rows(3, 5, ["text" if profile == "text" else "codes"]))
+    assert len(kept.read_bytes) == 1 and shards.SAMPLES not in kept.read_bytes
+
+
+def test_parts_by_ranges(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, [[rng.randint(0, 99), k] for _ in range(n)], [k] * n) for k, n in enumerate([3, 1, 7, 2, 5, 4])]
+    df = spark.createDataFrame(rows, "place int, codes array<array<int>>, text array<int>")
+    shards.write_part(df, str(tmp_path), "p", "bpe")
+    for limit in (1, 20, 1 << 20):
+        assert sorted(map(tuple, shards.decode_parts(spark, str(tmp_path), "p", 2, "bpe", slice_bytes=limit).collect())) == rows
+    with open(tmp_path / "p.bin", "ab") as f:
+        f.write(b"x")
+    with pytest.raises(ValueError, match="size"):
+        shards.decode_parts(spark, str(tmp_path), "p", 2, "bpe")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.operators.ordering import running
 from weft.plans.registry import load, query
-from weft.sources import indexed, manifests
+from weft.sources import indexed, manifests, shards
 from weft.storage import scratch
 
 _LINES = "ln as (select doc_id as record_index, concat_ws(chr(9), doc_id, source, lang, n_chars, md5(text)) as value from documents)"
@@ -76,3 +76,31 @@ def manifest_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = running(load(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"])
     wanted = asked.select(F.col("number").alias("place"), ((F.col("conv_id") * 7 + F.col("turn")) % total).alias("record_index"))
     return manifests.seek_rows(spark, path, wanted).select("place", "record_index", "speaker", F.md5("transcript").alias("digest"))
+
+
+_CODES = """ev as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, (floor(abs(value))::bigint % 500)::int as code from events),
+    us as (select user_id, (user_id % 8)::int as shard, count(*) as steps, md5(string_agg(code::varchar, ',' order by pos)) as digest from ev group by 1)"""
+
+
+def _shards(spark: SparkSession, sf_dir: str) -> str:
+    """Each user's codes as a sample of one of eight shards."""
+    at = F.struct("ts", "event_id", (F.floor(F.abs("value")) % 500).cast("int").alias("code"))
+    users = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(at)).alias("x"))
+    root = scratch(spark, "shards")
+    samples = users.select(F.format_string("shard-%05d", F.col("user_id") % 8).alias("shard"), F.col("user_id").cast("long").alias("place"), F.col("user_id").cast("string").alias("id"), F.transform("x", lambda x: F.array(x["code"])).alias("codes"), F.lit("{}").alias("metadata"))
+    shards.write_shards(samples, root)
+    return root
+
+
+@query(f"""with {_CODES} select shard, row_number() over (partition by shard order by user_id) - 1 as place, user_id::varchar as id, steps, digest from us""")
+def shard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed shards read back by ranges of samples."""
+    rows = shards.read_samples(spark, _shards(spark, sf_dir), ("id", "codes"), 1 << 10)
+    return rows.select(F.substring("shard", -5, 5).cast("int").alias("shard"), F.col("place").cast("long").alias("place"), "id", F.size("codes").cast("long").alias("steps"), F.md5(F.array_join(F.flatten("codes").cast("array<string>"), ",")).alias("digest"))
+
+
+@query(f"""with {_CODES}, n as (select *, row_number() over (partition by shard order by user_id) - 1 as place from us) select shard, steps, digest from n where place = 1""")
+def shard_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second sample of every shard: the place reaches the files, ids stay closed."""
+    rows = shards.read_samples(spark, _shards(spark, sf_dir), ("codes",)).where("place = 1")
+    return rows.select(F.substring("shard", -5, 5).cast("int").alias("shard"), F.size("codes").cast("long").alias("steps"), F.md5(F.array_join(F.flatten("codes").cast("array<string>"), ",")).alias("digest"))

@@ -19,15 +19,16 @@ import os
 import re
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from weft.operators.validation import RESERVED
+from weft.sources import indexed
 
 #: The format's file names and number types.
 VERSION = 1
@@ -35,6 +36,7 @@ CODES, STEPS, TEXT, TEXT_COUNTS, DURATIONS = "audio.bin", "audio.len", "text.bin
 IMAGE, IMAGE_STEPS = "image.bin", "image.len"
 CODE, COUNT, WORD = "<i2", "<i8", "<i4"
 SAMPLES, SKIPS, META = "samples.jsonl", "skips.jsonl", "meta.json"
+SLICE_BYTES = 64 << 20
 MODALITY = {"text": "text", "rendered": "rendered-text"}
 PROFILES = ("units-only", "aligned", "text", "rendered")
 
@@ -223,20 +225,35 @@ def decode_shards(spark: SparkSession, root: str, verify: bool = True) -> DataFr
     return named.groupBy("shard").applyInPandas(run, SCHEMA)
 
 
-def decode_parts(spark: SparkSession, root: str, part: str, books: int, alias: str | None = None, number: str = CODE) -> DataFrame:
-    """(place, codes, text) of a ragged part: `part`.bin, `part`.len and, with an alias, `part`_`alias`.bin."""
-    names = {f"{part}.bin": "codes", f"{part}.len": "steps"} | ({f"{part}_{alias}.bin": "text"} if alias else {})
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
-    named = files.select(F.lit(part).alias("part"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
+def decode_parts(spark: SparkSession, root: str, part: str, books: int, alias: str | None = None, number: str = CODE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(place, codes, text) of a ragged part of a mounted folder: `part`.bin, `part`.len and, with an alias, `part`_`alias`.bin.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = {names[f]: c for f, c in zip(rows["file"], rows["content"], strict=True)}
-        steps = np.frombuffer(found["steps"], COUNT)
-        codes = [c.tolist() for c in cut(np.frombuffer(found["codes"], number).reshape(-1, books), steps)]
-        text = [t.tolist() for t in cut(np.frombuffer(found["text"], WORD), steps)] if "text" in found else [None] * len(steps)
-        return pd.DataFrame({"place": np.arange(len(steps), dtype=np.int32), "codes": codes, "text": text})
+    Entries are dealt out in ranges at prefix sums of their lengths; a task reads its own bytes of each file."""
+    root = indexed.mounted(root) or root
+    steps = np.fromfile(os.path.join(root, f"{part}.len"), COUNT)
+    starts = np.concatenate(([0], np.cumsum(steps)))
+    unit = books * np.dtype(number).itemsize
+    names = [(f"{part}.bin", number, unit)] + ([(f"{part}_{alias}.bin", WORD, np.dtype(WORD).itemsize)] if alias else [])
+    for name, _, width in names:
+        if os.path.getsize(os.path.join(root, name)) != int(starts[-1]) * width:
+            raise ValueError(f"{name}: size")
 
-    return named.groupBy("part").applyInPandas(run, "place int, codes array<array<int>>, text array<int>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first, last, low, body in batch.itertuples(index=False):
+                sizes = np.frombuffer(body, COUNT)
+                parts = []
+                for name, kind, width in names:
+                    with open(os.path.join(root, name), "rb") as f:
+                        f.seek(low * width)
+                        parts.append(np.frombuffer(f.read(int(sizes.sum()) * width), kind))
+                codes = [x.tolist() for x in cut(parts[0].reshape(-1, books), sizes)]
+                text = [x.tolist() for x in cut(parts[1], sizes)] if alias else [None] * len(sizes)
+                yield pd.DataFrame({"place": np.arange(first, last, dtype=np.int32), "codes": codes, "text": text})
+
+    ranges = [(a, b, int(starts[a]), steps[a:b].tobytes()) for a, b in slices(steps * unit, slice_bytes)]
+    rows = spark.createDataFrame(ranges, "first long, last long, low long, sizes binary").repartition(max(1, len(ranges)))
+    return rows.mapInPandas(run, "place int, codes array<array<int>>, text array<int>")
 
 
 def part_problem(lengths: bytes | None, expected: int) -> str | None:
@@ -276,17 +293,119 @@ def write_part(rows: DataFrame, root: str, part: str, alias: str | None = None,
     rows.select("place", "codes", *(["text"] if alias else [])).repartition(1).sortWithinPartitions("place").mapInPandas(run, "n long").collect()
 
 
-class _Shard(InputPartition):
+class Packed:
+    """One shard's folder, opened for reads of ranges of samples; `read_bytes` counts what was read of each file.
+
+    Opening reads meta.json and the lengths only and checks them against the files' sizes. A range reads its own bytes of the
+    columns asked for; samples.jsonl, whose lines differ in length, is opened for id and metadata alone, up to the range's end."""
+
     def __init__(self, path: str):
-        self.path = path
+        with open(os.path.join(path, META)) as f:
+            self.meta = json.load(f)
+        if self.meta.get("schema_version") != VERSION:
+            raise ValueError(f"{path}: schema version")
+        kinds = {v: k for k, v in MODALITY.items()}
+        self.path, self.read_bytes = path, {}
+        self.profile = kinds[self.meta["modality"]] if "modality" in self.meta else self.meta["profile"]
+        books = int(self.meta.get("n_codebooks", 1))
+        steps = {"text": TEXT_COUNTS, "rendered": IMAGE_STEPS}.get(self.profile, STEPS)
+        #: column to (file, number type, numbers a step, first step of each sample and the end)
+        self.columns: dict[str, tuple[str, str, int, np.ndarray]] = {}
+        at = self._starts(steps)
+        if self.profile != "text":
+            self.columns["codes"] = (IMAGE if self.profile == "rendered" else CODES, CODE, books, at)
+        if self.profile != "units-only":
+            words = self._starts(TEXT_COUNTS) if self.profile == "aligned" else at
+            self.columns["text"] = (TEXT, WORD, 1, words)
+            if self.profile == "aligned":
+                self.columns["dur"] = (DURATIONS, WORD, 1, words)
+        for name, kind, width, starts in self.columns.values():
+            if len(starts) - 1 != self.meta["num_samples"]:
+                raise ValueError(f"{path}: sample count")
+            if os.path.getsize(os.path.join(path, name)) != int(starts[-1]) * width * np.dtype(kind).itemsize:
+                raise ValueError(f"{path}: size of {name}")
+
+    def __len__(self) -> int:
+        return int(self.meta["num_samples"])
+
+    def _starts(self, name: str) -> np.ndarray:
+        lengths = np.fromfile(os.path.join(self.path, name), COUNT)
+        if len(lengths) and lengths.min() <= 0:
+            raise ValueError(f"{self.path}: lengths")
+        return np.concatenate(([0], np.cumsum(lengths)))
+
+    def weights(self) -> np.ndarray:
+        """Bytes of each sample in all columns."""
+        return sum((np.diff(starts) * width * np.dtype(kind).itemsize for _, kind, width, starts in self.columns.values()), np.zeros(len(self), np.int64))
+
+    def column(self, column: str, first: int, last: int) -> list[np.ndarray]:
+        """One column of the samples from first up to last."""
+        name, kind, width, starts = self.columns[column]
+        unit = width * np.dtype(kind).itemsize
+        low, high = int(starts[first]), int(starts[last])
+        with open(os.path.join(self.path, name), "rb") as f:
+            f.seek(low * unit)
+            body = f.read((high - low) * unit)
+        self.read_bytes[name] = self.read_bytes.get(name, 0) + len(body)
+        flat = np.frombuffer(body, kind)
+        return np.split(flat.reshape(-1, width) if column == "codes" else flat, (starts[first + 1 : last] - low).tolist())
+
+    def told(self, first: int, last: int) -> list[dict]:
+        """The samples' lines."""
+        out = []
+        with open(os.path.join(self.path, SAMPLES), encoding="utf-8") as f:
+            for k, line in enumerate(x for x in f if x.strip()):
+                if k >= last:
+                    break
+                self.read_bytes[SAMPLES] = self.read_bytes.get(SAMPLES, 0) + len(line.encode())
+                if k >= first:
+                    out.append(json.loads(line))
+        return out
+
+    def sample(self, index: int) -> dict[str, np.ndarray]:
+        if not 0 <= index < len(self):
+            raise IndexError(index)
+        return {c: self.column(c, index, index + 1)[0] for c in self.columns}
+
+    def rows(self, first: int, last: int, wanted: Iterable[str]) -> Iterator[tuple]:
+        """SCHEMA's rows; columns that are not wanted are null and not opened."""
+        none = [None] * (last - first)
+        lists = [[x.tolist() for x in self.column(c, first, last)] if c in wanted and c in self.columns else none for c in ("codes", "text", "dur")]
+        told = self.told(first, last) if {"id", "metadata"} & set(wanted) else none
+        own = ("id", "audio_steps", "text_tokens", "tokens", "steps")
+        for k in range(last - first):
+            line = told[k] or {}
+            metadata = json.dumps({a: b for a, b in line.items() if a not in own}, sort_keys=True) if "metadata" in wanted else None
+            yield self.path, first + k, line.get("id") if "id" in wanted else None, *(x[k] for x in lists), metadata
+
+
+def slices(weights: np.ndarray, limit: int, first: int = 0, last: int | None = None) -> list[tuple[int, int]]:
+    """[first, last) cut into ranges of about `limit` bytes, one sample at least, at prefix sums of the samples' bytes."""
+    last = len(weights) if last is None else min(last, len(weights))
+    sums, out = np.concatenate(([0], np.cumsum(weights))), []
+    while first < last:
+        stop = max(first + 1, min(last, int(np.searchsorted(sums, sums[first] + limit, "right")) - 1))
+        out.append((first, stop))
+        first = stop
+    return out
+
+
+class _Shard(InputPartition):
+    def __init__(self, path: str, first: int = 0, last: int = 0):
+        self.path, self.first, self.last = path, first, last
 
 
 class _Reader(DataSourceReader):
+    """Whole shards, one a task, with their checksums."""
+
     def __init__(self, options: dict[str, str]):
         self.root, self.verify = options["path"], options.get("verify", "true") == "true"
 
+    def shards(self) -> list[str]:
+        return [d for d, _, names in sorted(os.walk(self.root)) if META in names and "/.tmp-" not in d]
+
     def partitions(self) -> list[_Shard]:
-        return [_Shard(d) for d, _, names in sorted(os.walk(self.root)) if META in names and "/.tmp-" not in d]
+        return [_Shard(d) for d in self.shards()]
 
     def read(self, partition: _Shard) -> Iterator[tuple]:
         files = {}
@@ -298,6 +417,47 @@ class _Reader(DataSourceReader):
             yield tuple(row)
 
 
+class _SliceReader(_Reader):
+    """Ranges of samples: several partitions a shard, the wanted columns' bytes only, filters on shard and place applied first."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.wanted = [c for c in options.get("columns", "id,codes,text,dur,metadata").split(",") if c]
+        self.limit = int(options.get("slicebytes", options.get("sliceBytes", SLICE_BYTES)))
+        self.low, self.high, self.chosen = 0, None, {"place": None, "shard": None}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name, value = getattr(f, "attribute", (None,))[0], getattr(f, "value", None)
+            if name not in self.chosen or value is None or (isinstance(f, In) and None in value):
+                yield f
+            elif isinstance(f, (EqualTo, In)):
+                named = set(value) if isinstance(f, In) else {value}
+                self.chosen[name] = named if self.chosen[name] is None else self.chosen[name] & named
+            elif name == "place" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, value + isinstance(f, GreaterThan))
+            elif name == "place" and isinstance(f, (LessThan, LessThanOrEqual)):
+                end = value + isinstance(f, LessThanOrEqual)
+                self.high = end if self.high is None else min(self.high, end)
+            else:
+                yield f
+
+    def partitions(self) -> list[_Shard]:
+        out, places = [], self.chosen["place"]
+        for d in self.shards():
+            if self.chosen["shard"] is not None and d not in self.chosen["shard"]:
+                continue
+            weights = Packed(d).weights()
+            high = len(weights) if self.high is None else min(self.high, len(weights))
+            ranges = [(self.low, high)] if places is None else [(k, k + 1) for k in sorted(places) if self.low <= k < high]
+            out += [_Shard(d, a, b) for low, end in ranges for a, b in slices(weights, self.limit, low, end)]
+        return out or [_Shard("", 0, 0)]
+
+    def read(self, partition: _Shard) -> Iterator[tuple]:
+        if partition.first < partition.last:
+            yield from Packed(partition.path).rows(partition.first, partition.last, self.wanted)
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, shards: list[str]):
         self.shards = shards
@@ -364,7 +524,7 @@ def _store(path: str, content: bytes) -> None:
 
 
 class PackedShardSource(DataSource):
-    """Format `packed_shard`: options path, verify; for writing profile, codebooks, preprocessing (JSON)."""
+    """Format `packed_shard`: options path, verify, or slices, columns and sliceBytes (read_samples); for writing profile, codebooks, preprocessing (JSON)."""
 
     @classmethod
     def name(cls) -> str:
@@ -374,7 +534,7 @@ class PackedShardSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options)
+        return _SliceReader(self.options) if self.options.get("slices") == "true" else _Reader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options)
@@ -391,6 +551,15 @@ def write_shards(samples: DataFrame, root: str, profile: str = "units-only", cod
     rows.write.format("packed_shard").options(**options).mode("append").save()
 
 
+def read_samples(spark: SparkSession, root: str, columns: Iterable[str] = ("id", "codes", "text", "dur", "metadata"), slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """SCHEMA's rows of all shards below a mounted root, read by ranges of samples; filters on shard and place reach the files.
+    Columns that are not asked for are null and their files stay closed. Sizes are checked, checksums are not."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PackedShardSource)
+    reader = spark.read.format("packed_shard").option("path", root).option("slices", "true")
+    return reader.option("columns", ",".join(columns)).option("sliceBytes", slice_bytes).load()
+
+
 def shard_name(index: int) -> str:
     return f"shard-{index:05d}"
 
