@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.functions import hashing, text
+from weft.functions import hashing, numeric, text
 from weft.operators import digests, evaluation, ordering, planning, sequences
+from weft.plans import frames
+from weft.streaming import samples
 
 
 @pytest.fixture
@@ -116,3 +118,51 @@ def test_ids_hold_texts_whole(spark):
     with pytest.raises(Exception, match="outside the vocabulary"):
         text.text_of_ids(spark.createDataFrame([([999],)], "ids array<int>"), "ids", vocabulary).collect()
     assert text.text_of_ids(spark.createDataFrame([(None,)], "ids array<int>"), "ids", vocabulary).first()["text"] is None
+
+
+def test_running_sums_of_arrays(spark):
+    rows = [[3, None, 2], [], None, [1 << 40, -5], [7]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "i int, x array<long>").repartition(2)
+    got = {r["i"]: r["s"] for r in df.select("i", numeric.running_sums(F.col("x")).alias("s")).collect()}
+    assert [got[k] for k in range(5)] == [[3, 3, 5], [], None, [1 << 40, (1 << 40) - 5], [7]]
+
+
+def test_patches_are_laid_out_without_a_shuffle(spark, sf):
+    plan = frames.align_patches(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_the_table_function_expands_runs(spark):
+    sequences.register_functions(spark)
+    rows = [("a", 0, 5, 2), ("a", 1, 6, 0), ("a", 2, 5, 3), ("b", 0, 1, 1), ("b", 1, 9, None)]
+    spark.createDataFrame(rows, "k string, place int, token int, duration long").repartition(3).createOrReplaceTempView("some_runs")
+    got = spark.sql("select k, frame, token from expand_runs(table(some_runs) partition by k order by place) order by k, frame").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 5), ("a", 1, 5), ("a", 2, 5), ("a", 3, 5), ("a", 4, 5), ("b", 0, 1)]
+    with pytest.raises(Exception, match="needs a table with a column duration"):
+        spark.sql("select * from expand_runs(table(select 1 as x))")
+    with pytest.raises(Exception, match="must not be negative"):
+        spark.sql("select * from expand_runs(table(select -1 as duration))").collect()
+
+
+@pytest.mark.parametrize("first, then", [(3, 3), (3, 5), (1, 4)])
+def test_workers_of_a_stream_share_the_samples(spark, tmp_path, first, then):
+    def run(stop, workers):
+        stream = samples.sample_stream(spark, start=2, stop=stop, samplesPerTrigger=7, workers=workers)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run(20, first)
+    run(45, then)
+    assert sorted(r["sample_index"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(2, 45))
+
+
+def test_a_worker_takes_every_so_manieth_sample():
+    def numbers(low, high, **options):
+        return [list(range(*r)) for r in samples.SampleReader({"start": "2", **options})._ranges(low, high)]
+
+    assert numbers(2, 12, workers="3") == [[2, 5, 8, 11], [3, 6, 9], [4, 7, 10]]
+    assert numbers(9, 12, workers="3", worker="1") == [[9]] and numbers(10, 12, workers="3", worker="1") == []
+    assert sorted(x for w in range(4) for part in numbers(5, 30, workers="4", worker=str(w)) for x in part) == list(range(5, 30))
+    with pytest.raises(ValueError):
+        samples.SampleReader({"workers": "2", "worker": "2"})

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def to_unit(x: Column, vocab: int) -> Column:
@@ -45,6 +49,21 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array's entries up to each one (longs; null entries count as 0), in linear time. A null array gives null."""
+    return _running_sums(values.cast("array<bigint>"))
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _running_sums(values: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    total = np.concatenate(([0], np.cumsum(pc.fill_null(values.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    inside = total[1:] - np.repeat(total[ends - sizes], sizes)
+    out = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(inside))
+    return pc.if_else(pc.is_null(values), pa.scalar(None, out.type), out)
+
+
 def run_starts(values: Column) -> Column:
     """Places at which a run of equal entries begins; values should be bound, since each entry looks at the one before."""
     return F.filter(F.transform(values, lambda x, i: F.when((i == 0) | (x != F.get(values, i - 1)), i)), lambda i: i.isNotNull())

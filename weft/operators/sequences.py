@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from weft.functions.numeric import bind, run_starts
 from weft.operators.ordering import running
@@ -90,3 +94,38 @@ def offsets(df: DataFrame, keys: list[str], order: str, length: str) -> DataFram
     summed = running(df, [*keys, order], {"__before": F.col(length)})
     starts = summed.groupBy(*keys).agg(F.min("__before").alias("__start"))
     return summed.join(starts, keys).select(*df.columns, (F.col("__before") - F.col("__start")).cast("long").alias("offset"))
+
+
+class ExpandRuns:
+    """The table function expand_runs(TABLE(runs) PARTITION BY key ORDER BY place) of SQL (SEQ2, ARR1).
+
+    runs: any columns and a whole `duration`; the result has the columns but duration and `frame`, the place from 0 on among all
+    frames of the partition. A null duration is 0, a negative one an error."""
+
+    def __init__(self):
+        self.frame = 0
+
+    @staticmethod
+    def analyze(runs: AnalyzeArgument) -> AnalyzeResult:
+        if not runs.isTable or "duration" not in runs.dataType.names:
+            raise ValueError("expand_runs needs a table with a column duration")
+        if not isinstance(runs.dataType["duration"].dataType, (IntegerType, LongType)):
+            raise ValueError("duration must be a whole number")
+        if "frame" in runs.dataType.names:
+            raise ValueError("expand_runs adds a column frame")
+        kept = [f for f in runs.dataType.fields if f.name != "duration"]
+        return AnalyzeResult(StructType([*kept, StructField("frame", LongType())]))
+
+    def eval(self, runs: Row) -> Iterator[tuple]:
+        kept = tuple(v for k, v in runs.asDict().items() if k != "duration")
+        times = runs["duration"] or 0
+        if times < 0:
+            raise ValueError("a duration must not be negative")
+        for _ in range(times):
+            yield *kept, self.frame
+            self.frame += 1
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make the table functions known to spark.sql."""
+    spark.udtf.register("expand_runs", F.udtf(ExpandRuns))

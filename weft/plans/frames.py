@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weft.functions import numeric
@@ -38,6 +40,15 @@ def rle_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.run_lengths(_runs(spark, sf_dir), ["user_id"], "code")
 
 
+@query(f"with {_RUNS} select user_id, frame::bigint as frame, code from r")
+def expand_runs_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of each user's runs, by the table function in SQL."""
+    sequences.register_functions(spark)
+    view = f"runs_{uuid.uuid4().hex}"
+    rle_collapse(spark, sf_dir).select("user_id", "run", "code", F.col("n").alias("duration")).createOrReplaceTempView(view)
+    return spark.sql(f"select user_id, frame, code from expand_runs(table({view}) partition by user_id order by run)")
+
+
 @query(f"with {_RUNS} select user_id, frame, run from r")
 def frame_to_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select("user_id", "frame", "run")
@@ -123,12 +134,12 @@ _LAID = r"""words as (select doc_id, unnest(list_filter(string_split_regex(text,
 
 def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit glyph widths: a bigram a patch, a blank patch between words, the end in the last."""
-    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("word", "w"))
-    by = Window.partitionBy("doc_id").orderBy("word")
-    rows = rows.withColumn("patches", numeric.patches(F.length("w"), 2)).withColumn("end", (F.sum(F.col("patches") + 1).over(by) - 1).cast("int"))
-    word = F.struct("word", (F.col("end") - F.col("patches")).alias("start"), "end", F.array(F.length("w"), F.length("w") % 7).alias("tokens"))
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(word)).alias("words"), (F.max("end") + 1).alias("length"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("held"))
+    width = lambda w: numeric.patches(F.length(w), 2)
+    summed = docs.withColumn("sums", numeric.running_sums(F.transform("held", lambda w: width(w) + 1)))
+    end = lambda i: (F.get("sums", i) - 1).cast("int")
+    words = F.transform("held", lambda w, i: F.struct(i.alias("word"), (end(i) - width(w)).alias("start"), end(i).alias("end"), F.array(F.length(w), F.length(w) % 7).alias("tokens")))
+    return summed.select("doc_id", words.alias("words"), F.coalesce(F.try_element_at("sums", F.lit(-1)), F.lit(0)).cast("int").alias("length"))
 
 
 @query(

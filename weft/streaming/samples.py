@@ -16,28 +16,38 @@ from pyspark.sql.types import StructType
 
 
 class SampleReader(SimpleDataSourceStreamReader):
-    """Ranges [low, high) of the next samplesPerTrigger numbers, in as many rows as `pieces`."""
+    """Ranges [low, high) of the next samplesPerTrigger numbers: in as many rows as `pieces`, or with `workers` one row a worker,
+    whose numbers stride (start + worker, step workers). With `worker`, that one's alone. The offset is the number that
+    all workers have reached, so a run may be resumed with another number of them."""
 
     def __init__(self, options: dict[str, str]):
         self.start = int(options.get("start", "0"))
         self.stop = int(options["stop"]) if "stop" in options else None
         self.per_batch = int(options.get("samplesPerTrigger", "1024"))
         self.pieces = int(options.get("pieces", "8"))
+        self.workers = int(options.get("workers", "1"))
+        self.worker = int(options["worker"]) if "worker" in options else None
+        if self.workers < 1 or (self.worker is not None and not 0 <= self.worker < self.workers):
+            raise ValueError("workers must be positive and a worker one of them")
 
     def initialOffset(self) -> dict:
         return {"index": self.start}
 
-    def _ranges(self, low: int, high: int) -> Iterator[tuple[int, int]]:
+    def _ranges(self, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+        if self.workers > 1:
+            chosen = range(self.workers) if self.worker is None else [self.worker]
+            firsts = [low + (w - (low - self.start)) % self.workers for w in chosen]
+            return iter([(first, high, self.workers) for first in firsts if first < high])
         n = max(1, min(self.pieces, high - low))
         cuts = [low + (high - low) * k // n for k in range(n + 1)]
-        return iter([(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a])
+        return iter([(a, b, 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a])
 
-    def read(self, start: dict) -> tuple[Iterator[tuple[int, int]], dict]:
+    def read(self, start: dict) -> tuple[Iterator[tuple[int, int, int]], dict]:
         low = start["index"]
         high = low + self.per_batch if self.stop is None else max(low, min(low + self.per_batch, self.stop))
         return self._ranges(low, high), {"index": high}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, int]]:
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, int, int]]:
         return self._ranges(start["index"], end["index"])
 
     def commit(self, end: dict) -> None:
@@ -45,14 +55,14 @@ class SampleReader(SimpleDataSourceStreamReader):
 
 
 class SampleRangeSource(DataSource):
-    """Format `sample_ranges`: options start, stop, samplesPerTrigger, pieces."""
+    """Format `sample_ranges`: options start, stop, samplesPerTrigger, and pieces or workers and worker."""
 
     @classmethod
     def name(cls) -> str:
         return "sample_ranges"
 
     def schema(self) -> str:
-        return "low long, high long"
+        return "low long, high long, step long"
 
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
         return SampleReader(self.options)
@@ -64,7 +74,7 @@ def sample_stream(spark: SparkSession, **options: int) -> DataFrame:
     reader = spark.readStream.format("sample_ranges")
     for key, value in options.items():
         reader = reader.option(key, str(value))
-    return reader.load().select(F.explode(F.sequence("low", F.col("high") - 1)).alias("sample_index"))
+    return reader.load().select(F.explode(F.sequence("low", F.col("high") - 1, "step")).alias("sample_index"))
 
 
 def write_samples(indices: DataFrame, layout: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger: bool | str) -> StreamingQuery:
