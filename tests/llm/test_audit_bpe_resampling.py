@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import audit, bpe, queries, resampling
+from weft.llm import audit, bpe, kernel, quality_rules, queries, ranking, resampling
 from weft.llm.common import materialize
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -263,3 +263,93 @@ def test_clashing_names_do_not_matter(spark, edge_docs, vocabulary, labels, name
     more = edge_docs.select("*", *(F.lit(1).alias(c) for c in ("digest", "mask", "part", "good", "n_words", "rank", "score_", "task", "ids", "rows", "range", "weight")))
     run = {"audit": lambda d: audit.filter_audit(d, labels), "bpe": lambda d: bpe.digests(d, vocabulary, 40, 16), "resampling": lambda d: resampling.resample(d, d, least=1, percent=50)}[name]
     assert sorted(map(str, run(more).collect())) == sorted(map(str, run(edge_docs).collect()))
+
+
+# models of earlier operators, against plain Python
+
+
+def _mix(h):
+    """The finaliser of 64-bit values, on whole numbers."""
+    m = (1 << 64) - 1
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & m
+    h ^= h >> 29
+    h = h * 0xC4CEB9FE1A85EC53 & m
+    return h ^ h >> 32
+
+
+def _hash32(numbers):
+    key = 0
+    for x in numbers:
+        key = (key * 0x01000193 + x) & 0xFFFFFFFF
+    key = key * 0x9E3779B1 & 0xFFFFFFFF
+    return key ^ key >> 15
+
+
+def _word_hash(word):
+    return int(kernel.Block([word.encode()]).word_hashes()[0])
+
+
+def plain_probability(model, text):
+    w, h = WORDS.findall(text), [_word_hash(x) for x in WORDS.findall(text)]
+    base, m = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    pairs = [_mix((_mix(a) * base + b) & m) for a, b in zip(h, h[1:])]
+    points = [int.from_bytes(c.encode(), "big") for c in text]
+    kinds = [h, pairs, *([_hash32(points[k : k + n]) for k in range(len(points) - n + 1)] for n in (3, 4))]
+    quarter = quality_rules.BUCKETS // 4
+    s = model.bias + sum(sum(float(model.weights[x % quarter + k * quarter]) for x in kind) / max(len(kind), 1) for k, kind in enumerate(kinds))
+    assert len(h) == len(w)
+    return 1 / (1 + math.exp(-max(-40, min(40, model.slope * s + model.offset))))
+
+
+def test_quality_probability_equals_plain_python(spark, corpus, corpus_labels, edge_docs, edge_rows):
+    model = quality_rules.fit(corpus, corpus_labels)
+    docs = edge_docs.select("doc_id", "text").unionByName(corpus.where("doc_id < 40").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    got = sorted((str(r["doc_id"]), r["probability"]) for r in docs.select("doc_id", "text").mapInArrow(quality_rules._apply(model), quality_rules.SCHEMA).collect())
+    want = sorted((str(r["doc_id"]), plain_probability(model, r["text"] or "")) for r in docs.collect())
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want], atol=2e-5)
+
+
+def plain_features(text):
+    raw, w = text.encode(), WORDS.findall(text)
+    n, size = max(len(w), 1), max(len(raw), 1)
+    windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    again = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)} if len(windows) < 500 else {k + j for k, x in enumerate(windows) if Counter(windows)[x] > 1 for j in range(3)} if len(set(windows)) > 1 else set(range(len(w)))
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    classes = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "stop": b".!?", "comma": b",;:", "symbol": b"#*$%&|<>", "other": b"@/\\_=+~^{}[]()-\"'`"}
+    shape = [sum(raw.count(bytes([b])) for b in set(members)) / size for members in classes.values()]
+    shape += [len(set(w)) / n / math.sqrt(1 + math.log(n)), sum(a == b for a, b in zip(w, w[1:])) / n, len(again) / n, (len(lines) - len(set(lines))) / max(len(lines), 1)]
+    shape += [sum(map(len, w)) / n / 10, sum(text.count(c) for c in "#*$%&|<>") / n, len(lines) / n, math.log1p(len(w)) / 10, sum(x[-1] in "!%&*#$|" for x in w) / n]
+    grams = Counter(_hash32(raw[k : k + 3]) % ranking.BUCKETS for k in range(len(raw) - 2))
+    total = sum(grams.values())
+    return np.array(shape + [math.sqrt(grams[b] / max(total, 1)) for b in range(ranking.BUCKETS)] + [total / (total + ranking.SHORT)])
+
+
+def test_ranking_scores_equal_plain_python(spark, corpus, corpus_labels, edge_docs):
+    model = ranking.fit(corpus, corpus_labels)
+    docs = edge_docs.select("doc_id", "text").unionByName(corpus.where("doc_id < 40").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in docs.mapInArrow(ranking._apply(model), ranking.SCHEMA).collect())
+
+    def score(text):
+        x = plain_features(text)
+        z = [max(-ranking.CLIP, min(ranking.CLIP, (a - float(b)) / float(c))) for a, b, c in zip(x[:-1], model.mean, model.spread)]
+        z = [v * (x[-1] if k >= len(z) - ranking.BUCKETS else 1) for k, v in enumerate(z)]
+        s = sum(v * float(u) for v, u in zip(z, model.weights))
+        return 1 / (1 + math.exp(-max(-30, min(30, model.slope * (s - model.threshold)))))
+
+    want = sorted((str(r["doc_id"]), score(r["text"] or "")) for r in docs.collect())
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want], atol=2e-3)
+
+
+def test_ranking_learns_the_preferences(corpus, corpus_labels):
+    """Of all pairs of a good and a bad training row, the fitted strengths order more than the untrained ones, and lose less."""
+    fitted, short = ranking.fit(corpus, corpus_labels), ranking.fit(corpus, corpus_labels, epochs=1)
+    known = corpus_labels.where("quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    rows = corpus.join(known.select("doc_id", "quality"), "doc_id").collect()
+    x = {q: np.array([plain_features(r["text"] or "") for r in rows if r["quality"] == q]) for q in (0, 1)}
+
+    def loss(model):
+        s = {q: ranking.standardize(v, model.mean, model.spread) @ model.weights for q, v in x.items()}
+        return np.mean([math.log1p(math.exp(-max(-40, min(40, a - b)))) for a in s[1] for b in s[0]])
+
+    assert loss(fitted) < 0.5 * loss(short) and loss(fitted) < 0.2 < math.log(2)

@@ -129,8 +129,8 @@ def test_media_columns(spark):
     got = {r["k"]: r for r in media.media_columns(df).collect()}
     assert got[1]["width"] == 10 and np.load(__import__("io").BytesIO(got[1]["tile"])).shape == (32, 32) and got[1]["dhash"] == "ff" * 8
     assert got[2]["error"] and got[3]["error"]
-    with pytest.raises(ValueError, match="exist already"):
-        media.media_columns(df.withColumn("width", F.lit(1)))
+    more = media.media_columns(df.withColumns({"Width": F.lit(-1), "tile": F.lit("mine")})).where("k = 1").first()
+    assert (more["Width"], more["_width"], more["tile"], more["_tile"], more["dhash"]) == (-1, 10, "mine", got[1]["tile"], got[1]["dhash"])
 
 
 # 3 quality rules

@@ -40,6 +40,7 @@ ROUNDS = 6
 PRIOR = 8000.0  # tokens of the classes' own shares added to each state
 TILT, STICK = 2.0, 40  # shape of the starting factors' gamma law; a state's starting weight on itself
 BLOCK_BYTES = 10 << 20
+TASK_BLOCKS = 16  # blocks that one task scores, at most about
 END_WORD = np.uint64(0x656E64)  # the end token's identity
 FOLDS, HELD_FOLD = 7, 2
 GROUP_TOKENS = 300_000
@@ -322,7 +323,7 @@ def language_scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES)
     told = asked.join(counts.hint("merge"), "word").select("number", "word", "c")
     kept = stored.select("number", "texts", "tokens")  # the words come back with their counts
     both = told.unionByName(kept, allowMissingColumns=True)
-    parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // TASK_BLOCKS))
     dealt = both.repartitionById(parts, (F.col("number") % parts).cast("int")).sortWithinPartitions("number", F.col("tokens").isNotNull())
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.mapInArrow(_score(model, np.log10(mass), total, kinds), schema)

@@ -8,8 +8,8 @@ difference hash compares neighbours of a 9 x 8 area resize of the grey image.
 
 Defined cases: a null or undecodable image (an unknown format, numbers out of range, more samples claimed than
 there are, samples above the maximum, digits other than 0 and 1 in P1) has null results and the reason in `error`;
-an empty text is one block of padding; repeated rows get equal results; an empty table gives an empty result;
-extra columns are ignored.
+an empty text is one block of padding, a very long one is kept whole; repeated rows get equal results; an empty table gives
+an empty result; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weft.llm.common import fresh
+
 #: A text's payload is a whole number of 24 x 24 squares.
 SIDE = 24
 SQUARE = SIDE * SIDE
@@ -186,9 +188,10 @@ IMAGES = "width int, height int, channels int, tile binary, dhash string, error
 
 
 def media_columns(df: DataFrame, image: str = "image", side: int = TILE) -> DataFrame:
-    """The columns of df with width, height, channels, an NPY tile, its difference hash and an error."""
-    if clash := {"width", "height", "channels", "tile", "dhash", "error"} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    """The columns of df with width, height, channels, an NPY tile, its difference hash and an error.
+
+    Where df has a column of such a name, in any case, it is kept and the new one has an underscore in front."""
+    names = fresh(df, *(x.split()[0] for x in IMAGES.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,10 +204,10 @@ def media_columns(df: DataFrame, image: str = "image", side: int = TILE) -> Data
                     rows.append((None, None, None, None, None, str(e)[:200]))
             if rows:
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
-                yield pa.record_batch([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*batch.schema.names, *(x.split()[0] for x in IMAGES.split(", "))])
+                yield pa.record_batch([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, {IMAGES}")
+    return df.mapInArrow(run, ", ".join([schema, *(f"`{name}` {x.split()[1]}" for name, x in zip(names, IMAGES.split(", "), strict=True))]))
 
 
 STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
