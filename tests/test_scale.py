@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from weft.functions import hashing, numeric, text
 from weft.operators import digests, evaluation, ordering, planning, sequences
 from weft.plans import frames
+from weft.sources import audio
 from weft.streaming import samples
 
 
@@ -166,3 +168,42 @@ def test_a_worker_takes_every_so_manieth_sample():
     assert sorted(x for w in range(4) for part in numbers(5, 30, workers="4", worker=str(w)) for x in part) == list(range(5, 30))
     with pytest.raises(ValueError):
         samples.SampleReader({"workers": "2", "worker": "2"})
+
+
+def test_case_folding_of_every_code_point(spark):
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [(k, "x".join(points[k : k + 500])) for k in range(0, len(points), 500)] + [(-1, "ﬁne ΣΑΣ ŉ ς Straße"), (-2, ""), (-3, None)]
+    df = spark.createDataFrame(rows, "k int, s string").repartition(4)
+    wrong = [r["k"] for r in df.select("k", "s", text.casefold(F.col("s")).alias("f")).collect() if r["f"] != (None if r["s"] is None else r["s"].casefold())]
+    assert wrong == []
+
+
+def wave(x, rate, kind, bits, before=b""):
+    """A WAVE file of samples in [-1, 1], frames x channels, as whole numbers or floats."""
+    if kind == audio.FLOAT:
+        body = x.astype(f"<f{bits // 8}").tobytes()
+    elif bits == 24:
+        body = b"".join(int(v).to_bytes(3, "little", signed=True) for v in (x * 2**23).ravel())
+    else:
+        body = (x * 128 + 128).astype(np.uint8).tobytes() if bits == 8 else (x * 2.0 ** (bits - 1)).astype(f"<i{bits // 8}").tobytes()
+    chunk = lambda name, data: struct.pack("<4sI", name, len(data)) + data + b"\0" * (len(data) % 2)
+    told = struct.pack("<HHIIHH", kind, x.shape[1], rate, rate * x.shape[1] * bits // 8, x.shape[1] * bits // 8, bits)
+    inside = b"WAVE" + before + chunk(b"fmt ", told) + chunk(b"LIST", b"odd") + chunk(b"data", body)
+    return struct.pack("<4sI", b"RIFF", len(inside)) + inside
+
+
+@pytest.mark.parametrize("kind, bits", [(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)])
+def test_segments_of_wave_files(spark, tmp_path, kind, bits):
+    x = np.round(np.random.default_rng(bits).uniform(-0.9, 0.9, (1000, 2)) * 64) / 64  # whole in every format
+    (tmp_path / "a.wav").write_bytes(wave(x, 100, kind, bits))
+    (tmp_path / "junk.wav").write_bytes(b"RIFFjunk")
+    at = str(tmp_path / "a.wav")
+    rows = [(0, at, 0.0, None), (1, at, 2.5, 3.0), (2, f"file:{at}", 9.0, 5.0), (3, at, 0.005, 0.015), (4, str(tmp_path / "junk.wav"), 0.0, None), (5, None, 0.0, None), (6, str(tmp_path / "gone.wav"), 0.0, 1.0), (7, at, 0.0, -1.0)]
+    df = spark.createDataFrame(rows, "k int, audio string, offset double, duration double").repartition(3)
+    got = {r["k"]: r for r in audio.audio_segments(df, 100).collect()}
+    mean = x.mean(axis=1)
+    for k, want in ((0, mean), (1, mean[250:550]), (2, mean[900:]), (3, mean[0:2])):
+        assert got[k]["problem"] is None and np.allclose(got[k]["samples"], want)
+    assert all(got[k]["samples"] is None and got[k]["problem"] for k in (4, 5, 6, 7))
+    assert {r["problem"] for r in audio.audio_segments(df.where("k < 2"), 16000).collect()} == {"ValueError: the rate is 100, not 16000"}
+    assert audio.audio_segments(df.limit(0)).isEmpty()

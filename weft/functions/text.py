@@ -6,6 +6,7 @@ Java's \s has six ASCII characters; UNICODE_SPACE below has all that Python's st
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,27 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{UNICODE_SPACE}", ""), f"{UNICODE_SPACE}$", "")
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters with one folded character, these, and the characters that fold to several."""
+    folds = {c: f for c in map(chr, range(0x110000)) if (f := c.casefold()) != c}
+    single = {c: f for c, f in folds.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folds.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding of every code point, by Python's own table; texts without a character that becomes several take one pass."""
+    keys, values, several = _folds()
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    spelled = F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.translate(F.when(text.rlike(f"[{''.join(several)}]"), spelled).otherwise(text), keys, values)
+
+
 def normalize_story(text: Column) -> Column:
-    """Strip, drop final . ! ?, collapse white space, fold case (lower case and ß to ss)."""
+    """Strip, drop final . ! ?, collapse white space, fold case."""
     out = F.regexp_replace(strip(text), r"[.!?]+$", "")
-    return F.replace(F.lower(strip(F.regexp_replace(out, UNICODE_SPACE, " "))), F.lit("ß"), F.lit("ss"))
+    return casefold(strip(F.regexp_replace(out, UNICODE_SPACE, " ")))
 
 
 def alignment_words(text: Column) -> Column:
