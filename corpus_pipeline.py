@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next one's docs. All but the last return the columns of documents, and any others that docs has,
-whatever their names. All take an empty docs to an empty result; repeated rows are rows of their own.
+whatever their names. All take an empty docs to an empty result; repeated rows are rows of their own; very long texts are
+judged, compared and packed whole.
 """
 
 from __future__ import annotations

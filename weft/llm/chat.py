@@ -12,7 +12,7 @@ neither `###` nor `</turn>` occurs inside a formatted text, and reading back rem
 Defined cases: a null role or text is empty; a node whose parent is null or missing is a root; repeated
 (tree, node) rows keep the one of smallest (parent, role, text); a cycle raises an error; equal turns of a
 conversation stand in order of role, then text; a null conversation id is a conversation of its own; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; a very long text is formatted whole, in its path's row; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ blocks. Targets come from one sort of the sources by the level at which each is
 
 Defined cases: a null text has no words and none are taken; a null source is a source of its own; repeated
 rows are documents of their own (rounded by themselves); a corpus without words takes none; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; a very long text is one size like any other, texts never move; extra columns are ignored.
 """
 
 from __future__ import annotations

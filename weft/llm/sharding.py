@@ -8,8 +8,8 @@ checksums are shuffled, never texts.
 
 Defined cases: a null text has no bytes (its size is the overhead alone) and checksum 0; repeated rows are
 rows of their own, in an order that only their content fixes; an id that holds many rows is cut like any
-other stretch, since the order goes on by size, checksum and source position; an empty table gives an empty
-result; extra columns are ignored.
+other stretch, since the order goes on by size, checksum and source position; a very long text is one
+size like any other, texts never move; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ frequent, gathers urls in one task. The rules are a parameter; MAX_RULES and MAX
 broadcast (more raise an error). Only the counts of the rules' own tokens reach the driver.
 
 Defined cases: a null url, or one without `://`, has empty host and path, and no rule fits; it is judged by the
-patterns (null: allowed); repeated rows get equal verdicts; an empty table gives an empty result; extra
-columns are ignored.
+patterns (null: allowed); of the host rules that fit the longest wins, of equally long ones the one whose text comes
+last, then block over allow; repeated rows get equal verdicts; a very long url is judged whole; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
