@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from weft.functions import numeric
 from weft.operators import alignment, evaluation, planning, sequences
 
 
@@ -31,6 +32,7 @@ CASES = {
     "word_spans": lambda n: F.size(alignment.word_spans(timed(n), F.lit(4 * n), F.lit(n * 0.5))["spans"]),
     "word_spans_by_runs": lambda n: F.size(alignment.word_spans(timed(n), F.lit(4 * n), F.lit(n * 0.5), F.sequence(F.lit(0), F.lit(4 * n)))["spans"]),
     "runs_from_spans": lambda n: F.size(alignment.runs_from_spans(placed(n), F.lit(4 * n), 100)),
+    "running_sums": lambda n: F.size(numeric.running_sums(numbers(n))),
     "frame_starts": lambda n: F.size(alignment.frame_starts(words(n), F.lit(4 * n), F.lit(n * 0.5))),
     "run_length": lambda n: F.size(alignment.run_length(numbers(n))),
     "collapse": lambda n: F.size(sequences.collapse(numbers(n), F.lit(9))["frame_to_code"]),
