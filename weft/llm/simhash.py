@@ -142,11 +142,12 @@ def copies(checks: int) -> float:
 
 
 def check_bits(n: int, group: int = GROUP) -> int:
-    """The most check bits, CHECK_BITS at most, with which an anchor gets about `group` of n fingerprints."""
-    for checks in range(CHECK_BITS, 0, -1):
+    """The most check bits, CHECK_BITS at most, with which an anchor gets about `group` of n fingerprints; one at least, so that
+    there is a code at every size. Anchors beyond `group` are compared in pairs of chunks."""
+    for checks in range(CHECK_BITS, 1, -1):
         if n * copies(checks) <= group * sum(1 << bits - checks for _, bits in PARTS):
             return checks
-    return 0
+    return 1
 
 
 def anchor_rows(prints: np.ndarray, checks: int = CHECK_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
