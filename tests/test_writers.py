@@ -294,3 +294,30 @@ def test_commands_from_source_to_shard(spark, tmp_path, capsys, monkeypatch):
     assert commands.read_manifest(spark, at("n")).first()["dataset"] == "d"
     with pytest.raises(SystemExit):
         commands.main(["unknown"])
+
+
+def test_text_command_resumes_and_refuses_other_settings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commands, "session", lambda: spark)
+    at = lambda name: str(tmp_path / name)
+    stories = ["one two", "", "drei\nvier", None, "one"]
+    spark.createDataFrame([(s,) for s in stories], "text string").coalesce(1).write.parquet(at("stories"))
+    spark.createDataFrame([("one", 257), ("two", 258)], "token string, id int").coalesce(1).write.parquet(at("words"))
+    asked = ["text", at("stories"), at("out"), "--vocabulary", at("words"), "--alias", "small", "--shards", "2"]
+    commands.main(asked)
+    assert json.loads((tmp_path / "out/meta_txt.json").read_text()) == {"small": {"tokens": 2, "vocab_size": 259, "eos_id": 256}}
+    rows = shards.decode_shards(spark, at("out/train")).orderBy("shard", "place").collect()
+    assert [(r["id"], r["text"]) for r in rows] == [("train:00000000", [257, 32, 258, 256]), ("train:00000002", [*b"drei\nvier", 256]), ("train:00000004", [257, 256])]
+    back = text.text_of_ids(shards.read_samples(spark, at("out/train"), ("id", "text")), "text", spark.read.parquet(at("words")), "back")
+    assert sorted(r["back"] for r in back.collect()) == ["drei\nvier", "one", "one two"]
+    before = {p: os.stat(p).st_mtime_ns for p in map(str, (tmp_path / "out").rglob("*.bin"))}
+    os.rename(at("out/train/shard-00001"), at("lost"))
+    commands.main(asked)  # the lost shard is made anew, the other one stays
+    after = {p: os.stat(p).st_mtime_ns for p in map(str, (tmp_path / "out").rglob("*.bin"))}
+    assert set(before) == set(after) and [p for p in before if before[p] == after[p]] == [p for p in before if "shard-00000" in p]
+    with pytest.raises(Exception, match="different parameters"):
+        commands.main([*asked, "--max-samples", "4"])
+    spark.createDataFrame([("one", 300)], "token string, id int").coalesce(1).write.parquet(at("others"))
+    with pytest.raises(ValueError, match="other metadata of small"):
+        commands.main([*asked[:3], "--vocabulary", at("others"), *asked[5:]])
+    assert sorted(os.listdir(at("out"))) == ["meta_txt.json", "train"]
+    assert shards.claim_metadata(at("out"), "txt", "small", {"tokens": 2, "vocab_size": 259, "eos_id": 256}) is False

@@ -1,4 +1,4 @@
-"""Commands (UDF6): python -m weft tinystories|jsonl|librispeech|fairseq|plan|encode|validate ..."""
+"""Commands (UDF6): python -m weft tinystories|jsonl|librispeech|fairseq|plan|encode|text|validate ..."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weft.functions import text
 from weft.operators import modalities, planning
 from weft.session import session
 from weft.sources import indexed, manifests, shards
@@ -40,6 +41,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("output")
     c.add_argument("--shard", type=int, required=True)
     c.add_argument("--encoder", choices=sorted(modalities.ENCODERS), default="characters")
+    c = commands.add_parser("text", help="texts (Parquet) to text shards by a vocabulary (Parquet: token, id); finished shards stay")
+    c.add_argument("source")
+    c.add_argument("output")
+    c.add_argument("--vocabulary", required=True)
+    c.add_argument("--alias", required=True, help="the vocabulary's name in meta_txt.json")
+    c.add_argument("--split", default="train")
+    c.add_argument("--column", default="text")
+    c.add_argument("--shards", type=int, required=True)
+    c.add_argument("--max-samples", type=int)
     c = commands.add_parser("validate", help="read packed shards and check them")
     c.add_argument("root")
     return p
@@ -53,10 +63,26 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return manifests.from_json(lines.select(F.col("number").alias("line"), "value"), None, None)
 
 
+def prepare_texts(a: argparse.Namespace, spark: SparkSession) -> None:
+    """Text shards of a source's rows in their order; the ids hold the texts whole."""
+    vocabulary = spark.read.parquet(a.vocabulary)
+    size = vocabulary.agg(F.count("*"), F.max("id")).first()
+    shards.claim_metadata(a.output, "txt", a.alias, {"tokens": size[0], "vocab_size": max(text.END_ID, size[1] or 0) + 1, "eos_id": text.END_ID})
+    rows = spark.read.parquet(a.source).select(F.col(a.column).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = manifests.running(rows, ["row"]).select(F.col("number").alias("source_index"), "text")
+    if a.max_samples is not None:
+        rows = rows.where(F.col("source_index") < a.max_samples)
+    ids = text.piece_ids(rows, "text", vocabulary).select("source_index", F.format_string(f"{a.split}:%08d", "source_index").alias("id"), "ids")
+    request = {"source": a.source, "column": a.column, "split": a.split, "vocabulary": a.alias, "max_samples": a.max_samples}
+    shards.write_text_shards(ids, os.path.join(a.output, a.split), request, a.shards)
+
+
 def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
     """The command's result, where it has one to show."""
     if a.command == "validate":
         return shards.decode_shards(spark, a.root).groupBy("shard").agg(F.count("*").alias("samples"))
+    if a.command == "text":
+        return prepare_texts(a, spark)
     if a.command == "plan":
         m = read_manifest(spark, a.manifest)
         loads = m.select("record_index", "id", planning.weight(F.col("duration"), F.col("transcript")).alias("load"))

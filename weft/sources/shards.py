@@ -560,6 +560,26 @@ def read_samples(spark: SparkSession, root: str, columns: Iterable[str] = ("id",
     return reader.option("columns", ",".join(columns)).option("sliceBytes", slice_bytes).load()
 
 
+def claim_metadata(root: str, kind: str, name: str, entry: dict) -> bool:
+    """Settle what root's meta_KIND.json says of a name (SNK5): the first writer's file stays, an equal entry is fine, another one
+    or none of that name is an error. Returns whether this call wrote it. A whole file appears at once or not at all."""
+    path = os.path.join(root, f"meta_{kind}.json")
+    os.makedirs(root, exist_ok=True)
+    aside = f"{path}.{uuid.uuid4().hex}"
+    _store(aside, _json({name: entry}))
+    try:
+        os.link(aside, path)  # fails where the path is taken
+        return True
+    except FileExistsError:
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        if held.get(name) != json.loads(json.dumps(entry)):
+            raise ValueError(f"{path} holds other metadata of {name}") from None
+        return False
+    finally:
+        os.unlink(aside)
+
+
 def shard_name(index: int) -> str:
     return f"shard-{index:05d}"
 
