@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from weft.functions.hashing import uniform
 from weft.operators.digests import ordered_digest
 from weft.storage import materialize
 
@@ -72,7 +73,7 @@ def plan_groups(records: DataFrame, shards: int, groups: int) -> DataFrame:
             heapq.heappush(heap, (total + load, k))
         return pd.DataFrame({"shard_index": out, "record_index": part["record_index"].to_numpy(), "load": part["load"].to_numpy()})
 
-    part = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    part = F.floor(uniform(F.col("id"), "plan") * groups).cast("int")
     return records.select(part.alias("_g"), "record_index", "id", F.col("load").cast("double").alias("load")).groupBy("_g").applyInPandas(run, "shard_index int, record_index long, load double")
 
 

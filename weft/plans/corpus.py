@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weft.functions import hashing, text
+from weft.functions.hashing import uniform_sql
 from weft.operators import digests, planning, sequences, validation
 from weft.operators.ordering import running
 from weft.plans.registry import load, query
@@ -100,6 +101,28 @@ def plan_load_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.plan_loads(_plan(spark, sf_dir))
 
 
+GROUPS = 4
+_EACH = SHARDS // GROUPS
+
+
+@query(
+    f"""with recursive ids as (select doc_id, n_chars, 'documents:train:' || substr(sha1(concat_ws(':', source, '0', doc_id::varchar)), 1, 16) as id from documents),
+    parts as (select *, floor({uniform_sql('id', "'plan'")} * {GROUPS})::int as part from ids),
+    sorted as (select doc_id, part, n_chars::double as load, row_number() over (partition by part order by n_chars desc, id) as i from parts),
+    steps(part, i, shard, loads) as (
+      select part, 0::bigint, -1::bigint, list_transform(range({_EACH}), lambda x: 0.0::double) from (select distinct part from sorted)
+      union all
+      select p.part, s.i, list_position(p.loads, list_min(p.loads)) - 1,
+        list_transform(p.loads, lambda x, k: case when k = list_position(p.loads, list_min(p.loads)) then x + s.load else x end)
+      from steps p join sorted s on s.part = p.part and s.i = p.i + 1)
+    select (steps.part * {_EACH} + shard)::int as shard_index, doc_id as record_index, load from steps join sorted using (part, i)"""
+)
+def shard_plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of a large manifest: longest first within each of four parts, side by side."""
+    m = manifests.from_documents(load(spark, sf_dir, "documents"), seconds_per_char=1.0)
+    return planning.plan_groups(m.select("record_index", "id", planning.weight(F.col("duration"), F.col("transcript")).alias("load")), SHARDS, GROUPS)
+
+
 @query(f"select doc_id, len(regexp_extract_all(text, '{TOKEN}'))::bigint as tokens from documents")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.token_count(F.col("text")).alias("tokens"))
