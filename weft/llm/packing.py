@@ -36,7 +36,7 @@ from weft.llm.kernel import span_hashes
 CAPACITY = 2048
 END_ID = 0
 BLOCK = 1 << 20
-TABLE_PIECES = 800_000
+TABLE_PIECES = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
