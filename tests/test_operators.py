@@ -233,6 +233,22 @@ def test_samples_draw_until_they_are_full(spark):
         mixture.draw_until_full(indices, lambda numbers: draw(numbers).where("false"), lambda r: r.groupBy("sample_index").agg(F.sum("duration").alias("n")), 4, 2048)
 
 
+def test_drawn_samples_are_joined_by_sorting(spark):
+    """No table of draws, runs or samples is broadcast, however small the planner takes it to be."""
+    indices = spark.range(9).select(F.col("id").alias("sample_index"))
+    sources = spark.createDataFrame([(k, 0, 7, 1, 5) for k in range(2)], "source long, place long, token int, duration long, audio long")
+    drawn = []
+
+    def draw(numbers):
+        drawn.append(mixture.draw_runs(numbers.withColumn("source", F.col("sample_index") % 2), sources))
+        return drawn[-1]
+
+    out = mixture.draw_until_full(indices, draw, lambda r: r.groupBy("sample_index").agg(F.sum("duration").alias("n")), 16, 8)
+    for df in (*drawn, out):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_windows_and_variants(spark):
     flat = spark.range(50).select(F.col("id").alias("position"), (F.col("id") * 2).alias("token"))
     got = mixture.windows(spark.range(5).select(F.col("id").alias("sample_index")), 3, mixture.token_blocks(flat, 8), 8, F.lit(50), 8).collect()

@@ -122,14 +122,15 @@ def draw_until_full(indices: DataFrame, draw: Callable[[DataFrame], DataFrame],
 
     draw: (sample_index, draw) to their sources' runs, the same for the same pair; emitted: runs to (sample_index, n), the
     positions that they give. All samples begin with `first` draws; those that are short draw twice as many in the next round,
-    until none is short. Rounds go through tables in the shared folder. A round that adds no position to a sample
+    until none is short. Rounds go through tables in the shared folder, joined by sorting: they grow with the samples, and the
+    planner takes exploded and compressed rows for small ones. A round that adds no position to a sample
     is an error, where all its draws so far gave none: such sources never fill it."""
     short, held, draws = indices.select("sample_index"), [], first
     while True:
         numbers = short.select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
         runs = materialize(draw(numbers), "runs")
-        totals = materialize(short.join(emitted(runs), "sample_index", "left").select("sample_index", F.coalesce("n", F.lit(0)).alias("n")), "totals")
-        held.append(runs.join(totals.where(F.col("n") >= size), "sample_index", "left_semi"))
+        totals = materialize(short.join(emitted(runs).hint("merge"), "sample_index", "left").select("sample_index", F.coalesce("n", F.lit(0)).alias("n")), "totals")
+        held.append(runs.join(totals.where(F.col("n") >= size).hint("merge"), "sample_index", "left_semi"))
         left = totals.where(F.col("n") < size).agg(F.count("*").alias("short"), F.min("n").alias("least")).first()
         if not left["short"]:
             return functools.reduce(DataFrame.unionByName, held)
@@ -140,7 +141,7 @@ def draw_until_full(indices: DataFrame, draw: Callable[[DataFrame], DataFrame],
 
 def draw_runs(picks: DataFrame, runs: DataFrame) -> DataFrame:
     """The runs of the drawn sources one after another: picks (sample_index, draw, source), runs (source, place, token, duration, audio)."""
-    joined = picks.join(runs, "source")
+    joined = picks.join(runs.hint("merge"), "source")  # both grow with the samples or sources, whatever the planner estimates
     at = Window.partitionBy("sample_index").orderBy("draw", "place")
     return joined.select("sample_index", "source", "token", "duration", "audio", (F.row_number().over(at) - 1).cast("long").alias("place"))
 

@@ -112,7 +112,7 @@ def drawn(spark: SparkSession, sf_dir: str, indices: DataFrame | None = None, du
 
     def draw(numbers: DataFrame) -> DataFrame:
         seat = F.floor(uniform(SEED, F.col("sample_index"), F.col("draw"), "source") * told["sources"]).cast("long")
-        return mixture.draw_runs(numbers.withColumn("seat", seat).join(seats, "seat").select("sample_index", "draw", "source"), runs)
+        return mixture.draw_runs(numbers.withColumn("seat", seat).join(seats.hint("merge"), "seat").select("sample_index", "draw", "source"), runs)
 
     first = 1 + int(2 * size * told["sources"] / max(told["frames"] or 0, 1))
     return mixture.draw_until_full(_indices(spark, sf_dir) if indices is None else indices, draw, emitted, size, first)
