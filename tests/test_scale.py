@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weft import storage
 from weft.functions import hashing, numeric, text
-from weft.operators import digests, evaluation, ordering, planning, sequences
-from weft.plans import frames
+from weft.operators import digests, evaluation, mixture, ordering, planning, sequences
+from weft.plans import frames, layouts
 from weft.sources import audio
 from weft.streaming import samples
 
@@ -207,3 +208,15 @@ def test_segments_of_wave_files(spark, tmp_path, kind, bits):
     assert all(got[k]["samples"] is None and got[k]["problem"] for k in (4, 5, 6, 7))
     assert {r["problem"] for r in audio.audio_segments(df.where("k < 2"), 16000).collect()} == {"ValueError: the rate is 100, not 16000"}
     assert audio.audio_segments(df.limit(0)).isEmpty()
+
+
+def drawn_plans(spark, monkeypatch, sf, **options):
+    """Joins that broadcast one side, in the plans of drawn samples; a table of one row a range (stretch) may be."""
+    plans = []
+    monkeypatch.setattr(mixture, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or storage.materialize(df, label))
+    layouts.drawn(spark, sf, **options)
+    return [line for plan in plans for line in plan.split("\n") if "BroadcastHashJoin" in line and "stretch" not in line]
+
+
+def test_streamed_samples_broadcast_no_growing_table(spark, monkeypatch, sf):
+    assert not drawn_plans(spark, monkeypatch, sf, indices=spark.range(3).select(F.col("id").alias("sample_index")))
