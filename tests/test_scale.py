@@ -1,5 +1,6 @@
 """Operators whose work is divided: results equal a plain loop, however the rows are dealt out."""
 
+import datetime
 import hashlib
 import random
 import struct
@@ -221,6 +222,15 @@ def test_near_distances_tie_to_the_lowest_centroid(spark):
     assert first[0] == [0]
 
 
+def test_samples_of_audio_are_added_in_order(spark, tmp_path):
+    """A sum of doubles follows the events' order, not the files'."""
+    begin, kind = datetime.datetime(2024, 1, 1), "event_id long, ts timestamp, user_id long, value double"
+    rows = [(k, begin + datetime.timedelta(seconds=k), 1, v) for k, v in enumerate([2.0**41, 0.0002, -0.0002])]
+    for part in (rows[1:], rows[:1]):
+        spark.createDataFrame(part, kind).withColumn("event_type", F.lit("view")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert frames.audio_chunks(spark, str(tmp_path)).first()["samples"] == 2**41 * 4000
+
+
 def drawn_plans(spark, monkeypatch, sf, **options):
     """Joins that broadcast one side, in the plans of drawn samples; a table of one row a range (stretch) may be."""
     plans = []

@@ -282,8 +282,12 @@ def kmeans_multi_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     select user_id, samples, samples // 480000 + case when samples % 480000 >= 720 then 1 else 0 end as chunks, case when samples % 480000 < 720 then samples % 480000 else 0 end as dropped from t"""
 )
 def audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 30 s at 16 kHz; a tail below 720 samples is dropped."""
-    t = timeline(spark, sf_dir).groupBy("user_id").agg(F.floor(F.sum(F.abs("value")) * 4000).alias("samples"))
+    """Chunks of 30 s at 16 kHz; a tail below 720 samples is dropped.
+
+    Doubles are added in the events' order, whatever the partitions: a running sum, whose last value is its largest."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = load(spark, sf_dir, "events").select("user_id", F.sum(F.abs("value")).over(order).alias("sum"))
+    t = sums.groupBy("user_id").agg(F.floor(F.max("sum") * 4000).alias("samples"))
     tail = F.col("samples") % 480_000
     return t.select("user_id", "samples", (F.floor(F.col("samples") / 480_000) + (tail >= 720).cast("long")).alias("chunks"), F.when(tail < 720, tail).otherwise(0).cast("long").alias("dropped"))
 
