@@ -241,3 +241,7 @@ def drawn_plans(spark, monkeypatch, sf, **options):
 
 def test_streamed_samples_broadcast_no_growing_table(spark, monkeypatch, sf):
     assert not drawn_plans(spark, monkeypatch, sf, indices=spark.range(3).select(F.col("id").alias("sample_index")))
+
+
+def test_long_samples_broadcast_no_growing_table(spark, monkeypatch, sf):
+    assert not drawn_plans(spark, monkeypatch, sf, size=layouts.LONG_SIZE)
