@@ -249,6 +249,44 @@ def test_drawn_samples_are_joined_by_sorting(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_packed_samples_equal_those_of_rows(spark, monkeypatch):
+    """Packs, pieces and rounds leave no trace: sources of 1 to 700 runs, padding, unknown tokens, one source without positions."""
+    rng = random.Random(5)
+    rows = []
+    for s, n in enumerate((700, 1, 40, 257, 3, 90)):
+        audio = 0
+        for p in range(n):
+            duration = rng.randint(1, 3)
+            rows.append((s, p, PAD if s == 4 else rng.choice([97, 98, PAD, END_OF_WORD, END_OF_WORD]), duration, audio))
+            audio += duration
+    sources = spark.createDataFrame(rows, "source long, place long, token int, duration long, audio long")
+    indices = spark.range(40).select(F.col("id").alias("sample_index"))
+    seat = lambda s, d: F.floor(hashing.uniform(7, s, d, "source") * 6).cast("long")
+    runs = mixture.draw_until_full(indices, lambda numbers: mixture.draw_runs(numbers.withColumn("source", seat(F.col("sample_index"), F.col("draw"))), sources), lambda r: mixture.emissions(r, END_OF_WORD, PAD, 7).groupBy("sample_index").agg(F.sum("emitted").alias("n")), 300, 2)
+    want = mixture.interleave(runs, 300, END_OF_WORD, PAD, 102, 7)
+    packs = mixture.pack_runs(sources).withColumn("seat", F.col("source"))
+    assert packs.groupBy().agg(F.max("runs"), F.sum("runs")).first()[:] == (mixture.PACK, len(rows))
+    for rows_at_once, task in ((512, 1 << 19), (1, 400)):
+        monkeypatch.setattr(mixture, "ROWS", rows_at_once)
+        monkeypatch.setattr(mixture, "TASK_RUNS", task)
+        got = mixture.interleave_drawn(indices, packs, seat, len(rows) / 6, 300, END_OF_WORD, PAD, 102, 7, 1)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    blank = packs.where("source = 4").withColumn("duration", F.transform("duration", lambda x: x * 0))
+    with pytest.raises(ValueError, match="no position"):
+        mixture.interleave_drawn(indices.limit(1), blank, lambda s, d: F.lit(4).cast("long"), 3, 300, END_OF_WORD, PAD, 102, 7, 4096)
+
+
+def test_unknown_tokens_and_durations_of_packs(spark):
+    """As in the SQL: an unknown token is a text position, a run without a duration gives no frame."""
+    rows = [(0, p, None if p % 3 == 0 else END_OF_WORD, None if p % 4 == 0 else 2, 0) for p in range(60)]
+    packs = mixture.pack_runs(spark.createDataFrame(rows, "source long, place long, token int, duration long, audio long")).withColumn("seat", F.col("source"))
+    got = mixture.interleave_drawn(spark.range(20).select(F.col("id").alias("sample_index")), packs, lambda s, d: F.lit(0).cast("long"), 60, 40, END_OF_WORD, PAD, 102, 7).collect()
+    assert len(got) == 20 * 40
+    assert {r["text"] for r in got if r["txt_pred"]} == {None}
+    assert all(r["frame"] is not None for r in got if r["other_pred"])
+
+
 def test_windows_and_variants(spark):
     flat = spark.range(50).select(F.col("id").alias("position"), (F.col("id") * 2).alias("token"))
     got = mixture.windows(spark.range(5).select(F.col("id").alias("sample_index")), 3, mixture.token_blocks(flat, 8), 8, F.lit(50), 8).collect()

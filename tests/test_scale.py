@@ -245,3 +245,13 @@ def test_streamed_samples_broadcast_no_growing_table(spark, monkeypatch, sf):
 
 def test_long_samples_broadcast_no_growing_table(spark, monkeypatch, sf):
     assert not drawn_plans(spark, monkeypatch, sf, size=layouts.LONG_SIZE)
+
+
+def test_long_samples_are_dealt_out_by_their_runs(spark, monkeypatch, sf):
+    """Tasks follow the runs, not the session's four partitions; runs themselves are never written."""
+    written = []
+    monkeypatch.setattr(mixture, "materialize", lambda df, label: written.append(label) or storage.materialize(df, label))
+    monkeypatch.setattr(mixture, "TASK_RUNS", 2000)
+    n = layouts.load(spark, sf, "events").agg(F.countDistinct("user_id")).first()[0]
+    assert layouts.interleave_long(spark, sf).rdd.getNumPartitions() > n / 2
+    assert "runs" not in written

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 #: The multipliers of a sample's rank and index in its seed.
@@ -22,6 +24,11 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("long") / F.lit(float(16**_DIGITS))
 
 
+def uniform_of(*parts: str | int) -> float:
+    """The same number in Python."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:_DIGITS], 16) / float(16**_DIGITS)
+
+
 def uniform_sql(*parts: str) -> str:
     """The same number in DuckDB."""
     return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, {_DIGITS}))::bigint / {float(16**_DIGITS)!r})"

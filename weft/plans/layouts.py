@@ -100,13 +100,17 @@ def aligned(runs: DataFrame) -> DataFrame:
     return runs.groupBy("sample_index").agg(F.sum("duration").alias("n"))
 
 
-def drawn(spark: SparkSession, sf_dir: str, indices: DataFrame | None = None, duration: Column | None = None, emitted: Callable[[DataFrame], DataFrame] = interleaved, size: int = SIZE) -> DataFrame:
-    """Runs of the sources drawn with replacement for the samples of `indices` (sample_index; by default as many as there are
-    sources), until each has `size` positions. The first round's draws follow the sources' mean duration."""
+def _source_runs(spark: SparkSession, sf_dir: str, duration: Column | None = None) -> DataFrame:
     t = timeline(spark, sf_dir)
     token = F.when(F.col("pos") % 3 == 2, END_OF_WORD).when(F.col("code") == 3, PAD).otherwise(97 + F.col("code"))
     runs = t.select(F.col("user_id").alias("source"), F.col("pos").alias("place"), token.alias("token"), (1 + F.col("event_id") % 3 if duration is None else duration).alias("duration"))
-    runs = materialize(runs.withColumn("audio", F.sum("duration").over(Window.partitionBy("source").orderBy("place")) - F.col("duration")), "sources")
+    return runs.withColumn("audio", F.sum("duration").over(Window.partitionBy("source").orderBy("place")) - F.col("duration"))
+
+
+def drawn(spark: SparkSession, sf_dir: str, indices: DataFrame | None = None, duration: Column | None = None, emitted: Callable[[DataFrame], DataFrame] = interleaved, size: int = SIZE) -> DataFrame:
+    """Runs of the sources drawn with replacement for the samples of `indices` (sample_index; by default as many as there are
+    sources), until each has `size` positions. The first round's draws follow the sources' mean duration."""
+    runs = materialize(_source_runs(spark, sf_dir, duration), "sources")
     seats = running(runs.select("source").distinct(), ["source"]).withColumnRenamed("number", "seat")
     told = runs.agg(F.countDistinct("source").alias("sources"), F.sum("duration").alias("frames")).first()
 
@@ -118,6 +122,23 @@ def drawn(spark: SparkSession, sf_dir: str, indices: DataFrame | None = None, du
     return mixture.draw_until_full(_indices(spark, sf_dir) if indices is None else indices, draw, emitted, size, first)
 
 
+def drawn_interleaved(spark: SparkSession, sf_dir: str, size: int = SIZE) -> Callable[[DataFrame], DataFrame]:
+    """The interleaved layout of samples (sample_index) of `size` positions. The sources are read, packed and seated here, once,
+    however many batches of samples are laid out."""
+    packs = materialize(mixture.pack_runs(_source_runs(spark, sf_dir)), "packs")
+    seats = running(packs.where("pack = 0").select("source"), ["source"]).withColumnRenamed("number", "seat")
+    told = packs.agg(F.count(F.when(F.col("pack") == 0, 1)).alias("sources"), F.sum("runs").alias("runs"), F.sum("frames").alias("frames")).first()
+    packs = materialize(packs.join(seats.hint("merge"), "source").select("seat", "source", "pack", "token", "duration", "audio"), "seated")
+
+    def seat(sample: Column, draw: Column) -> Column:
+        return F.floor(uniform(SEED, sample, draw, "source") * told["sources"]).cast("long")
+
+    # of a source's frames, text gives fewer positions: with these draws few samples are short
+    first = 1 + int(2.5 * size * told["sources"] / max(told["frames"] or 0, 1))
+    runs = (told["runs"] or 0) / max(told["sources"], 1)
+    return lambda indices: mixture.interleave_drawn(indices, packs, seat, runs, size, END_OF_WORD, PAD, SWITCH, SEED, first)
+
+
 def interleave_sql(duration: str = "(1 + event_id % 3)::bigint", size: int = SIZE, draws: int = SQL_DRAWS) -> str:
     return f"""with {_drawn_sql(duration, draws)},
     wd as (select *, coalesce(sum(case when token = {END_OF_WORD} then 1 else 0 end) over (partition by sample_index order by place rows between unbounded preceding and 1 preceding), 0)::bigint as word from dr),
@@ -145,7 +166,7 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(interleave_sql(size=LONG_SIZE, draws=LONG_SQL_DRAWS))
 def interleave_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of 2,048 positions."""
-    return mixture.interleave(drawn(spark, sf_dir, size=LONG_SIZE), LONG_SIZE, END_OF_WORD, PAD, SWITCH, SEED)
+    return drawn_interleaved(spark, sf_dir, LONG_SIZE)(_indices(spark, sf_dir))
 
 
 @query(
