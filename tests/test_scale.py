@@ -247,6 +247,14 @@ def test_long_samples_broadcast_no_growing_table(spark, monkeypatch, sf):
     assert not drawn_plans(spark, monkeypatch, sf, size=layouts.LONG_SIZE)
 
 
+def test_a_stream_prepares_its_sources_once(spark, monkeypatch, sf):
+    """The driver plans the sources once, not for each micro-batch: its memory does not grow with the batches."""
+    made = []
+    monkeypatch.setattr(layouts, "timeline", lambda *a: made.append(a) or frames.timeline(*a))
+    assert layouts.stream_samples(spark, sf).count() > 0
+    assert len(made) == 1
+
+
 def test_long_samples_are_dealt_out_by_their_runs(spark, monkeypatch, sf):
     """Tasks follow the runs, not the session's four partitions; runs themselves are never written."""
     written = []

@@ -182,11 +182,7 @@ def aligned_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(interleave_sql())
 def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interleaved samples by the streaming source: stopped in the middle, resumed from its checkpoint; equal to one run."""
-    folder = scratch(spark, "stream")
-
-    def layout(batch: DataFrame) -> DataFrame:
-        return mixture.interleave(drawn(spark, sf_dir, batch), SIZE, END_OF_WORD, PAD, SWITCH, SEED)
-
+    folder, layout = scratch(spark, "stream"), drawn_interleaved(spark, sf_dir)
     total = _indices(spark, sf_dir).count()
     for stop in (total // 2, total):
         numbers = samples.sample_stream(spark, stop=stop, samplesPerTrigger=max(1, -(-total // 4)))
