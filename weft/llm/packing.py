@@ -21,7 +21,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weft.llm.common import materialize
+from weft.llm.common import lean, materialize
 from weft.llm.kernel import span_hashes
 
 CAPACITY = 2048
@@ -131,7 +131,7 @@ class TokenEncoder:
         return [flat[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def batches_of(texts: list[str | None], limit: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
+def batches_of(texts: Iterable[str | None], limit: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
     """(first index, whole texts) with about `limit` characters or one text; nulls count as empty."""
     low, held, size = 0, [], 0
     for k, text in enumerate(texts):
@@ -156,7 +156,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         task, seen = context.partitionId() if context else 0, Counter()
         for batch in batches:
             names = batch["doc_id"].to_pylist()
-            for low, texts in batches_of(batch["text"].to_pylist()):
+            for low, texts in batches_of(x.as_py() for x in batch["text"]):
                 rows = []
                 for d, ids in enumerate(encoder.encode(texts)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -286,11 +286,11 @@ def _place(table: np.ndarray):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces")
+    pieces = materialize(rows.mapInArrow(lean(_pieces(tokenizer_path, capacity, end_id)), PIECES), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     shifts = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("shift"))
     ranked = pieces.join(shifts, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("shift"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(_place(places(plan(counts, capacity))), schema)
+    return ranked.mapInArrow(lean(_place(places(plan(counts, capacity)))), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.llm.common import drop, fresh, identified, materialize
+from weft.llm.common import drop, fresh, identified, lean, materialize
 from weft.llm.kernel import Block, blocks
 
 SHINGLE_WORDS = 4
@@ -105,7 +105,7 @@ def document_prints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and print of every document; kept0, kept1, ... are those columns (long) that keep names."""
     kept = [F.col(c).alias(f"kept{k}") for k, c in enumerate(keep)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *kept, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_print_rows, ", ".join(["doc_id long", *(f"kept{k} long" for k in range(len(keep))), "print long"]))
+    return rows.mapInArrow(lean(_print_rows), ", ".join(["doc_id long", *(f"kept{k} long" for k in range(len(keep))), "print long"]))
 
 
 @lru_cache(maxsize=16)
@@ -248,7 +248,7 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def links(distinct: DataFrame, split: int = SPLIT, checks: int | None = None) -> DataFrame:
     """Links (a, b) that span every class of the distinct fingerprints within MAX_DISTANCE bits."""
     checks = check_bits(distinct.count()) if checks is None else checks
-    rows = distinct.mapInArrow(_replicate(checks), "anchor int, print long, home boolean")
+    rows = distinct.mapInArrow(lean(_replicate(checks)), "anchor int, print long, home boolean")
     hot = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > split)
     hot = hot.select("anchor", F.ceil(F.col("n") / split).cast("int").alias("chunks"))
     marked = rows.join(hot, "anchor", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -257,7 +257,7 @@ def links(distinct: DataFrame, split: int = SPLIT, checks: int | None = None) ->
     paired = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     paired = paired.select("anchor", "print", "home", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     keys = ["anchor", "low", "high"]
-    return paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "a long, b long").distinct()
+    return paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_compare), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
