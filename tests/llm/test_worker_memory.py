@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
-from weft.llm import quality_rules, ranking
+from weft.llm import common, mixing, quality_rules, ranking, simhash
 from weft.llm.common import PIECE_BYTES, kept_rows
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -94,3 +94,28 @@ def test_values_are_turned_by_bucket_as_a_stable_sort_does():
     x = rng.random(6)
     for limit in (1, 64, 1 << 20):
         assert np.array_equal(quality_rules.sums_of_runs(row, turned, sizes, limit)(x), quality_rules.sums_of_runs(row, turned, sizes)(x))
+
+
+def test_tasks_that_sort_and_write_texts_follow_their_bytes(spark, corpus, monkeypatch):
+    """Not the session's four partitions, nor its cores, however large the texts are; and no row is lost."""
+    whole = corpus.selectExpr("sum(octet_length(text))").first()[0]
+    monkeypatch.setattr(common, "SPLIT_BYTES", whole // 40)
+    for made, ids in ((simhash.survivors(corpus), simhash.near_duplicates(corpus).select("component_id")), (mixing.mixed_documents(corpus), mixing.mixture(corpus).where("copies > 0").select("doc_id"))):
+        assert 30 < made.rdd.getNumPartitions() < 200
+        assert {r[0] for r in made.select("doc_id").collect()} == {r[0] for r in ids.collect()}
+
+
+def test_stages_read_in_small_pieces(spark, sf):
+    """Smaller settings of the session's own stay."""
+    import corpus_pipeline
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", "100")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        own.conf.unset("spark.sql.files.maxPartitionBytes")
+        stage(own, own.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert own.conf.get("spark.sql.files.maxPartitionBytes") == str(common.SPLIT_BYTES), name
+    assert own.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "100"
+    own.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    common.small_reads(own)
+    assert own.conf.get("spark.sql.files.maxPartitionBytes") == "1m"

@@ -25,7 +25,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.llm.common import WORD, fresh, identified, materialize
+from weft.llm.common import WORD, fresh, identified, materialize, octets, text_parts
 from weft.operators.ordering import running
 
 WEIGHTS = (1, 2, 3)
@@ -170,10 +170,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LI
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """The rows of docs, each as often as the mixture takes it; all columns, whatever their names."""
-    file, place, copies, copy, of_file, of_place = fresh(docs, "file", "place", "copies", "copy", "of_file", "of_place")
+    file, place, copies, copy, of_file, of_place, size = fresh(docs, "file", "place", "copies", "copy", "of_file", "of_place", "octets")
     rows = identified(docs, file, place)
-    taken = mixture(rows, weights, limit, (file, place)).where("copies > 0").select(F.col(file).alias(of_file), F.col(place).alias(of_place), F.col("copies").alias(copies))
-    several = rows.join(taken.hint("merge"), (F.col(file) == F.col(of_file)) & (F.col(place) == F.col(of_place)))
+    taken = mixture(rows.withColumn(size, octets(rows)), weights, limit, (file, place, size))
+    taken = materialize(taken.select(F.col(file).alias(of_file), F.col(place).alias(of_place), F.col("copies").alias(copies), size), "taken")
+    n = text_parts(taken.agg(F.sum(F.col(size) * F.greatest(F.col(copies), F.lit(1)))).first()[0])
+    taken = taken.where(F.col(copies) > 0).drop(size).repartition(n, of_file, of_place)
+    several = rows.repartition(n, file, place).join(taken.hint("merge"), (F.col(file) == F.col(of_file)) & (F.col(place) == F.col(of_place)))
     return several.select(*_columns(docs), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.llm.common import drop, fresh, identified, lean, materialize
+from weft.llm.common import drop, fresh, identified, lean, materialize, octets, text_parts
 from weft.llm.kernel import Block, blocks
 
 SHINGLE_WORDS = 4
@@ -307,10 +307,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each component, all columns, whatever their names: the one of least doc_id (nulls last), of equal ones the first read."""
-    file, place, of_file, of_place = fresh(docs, "file", "place", "of_file", "of_place")
+    file, place, of_file, of_place, size = fresh(docs, "file", "place", "of_file", "of_place", "octets")
     rows = identified(docs, file, place)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kept0", "kept1")
-    chosen = classes(rows, (file, place)).groupBy("class").agg(F.min(order).alias("least"))
-    chosen = chosen.select(F.col("least.kept0").alias(of_file), F.col("least.kept1").alias(of_place))
-    kept = rows.join(chosen.hint("merge"), (F.col(file) == F.col(of_file)) & (F.col(place) == F.col(of_place)))
+    chosen = classes(rows.withColumn(size, octets(rows)), (file, place, size)).groupBy("class").agg(F.min(order).alias("least"), F.sum("kept2").alias("octets"))
+    chosen = materialize(chosen.select(F.col("least.kept0").alias(of_file), F.col("least.kept1").alias(of_place), "octets"), "chosen")
+    n = text_parts(chosen.agg(F.sum("octets")).first()[0])
+    chosen = chosen.select(of_file, of_place).repartition(n, of_file, of_place)
+    kept = rows.repartition(n, file, place).join(chosen.hint("merge"), (F.col(file) == F.col(of_file)) & (F.col(place) == F.col(of_place)))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A task holds a whole row group of what it reads and of what it writes.
+ROW_GROUP = 16 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -37,7 +40,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     The table stays until drop(), release() or the driver's end, since a lazily evaluated result may still read it."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
